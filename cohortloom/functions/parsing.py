@@ -29,6 +29,11 @@ SKIP_WORDS = ["skip", "idk", "i don't know", "i dont know", "unknown", "no", "n/
 SKIP_BLOBS = ["", "none", "null", "n/a", "na", "-", "{}", "unknown", "skip"]
 
 
+def strip(col: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 # --- times -----------------------------------------------------------------------------------------
 
 def parse_ts(col: Column) -> Column:
@@ -53,7 +58,7 @@ def days_between(a: Column, b: Column) -> Column:
 # --- intake answers --------------------------------------------------------------------------------
 
 def _answer(col: Column) -> tuple[Column, Column]:
-    text = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    text = F.lower(strip(F.coalesce(col, F.lit(""))))
     return text, text.isin(*SKIP_WORDS)
 
 
@@ -97,7 +102,7 @@ def parse_trajectory(col: Column, vitals: Sequence[str] = VITALS, texts: Sequenc
         as_array = F.from_json(raw, T.ArrayType(T.StringType()))
         items = F.when(raw.startswith("["), as_array).otherwise(F.array(raw))
         if v in texts:
-            kept = F.filter(F.transform(items, F.trim),
+            kept = F.filter(F.transform(items, lambda x: F.trim(x)),
                             lambda x: x.isNotNull() & ~F.lower(x).isin(*SKIP_BLOBS))
         else:
             kept = F.filter(F.transform(items, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
@@ -119,10 +124,9 @@ def parse_block(col: Column, schema: str | T.StructType, nested: str | None = No
 
 def json_field_or_raw(col: Column, field: str) -> Column:
     """One field of a JSON object that may sit in a code fence or in prose; else the text itself."""
-    text = F.regexp_replace(F.trim(col), r"(?is)^```(?:json)?\s*|\s*```$", "")
-    text = F.trim(text)
+    text = strip(F.regexp_replace(strip(col), r"(?is)^```(?:json)?\s*|\s*```$", ""))
     value = F.get_json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0), f"$.{field}")
-    return F.when(F.coalesce(value, F.lit("")) != "", F.trim(value)).otherwise(text)
+    return F.when(F.coalesce(value, F.lit("")) != "", strip(value)).otherwise(text)
 
 
 # --- arrays ----------------------------------------------------------------------------------------

@@ -4,27 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import l2_normalize
 from ..functions.text import ngrams, word_tokens
 
 
-def term_counts(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 3, min_len: int = 2,
+def gram_arrays(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 3, min_len: int = 2,
                 fold: bool = True) -> DataFrame:
-    """``(key, term, tf)`` of all n-grams; counting starts on the map side, before the shuffle."""
-    grams = ngrams(F.col("__tokens"), lo, hi)
-    return (df.select(key, word_tokens(F.col(text), min_len, fold).alias("__tokens"))
-            .select(key, F.explode(grams).alias("term"))
-            .groupBy(key, "term").agg(F.count("*").alias("tf")))
+    """``(key, grams)``: all n-grams of a row, still one row per text."""
+    return df.select(key, word_tokens(F.col(text), min_len, fold).alias("__tokens")) \
+        .select(key, ngrams(F.col("__tokens"), lo, hi).alias("grams"))
 
 
-def fit_vocabulary(counts: DataFrame, n_docs: Column | int, min_df: int = 20, max_df: float = 0.95,
+def term_counts(grams: DataFrame, key: str) -> DataFrame:
+    """``(key, term, tf)``; counting starts on the map side, before the shuffle."""
+    return grams.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def fit_vocabulary(grams: DataFrame, n_docs: Column | int, min_df: int = 20, max_df: float = 0.95,
                    max_terms: int | None = 2000) -> DataFrame:
     """Terms in at least ``min_df`` rows and at most the share ``max_df`` of rows, the ``max_terms``
-    most frequent ones (ties by term): ``(term, df, cf)``."""
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    most frequent ones (ties by term): ``(term, df, cf)``.
+
+    A row adds its occurrences and, separately, its distinct terms, so both counts come from one pass
+    that shuffles per-term partial sums only, never the grams of a row."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    entries = F.concat(
+        F.transform("grams", lambda g: F.struct(g.alias("term"), zero.alias("df"), one.alias("cf"))),
+        F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), one.alias("df"), zero.alias("cf"))))
+    stats = grams.select(F.explode(entries).alias("e")).select("e.*").groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     limit = F.lit(max_df) * (F.lit(n_docs) if isinstance(n_docs, int) else n_docs)
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= limit))
     return kept.orderBy(F.desc("cf"), F.asc("term")).limit(max_terms) if max_terms else kept
@@ -36,27 +47,30 @@ def fit_tfidf(vocabulary: DataFrame, n_docs: Column | int) -> DataFrame:
     return vocabulary.select("term", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def apply_tfidf(counts: DataFrame, model: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
-    """L2-normalised weights ``(key, term, w)``; terms outside the model are ignored. The model has
-    at most the fitted number of terms, so the planner can broadcast it by its real size."""
+def apply_tfidf(grams: DataFrame, model: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
+    """L2-normalised weights ``(key, term, w)``; terms outside the model are ignored.
+
+    Grams meet the model before they are counted, so only vocabulary terms are shuffled. The model has
+    at most the fitted number of terms and the planner can broadcast it by that size."""
+    hits = grams.select(key, F.explode("grams").alias("term")).join(model, "term")
+    counts = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     tf = F.log("tf") + 1.0 if sublinear else F.col("tf").cast("double")
-    weighted = counts.join(model, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
-    return l2_rows(weighted, [key])
+    return l2_rows(counts.select(key, "term", (tf * F.col("idf")).alias("w")), [key])
 
 
 def l2_rows(weights: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Scale each key's weights to length 1."""
-    norms = weights.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
-    return weights.join(norms, list(key)).withColumn("w", F.col("w") / F.col("__norm")).drop("__norm")
+    """Scale each key's weights to length 1. A key's terms are bounded by its text or the vocabulary."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
+    return weights.withColumn("w", F.col("w") / norm)
 
 
 def title_tfidf(df: DataFrame, title: str) -> DataFrame:
     """Vectors of the distinct titles: words and word pairs, one-letter words kept, plain tf."""
     titles = df.select(title).filter(F.col(title).isNotNull()).distinct()
-    counts = term_counts(titles, title, title, 1, 2, min_len=1, fold=False)
+    grams = gram_arrays(titles, title, title, 1, 2, min_len=1, fold=False)
     n = titles.agg(F.count("*")).scalar()
-    vocabulary = fit_vocabulary(counts, n, min_df=1, max_df=1.0, max_terms=None)
-    return apply_tfidf(counts, fit_tfidf(vocabulary, n), title, sublinear=False)
+    model = fit_tfidf(fit_vocabulary(grams, n, min_df=1, max_df=1.0, max_terms=None), n)
+    return apply_tfidf(grams, model, title, sublinear=False)
 
 
 def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str,

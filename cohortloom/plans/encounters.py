@@ -75,16 +75,16 @@ def _stays(spark, sf):
 
 
 @query("history_block", f"""
-WITH {_TEXTS}, s AS (SELECT o_orderkey AS id, o_custkey AS subj, o_orderdate AS at, o_orderstatus AS st, o_totalprice AS price,
+WITH {_TEXTS}, s AS (SELECT o_orderkey AS id, o_custkey AS subj, o_orderdate AS tm, o_orderstatus AS st, o_totalprice AS price,
   {sql_normalize('complaint')} AS txt FROM orders LEFT JOIN t ON l_orderkey = o_orderkey),
-h AS (SELECT a.id, a.at, a.txt, count(b.id) AS n_ed, count(CASE WHEN b.st = 'F' THEN 1 END) AS n_adm, max(b.at) AS last_ed,
-  max(CASE WHEN b.st = 'F' THEN b.at END) AS last_adm, arg_max(b.txt, (b.at, b.id)) AS prev_txt,
-  max(CASE WHEN b.st = 'F' AND b.price > 450000 THEN 1 ELSE 0 END) AS pmh_big FROM s a LEFT JOIN s b ON a.subj = b.subj AND b.at < a.at GROUP BY ALL),
+h AS (SELECT a.id, a.tm, a.txt, count(b.id) AS n_ed, count(CASE WHEN b.st = 'F' THEN 1 END) AS n_adm, max(b.tm) AS last_ed,
+  max(CASE WHEN b.st = 'F' THEN b.tm END) AS last_adm, arg_max(b.txt, (b.tm, b.id)) AS prev_txt,
+  max(CASE WHEN b.st = 'F' AND b.price > 450000 THEN 1 ELSE 0 END) AS pmh_big FROM s a LEFT JOIN s b ON a.subj = b.subj AND b.tm < a.tm GROUP BY ALL),
 k AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(txt), '[a-z]+'), lambda w: length(w) > 2)) AS c,
   list_distinct(list_filter(regexp_extract_all(lower(coalesce(prev_txt, '')), '[a-z]+'), lambda w: length(w) > 2)) AS p FROM h)
 SELECT id AS stay_id, CAST(pmh_big AS INTEGER) AS pmh_big, n_adm AS n_prior_admissions, n_ed AS n_prior_ed_visits,
-  {R(f"CASE WHEN last_adm IS NULL THEN 9999 ELSE least({_days('last_adm', 'at')}, 9999) END")} AS days_since_last_admission,
-  {R(f"CASE WHEN last_ed IS NULL THEN 9999 ELSE least({_days('last_ed', 'at')}, 9999) END")} AS days_since_last_ed,
+  {R(f"CASE WHEN last_adm IS NULL THEN 9999 ELSE least({_days('last_adm', 'tm')}, 9999) END")} AS days_since_last_admission,
+  {R(f"CASE WHEN last_ed IS NULL THEN 9999 ELSE least({_days('last_ed', 'tm')}, 9999) END")} AS days_since_last_ed,
   round_even(CASE WHEN len(c) > 0 AND len(p) > 0 THEN len(list_intersect(c, p))::DOUBLE / len(list_distinct(list_concat(c, p))) ELSE 0.0::DOUBLE END, 4) AS same_complaint_as_prior,
   CAST(CASE WHEN n_adm = 0 AND n_ed = 0 THEN 1 ELSE 0 END AS INTEGER) AS no_history FROM k""")
 def history_block(spark, sf):
@@ -315,17 +315,19 @@ def time_parts(spark, sf):
         F.sum(P.parse_ts(raw).isNull().cast("int")).alias("bad_times"))
 
 
-# Reading rounds of one user and day; every third user's rounds lack a time and keep entry order.
+# Three reading rounds per event; every third user's last round lacks a time, so entry order stays.
 @query("round_order", """
-WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
-SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN user_id % 3 = 0 THEN array_to_string(list(event_id ORDER BY event_id), ',')
-  ELSE array_to_string(list(event_id ORDER BY k, event_id), ',') END AS ordered FROM d GROUP BY user_id, day""")
+WITH d AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT CASE WHEN user_id % 3 = 0 THEN '0,1,2' ELSE array_to_string(list_transform(list_sort(
+  [{'t': k, 'i': 0}, {'t': (k * 7) % 50, 'i': 1}, {'t': (k * 13) % 50, 'i': 2}]), lambda x: x.i), ',') END AS ordered, count(*) AS n FROM d GROUP BY 1""")
 def round_order(spark, sf):
-    e = table(spark, sf, "events", "user_id", "ts", "event_id", "props").withColumns({
-        "day": F.to_date("ts"), "k": F.when(F.col("user_id") % 3 != 0, P.parse_block(F.col("props"), "k int").getField("k"))})
-    rounds = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("k").cast("double").alias("ts")))).alias("r"))
-    return rounds.select("user_id", F.col("day").cast("string").alias("day"), F.array_join(
-        F.transform(P.order_rounds(F.col("r")), lambda x: x["event_id"].cast("string")), ",").alias("ordered"))
+    k = P.parse_block(F.col("props"), "k int").getField("k")
+    e = table(spark, sf, "events", "user_id", "props").withColumn("k", k)
+    entry = lambda t, i: F.struct(t.cast("double").alias("ts"), F.lit(str(i)).alias("no"))
+    late = F.when(F.col("user_id") % 3 != 0, (F.col("k") * 13) % 50)
+    rounds = F.array(entry(F.col("k"), 0), entry((F.col("k") * 7) % 50, 1), entry(late, 2))
+    return e.select(F.array_join(F.transform(P.order_rounds(rounds), lambda x: x["no"]), ",").alias("ordered")) \
+        .groupBy("ordered").agg(F.count("*").alias("n"))
 
 
 @query("array_block", f"""

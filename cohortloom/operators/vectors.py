@@ -18,9 +18,16 @@ def gram_arrays(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 3, mi
         .select(key, ngrams(F.col("__tokens"), lo, hi).alias("grams"))
 
 
+def _unroll(grams: DataFrame, key: str) -> DataFrame:
+    """``(key, term)`` per occurrence. The outer form is used because plain ``explode`` makes the planner
+    derive a size filter and push it below the gram projection, which would build the grams twice and
+    tokenise the text once per gram."""
+    return grams.select(key, F.explode_outer("grams").alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_counts(grams: DataFrame, key: str) -> DataFrame:
     """``(key, term, tf)``; counting starts on the map side, before the shuffle."""
-    return grams.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return _unroll(grams, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def fit_vocabulary(grams: DataFrame, n_docs: Column | int, min_df: int = 20, max_df: float = 0.95,
@@ -34,7 +41,7 @@ def fit_vocabulary(grams: DataFrame, n_docs: Column | int, min_df: int = 20, max
     entries = F.concat(
         F.transform("grams", lambda g: F.struct(g.alias("term"), zero.alias("df"), one.alias("cf"))),
         F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("term"), one.alias("df"), zero.alias("cf"))))
-    stats = grams.select(F.explode(entries).alias("e")).select("e.*").groupBy("term").agg(
+    stats = grams.select(F.explode_outer(entries).alias("e")).select("e.*").filter("term IS NOT NULL").groupBy("term").agg(
         F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     limit = F.lit(max_df) * (F.lit(n_docs) if isinstance(n_docs, int) else n_docs)
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= limit))
@@ -52,7 +59,7 @@ def apply_tfidf(grams: DataFrame, model: DataFrame, key: str, sublinear: bool =
 
     Grams meet the model before they are counted, so only vocabulary terms are shuffled. The model has
     at most the fitted number of terms and the planner can broadcast it by that size."""
-    hits = grams.select(key, F.explode("grams").alias("term")).join(model, "term")
+    hits = _unroll(grams, key).join(model, "term")
     counts = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     tf = F.log("tf") + 1.0 if sublinear else F.col("tf").cast("double")
     return l2_rows(counts.select(key, "term", (tf * F.col("idf")).alias("w")), [key])

@@ -117,12 +117,14 @@ def fit_standardizer(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def standardize(df: DataFrame, fitted: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """z-scores from a fitted table; a missing value counts as the mean, so its z-score is 0."""
-    def pick(c: str, what: str) -> Column:
-        return fitted.filter(F.col("column") == c).select(F.max(what)).scalar()
-    return df.withColumns({
-        c + suffix: F.coalesce((F.col(c).cast("double") - pick(c, "mean")) / pick(c, "std"), F.lit(0.0))
-        for c in cols})
+    """z-scores from a fitted table; a missing value counts as the mean, so its z-score is 0. The fitted
+    table (one row per column) is read once, as a single scalar subquery."""
+    table = fitted.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "std"))))).scalar()
+    ready = df.withColumn("__fit", table)
+    at = lambda c, what: F.try_element_at("__fit", F.lit(c)).getField(what)
+    return ready.withColumns({
+        c + suffix: F.coalesce((F.col(c).cast("double") - at(c, "mean")) / at(c, "std"), F.lit(0.0))
+        for c in cols}).drop("__fit")
 
 
 def class_weights(df: DataFrame, label: str, p: float = 0.5, boost: Mapping[object, float] | None = None) -> DataFrame:

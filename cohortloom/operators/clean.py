@@ -125,10 +125,10 @@ def fit_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_median(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill NULLs from a fitted median table; the one-row lookups run as scalar subqueries."""
-    def at(c: str) -> Column:
-        return medians.filter(F.col("column") == c).select(F.max("median")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), at(c)) for c in cols})
+    """Fill NULLs from a fitted median table (one row per column), read once as a scalar subquery."""
+    table = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median")))).scalar()
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.try_element_at("__fit", F.lit(c))) for c in cols}
+    return df.withColumn("__fit", table).withColumns(filled).drop("__fit")
 
 
 def threshold_flags(df: DataFrame, spec: Mapping[str, tuple[str, str, float]]) -> DataFrame:

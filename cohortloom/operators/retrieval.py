@@ -51,8 +51,8 @@ def build_index(rows: DataFrame, vectors: DataFrame, key: str, cat: str, code: s
     ``centroids`` (text). Run once per granularity with the matching code column."""
     cand = prevalence(rows, cat, code).join(mode_by(rows, [cat, code], title, "title"), [cat, code], "left")
     within = Window.partitionBy(cat)
-    cand = cand.withColumn("prev_pos", minmax(
-        F.col("prevalence"), F.min("prevalence").over(within), F.max("prevalence").over(within)))
+    cand = cand.withColumn("prev_pos", stable(minmax(
+        F.col("prevalence"), F.min("prevalence").over(within), F.max("prevalence").over(within))))
     if physio:
         cand = cand.join(numeric_centroids(rows, cat, code, physio), [cat, code])
     if history:
@@ -61,6 +61,12 @@ def build_index(rows: DataFrame, vectors: DataFrame, key: str, cat: str, code: s
     return {"candidates": cand, "centroids": text_centroids(vectors, rows, key, cat, code)}
 
 
+def stable(col: Column, places: int = 9) -> Column:
+    """Value at fixed places: sums reach a task in any order, and ranks must not depend on that. Terms
+    are kept at nine places and their blends at twelve, so a blend is never cut in the middle."""
+    return F.round(col, places)
+
+
 # --- scoring -----------------------------------------------------------------------------------------
 
 def candidates_for(queries: DataFrame, candidates: DataFrame, cat: str) -> DataFrame:
@@ -73,7 +79,7 @@ def sparse_cosine(query_vectors: DataFrame, queries: DataFrame, centroids: DataF
     """Non-zero cosines ``(key, category, code, cos)``: products of shared terms, summed."""
     return (queries.select(key, cat).join(query_vectors, key)
             .join(centroids.withColumnRenamed("w", "__c"), [cat, "term"])
-            .groupBy(key, cat, code).agg(F.sum(F.col("w") * F.col("__c")).alias("cos")))
+            .groupBy(key, cat, code).agg(stable(F.sum(F.col("w") * F.col("__c"))).alias("cos")))
 
 
 def _distance(cols: Sequence[str], prefix: str) -> Column:
@@ -81,7 +87,7 @@ def _distance(cols: Sequence[str], prefix: str) -> Column:
     for c in cols:
         gap = F.col(c) - F.col(prefix + c)
         total = total + gap * gap
-    return -F.sqrt(total)
+    return stable(-F.sqrt(total))
 
 
 def score_terms(queries: DataFrame, query_vectors: DataFrame, index: Mapping[str, DataFrame], key: str, cat: str,
@@ -98,22 +104,23 @@ def score_terms(queries: DataFrame, query_vectors: DataFrame, index: Mapping[str
 def minmax_within(df: DataFrame, part: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
     """Min-max position of each column inside its candidate set (bounded by the codes of a category)."""
     w = Window.partitionBy(*part)
-    return df.withColumns({out: minmax(F.col(c), F.min(c).over(w), F.max(c).over(w)) for c, out in cols.items()})
+    return df.withColumns({
+        out: stable(minmax(F.col(c), F.min(c).over(w), F.max(c).over(w))) for c, out in cols.items()})
 
 
 def blend2(alpha: float) -> Column:
-    return F.lit(alpha) * F.col("text_pos") + F.lit(1.0 - alpha) * F.col("prev_pos")
+    return stable(F.lit(alpha) * F.col("text_pos") + F.lit(1.0 - alpha) * F.col("prev_pos"), 12)
 
 
 def blend3(weights: Mapping[str, float]) -> Column:
     """Text, vitals and prevalence; a zero vitals weight leaves that term out."""
-    return (F.lit(float(weights["text"])) * F.col("text_pos") + F.lit(float(weights.get("vit", 0.0))) * F.col("vit_pos")
-            + F.lit(float(weights["prev"])) * F.col("prev_pos"))
+    return stable(F.lit(float(weights["text"])) * F.col("text_pos") + F.lit(float(weights.get("vit", 0.0))) * F.col("vit_pos")
+                  + F.lit(float(weights["prev"])) * F.col("prev_pos"), 12)
 
 
 def gated_blend(with_history: Mapping[str, float], without: Mapping[str, float], has: Column) -> Column:
     """Four terms for queries with history, three terms with their own weights for the others."""
-    four = blend3(with_history) + F.lit(float(with_history.get("hist", 0.0))) * F.col("hist_pos")
+    four = stable(blend3(with_history) + F.lit(float(with_history.get("hist", 0.0))) * F.col("hist_pos"), 12)
     return F.when(has, four).otherwise(blend3(without))
 
 
@@ -138,7 +145,7 @@ def top_k_within(df: DataFrame, part: Sequence[str], score: str, tie: Sequence[s
 
 def flat_top_k(per_cat: DataFrame, key: str, p_cat: str, score: str, tie: Sequence[str], k: int) -> DataFrame:
     """Across categories by ``p_category * score``."""
-    combined = per_cat.withColumn("combined", F.col(p_cat) * F.col(score))
+    combined = per_cat.withColumn("combined", stable(F.col(p_cat) * F.col(score), 12))
     return top_k_within(combined, [key], "combined", tie, k, "flat_rank")
 
 
@@ -211,8 +218,8 @@ def tune(terms: DataFrame, truth: DataFrame, grid: Sequence[Mapping[str, float]]
                        for i, w in enumerate(grid)])
     unrolled = pairs.select(key, code, "__true", *[_POSITION[t] for t in names], *[f"__true_{t}" for t in names],
                             F.explode(points).alias("w")).select("*", "w.*")
-    score = _weighted(names, {t: F.col(_POSITION[t]) for t in names})
-    true_score = _weighted(names, {t: F.col(f"__true_{t}") for t in names})
+    score = stable(_weighted(names, {t: F.col(_POSITION[t]) for t in names}), 12)
+    true_score = stable(_weighted(names, {t: F.col(f"__true_{t}") for t in names}), 12)
     better = (score > true_score) | ((score == true_score) & (F.col(code) < F.col("__true")))
     ranks = unrolled.groupBy(key, "point").agg(F.count_if(better).alias("better"))
     hits = ranks.groupBy("point").agg(F.count_if(F.col("better") < k).alias("hits"))
@@ -259,7 +266,7 @@ def end_to_end_recall(per_cat: DataFrame, truth: DataFrame, key: str, cat: str,
                       score: str = "score", k_flat: int = 10) -> DataFrame:
     """Union, flat@k, flat MRR, conditional union recall and category recall in one row. ``truth``
     has the true category and code per query."""
-    flat = best_per_code(per_cat.withColumn("combined", F.col(p_cat) * F.col(score)), key, code)
+    flat = best_per_code(per_cat.withColumn("combined", stable(F.col(p_cat) * F.col(score), 12)), key, code)
     flat_hit = flat.join(truth.select(key, code), [key, code]).select(key, "flat_rank")
     in_cat = per_cat.join(truth.select(key, cat), [key, cat]).select(key).distinct().withColumn("cat_ok", F.lit(1))
     rows = truth.select(key).join(flat_hit, key, "left").join(in_cat, key, "left")

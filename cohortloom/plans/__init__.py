@@ -1,0 +1,6 @@
+"""Registered queries, grouped by layer."""
+
+from . import cohort, encounters, retrieve, texts
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "cohort", "encounters", "retrieve", "texts"]

@@ -17,11 +17,11 @@ from .aggregates import union_sets
 from .clean import NO_PRIOR_DAYS
 from .prefix import time_buckets, with_prior
 
-_DAY = 86_400
+_BUCKET = 300
 
 
 def prior_measures(anchors: DataFrame, events: DataFrame, subject: str, ts: str,
-                   measures: Mapping[str, tuple[str, Column]], bucket_seconds: int = _DAY) -> DataFrame:
+                   measures: Mapping[str, tuple[str, Column]], bucket_seconds: int = _BUCKET) -> DataFrame:
     """``anchors`` plus, per measure ``name: (sum|max, column of events)``, its total over the events
     of the same subject with a strictly earlier time; NULL when there is none. Both inputs carry
     ``subject`` and ``ts``."""
@@ -47,7 +47,7 @@ def recency(ts: Column, last: Column) -> Column:
 
 def history_features(stays: DataFrame, ed: DataFrame, adm: DataFrame, flags: Sequence[str],
                      subject: str = "subject_id", stay: str = "stay_id", ts: str = "intime",
-                     text: str = "complaint_text_norm", bucket_seconds: int = _DAY) -> DataFrame:
+                     text: str = "complaint_text_norm", bucket_seconds: int = _BUCKET) -> DataFrame:
     """One row per stay with the complete history block.
 
     ``ed``: every earlier-or-later visit (subject, stay, ts, text). ``adm``: every admission (subject,

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .prefix import value_buckets, with_prior
 
-# Reporting thresholds, the live and the default one.
+# Reporting thresholds, the key ones among them and the live one.
 THRESHOLDS = [0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
+KEY_THRESHOLDS = [0.15, 0.20, 0.30, 0.40, 0.50]
 LIVE_THRESHOLD = 0.40
 
 
@@ -180,7 +181,7 @@ def binary_at(df: DataFrame, truth: str, score: str, threshold: float, by: Seque
 
 
 def threshold_sweep(df: DataFrame, truth: str, score: str, thresholds: Sequence[float] = THRESHOLDS,
-                    key_points: Sequence[float] = (0.3, 0.4, 0.5), live: float = LIVE_THRESHOLD) -> DataFrame:
+                    key_points: Sequence[float] = KEY_THRESHOLDS, live: float = LIVE_THRESHOLD) -> DataFrame:
     """Rates at all thresholds, with 0/1 markers for the key thresholds and the live one."""
     out = binary_rates(threshold_counts(df, truth, score, thresholds))
     return out.withColumns({"is_key": F.col("threshold").isin([float(k) for k in key_points]).cast("int"),

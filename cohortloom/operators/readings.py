@@ -47,7 +47,7 @@ def modal_bucket(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket
 
 
 def reading_sequence(df: DataFrame, key: Sequence[str], ts: str, tie: str, col: str,
-                     bucket_seconds: int = 86_400) -> DataFrame:
+                     bucket_seconds: int = 300) -> DataFrame:
     """Chronological readings in long form: key, ``reading_no``, time, value. A key of any size
     stays spread over its time buckets."""
     rows = df.filter(F.col(col).isNotNull()).select(*key, ts, tie, col)

@@ -103,7 +103,7 @@ def _sweep(spark, sf):
     return M.threshold_sweep(visits(spark, sf), "admitted", "score")
 
 
-@query("threshold_sweep", f"""{_SWEEP} SELECT {_OUT}, CAST(CASE WHEN threshold IN (0.3, 0.4, 0.5) THEN 1 ELSE 0 END AS INTEGER) AS is_key,
+@query("threshold_sweep", f"""{_SWEEP} SELECT {_OUT}, CAST(CASE WHEN threshold IN (0.15, 0.2, 0.3, 0.4, 0.5) THEN 1 ELSE 0 END AS INTEGER) AS is_key,
   CAST(CASE WHEN threshold = 0.4 THEN 1 ELSE 0 END AS INTEGER) AS is_live FROM rt""")
 def threshold_sweep(spark, sf):
     return rounded(_sweep(spark, sf), *_RATE_COLS)

@@ -22,7 +22,7 @@ from ..sources import cached_features, materialize, read_cases, read_optional, w
 from .cohort import sql_normalize
 from .encounters import _anchors
 from .evaluate import _scores
-from .registry import R, VISITS, query, r6, rounded, table, visits
+from .registry import R, VISITS, query, r6, rounded, table, texts, visits
 
 
 def _pos(strata: str, key: str, seed: int) -> str:
@@ -122,7 +122,7 @@ def grounding_audit(spark, sf):
 
 
 def _audited(spark, sf):
-    c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    c = texts(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     age, told = (F.col("conv_id") % 60 + 20).cast("int"), F.when(F.col("turn") == 2, 1).otherwise(0)
     slip = F.when(F.col("turn") % 4 == 0, "My bp was 120/80. ").when(F.col("turn") % 4 == 1, "I had Dyspnea and SOB. ") \
         .when(F.col("turn") % 4 == 2, "It hurts, I am hot. ").otherwise("temp of 101. ")
@@ -223,7 +223,7 @@ _FID_COLS = ["complaint_jaccard_raw", "complaint_jaccard_used", "complaint_preci
 
 
 def _fidelity(spark, sf):
-    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
     case = (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id")
     truth = c.select(case, F.col("text").alias("complaints"), F.lit(40).alias("age"), F.lit("male").alias("gender"),
                      F.lit("walk_in").alias("transport"), F.col("turn").alias("pain"))

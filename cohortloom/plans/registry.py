@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import read_table
+from ..sources import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
     return read_table(spark, sf, name, cols or None)
 
 
+def texts(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
+    """A text table for work that is heavy per row; ``cols`` starts with the row key."""
+    return spread(table(spark, sf, name, *cols), cols[0])
+
+
 def r6(col: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, digits)
 

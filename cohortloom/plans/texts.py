@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import splits as S
 from ..operators import vectors as W
 from .cohort import sql_normalize
-from .registry import R, query, r6, rounded, table
+from .registry import R, query, r6, rounded, table, texts
 
 # The synthetic prose has no clinical words, so these vocabularies use words that do occur.
 DOC_VOCAB = {"north": ["the", "was"], "west": ["que", "des"], "mid": ["der", "und", "von"], "sound": ["thin", "then", "than"], "pair": ["in the", "of the"]}
@@ -34,14 +34,14 @@ def sql_neutral(text: str, negation: str) -> str:
 
 @query("normalize_docs", f"SELECT doc_id, md5({sql_normalize('text')}) AS digest FROM documents")
 def normalize_docs(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("digest"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("digest"))
 
 
 @query("rewrite_phrases")
 def rewrite_phrases(spark, sf):
     """Conversation turns with frequent short phrases rewritten, longest phrase first."""
     rewrite = X.rewrite_phrases({"of the": "OF-THE", "the": "THE", "de la": "DE-LA", "la": "LA", "in": "IN"})
-    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
     return c.select("conv_id", "turn", F.md5(rewrite(F.col("text"))).alias("digest"))
 
 
@@ -49,7 +49,7 @@ def rewrite_phrases(spark, sf):
 WITH t AS (SELECT doc_id, {sql_neutral(sql_ascii("replace(text, 'der ', 'no ')"), V.HISTORY_NEGATION)} AS x FROM documents)
 SELECT doc_id, {', '.join(f'{sql_flag("x", terms)} AS {cat}' for cat, terms in DOC_VOCAB.items())} FROM t""")
 def negated_flags(spark, sf):
-    d = table(spark, sf, "documents", "doc_id", "text").withColumn("text", F.replace("text", F.lit("der "), F.lit("no ")))
+    d = texts(spark, sf, "documents", "doc_id", "text").withColumn("text", F.replace("text", F.lit("der "), F.lit("no ")))
     return V.history_flags(d, "text", DOC_VOCAB).drop("text")
 
 
@@ -131,14 +131,14 @@ def section_extract(spark, sf):
     t, nl = F.col("text"), F.lit("\n")
     note = (F.when(F.col("lang") == "en", F.concat(F.lit("Chief Complaint: x\n PMHx : "), t, F.lit("\nSocial  History: none")))
             .when(F.col("lang") == "fr", F.concat(F.lit("Past Medical History:"), nl, t)).otherwise(t))
-    return table(spark, sf, "documents", "doc_id", "text", "lang").select("doc_id", F.md5(X.extract_section(note)).alias("digest"))
+    return texts(spark, sf, "documents", "doc_id", "text", "lang").select("doc_id", F.md5(X.extract_section(note)).alias("digest"))
 
 
 @query("token_sets", """
 SELECT doc_id, len(s) AS n_tokens, array_to_string(list_sort(s), ' ') AS tokens FROM (
   SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) > 2)) AS s FROM documents)""")
 def token_sets(spark, sf):
-    d = table(spark, sf, "documents", "doc_id", "text").withColumn("s", X.token_set(F.col("text")))
+    d = texts(spark, sf, "documents", "doc_id", "text").withColumn("s", X.token_set(F.col("text")))
     return d.select("doc_id", F.size("s").cast("bigint").alias("n_tokens"), F.array_join(F.array_sort("s"), " ").alias("tokens"))
 
 
@@ -154,7 +154,7 @@ voc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c, n GROUP BY te
 
 
 def _grams(spark, sf):
-    return W.gram_arrays(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    return W.gram_arrays(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def _n_docs(spark, sf):
@@ -235,7 +235,7 @@ _TURNS = """p AS (SELECT a.conv_id, a.turn, list_distinct(list_filter(regexp_ext
 
 
 def _turns(spark, sf):
-    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), X.token_set(F.col("text")).alias("y"))
     return c.select("conv_id", "turn", X.token_set(F.col("text")).alias("x")).join(nxt, ["conv_id", "turn"])
 
@@ -261,7 +261,7 @@ r AS (SELECT doc_id, quality, toxic FROM labels)
 SELECT f.doc_id, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {c} = 1 THEN '{c}' END" for c in DOC_VOCAB)}],
   lambda c: c IS NOT NULL AND NOT (c = 'north' AND quality = 1) AND NOT (c = 'west' AND toxic = 1))), ',') AS gap FROM f JOIN r ON f.doc_id = r.doc_id""")
 def self_report_gap(spark, sf):
-    d = V.text_flags(table(spark, sf, "documents", "doc_id", "text"), "text", DOC_VOCAB, negation=r"\bnosuchcue\b")
+    d = V.text_flags(texts(spark, sf, "documents", "doc_id", "text"), "text", DOC_VOCAB, negation=r"\bnosuchcue\b")
     rec = table(spark, sf, "labels", "doc_id", "quality", "toxic").select(
         "doc_id", V.flag_set({"north": "quality", "west": "toxic"}).alias("recorded"))
     out = d.join(rec, "doc_id")
@@ -331,7 +331,7 @@ def intake_answers(spark, sf):
 SELECT conv_id, turn, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM conversations""")
 def json_or_raw(spark, sf):
     """Turns wrapped as fenced JSON (even turns) or left as prose (odd turns); both give the text back."""
-    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("text").alias("narrative"))), F.lit("\n```"))
     raw = F.when(F.col("turn") % 2 == 0, fenced).otherwise(F.col("text"))
     return c.select("conv_id", "turn", F.md5(P.json_field_or_raw(raw, "narrative")).alias("digest"))

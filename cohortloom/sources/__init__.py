@@ -8,11 +8,12 @@ from .tables import (
     read_optional,
     read_table,
     scan_for_keys,
+    spread,
     write_cases,
     write_report,
 )
 
 __all__ = [
     "SCHEMAS", "schema_of", "cached_features", "materialize", "read_cases", "read_codes",
-    "read_notes", "read_optional", "read_table", "scan_for_keys", "write_cases", "write_report",
+    "read_notes", "read_optional", "read_table", "scan_for_keys", "spread", "write_cases", "write_report",
 ]

@@ -37,6 +37,13 @@ def read_table(spark: SparkSession, base: str, name: str, cols: Sequence[str] |
     ])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Scan spread over all cores when its files give fewer splits than that, for work that is heavy per
+    row (tokenising long texts). A scan with enough splits is returned as it is, without a shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+
+
 def read_codes(df: DataFrame, code: str, version: str | None = None) -> DataFrame:
     """Codes as trimmed upper-case strings, NULL as ''; leading zeros survive."""
     out = df.withColumn(code, F.upper(F.trim(F.coalesce(F.col(code).cast("string"), F.lit("")))))

@@ -18,10 +18,13 @@ _COMBINE = {"sum": F.sum, "max": F.max}
 
 
 def with_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-               buckets: Sequence[Column], measures: Mapping[str, tuple[str, str]]) -> DataFrame:
+               buckets: Sequence[Column], measures: Mapping[str, tuple[str, str]],
+               totals_of: Mapping[str, str] | None = None) -> DataFrame:
     """Add, per measure ``name: (kind, column)``, its total over the rows of the same keys that come
     strictly earlier in ``order`` (NULL when there is none). ``buckets`` are coarse-to-fine
-    functions of the order that never decrease along it; ``order`` must be total within a key."""
+    functions of the order that never decrease along it; ``order`` must be total within a key.
+    ``totals_of`` (``name -> measure``) also adds a measure's total over the whole key; it comes from the
+    bucket table that is joined anyway, so no join on a few-valued key is needed."""
     levels = [f"__b{i}" for i in range(len(buckets))]
     base = df.withColumns(dict(zip(levels, buckets)))
     out = base.select(
@@ -36,15 +39,18 @@ def with_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
             *[_COMBINE[kind](col).alias(name) for name, (kind, col) in measures.items()])
         ahead = (Window.partitionBy(*group[:-1]).orderBy(group[-1])
                  .rowsBetween(Window.unboundedPreceding, -1))
+        whole = [_COMBINE[measures[m][0]](m).over(Window.partitionBy(*keys)).alias(name)
+                 for name, m in (totals_of or {}).items()] if depth == 1 else []
         carry = totals.select(
             *group, *[_COMBINE[kind](name).over(ahead).alias(f"__carry{depth}_{name}")
-                      for name, (kind, _) in measures.items()])
+                      for name, (kind, _) in measures.items()], *whole)
         out = out.join(carry, group, "left")
     parts = lambda name: [F.col(f"__local_{name}"),
                           *[F.col(f"__carry{d}_{name}") for d in range(len(levels), 0, -1)]]
     return out.select(
         *df.columns,
-        *[_merge(kind, parts(name)).alias(name) for name, (kind, _) in measures.items()])
+        *[_merge(kind, parts(name)).alias(name) for name, (kind, _) in measures.items()],
+        *(totals_of or {}))
 
 
 def _merge(kind: str, parts: Sequence[Column]) -> Column:
@@ -57,10 +63,10 @@ def _merge(kind: str, parts: Sequence[Column]) -> Column:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                buckets: Sequence[Column], name: str = "row_no") -> DataFrame:
-    """1-based position of each row inside its key along ``order``."""
+                buckets: Sequence[Column], name: str = "row_no", size: str | None = None) -> DataFrame:
+    """1-based position of each row inside its key along ``order``; ``size`` names the key's row count."""
     one = df.withColumn("__one", F.lit(1).cast("bigint"))
-    return (with_prior(one, keys, order, buckets, {name: ("sum", "__one")})
+    return (with_prior(one, keys, order, buckets, {name: ("sum", "__one")}, {size: name} if size else None)
             .withColumn(name, F.coalesce(F.col(name), F.lit(0)) + 1).drop("__one"))
 
 
@@ -85,10 +91,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Mapping[str, floa
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "column", "value") \
              .filter("value IS NOT NULL AND NOT isnan(value)")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    placed = with_prior(counts, ["column"], ["value"], value_buckets("value"), {"before": ("sum", "n")}) \
-        .withColumn("before", F.coalesce("before", F.lit(0)))
-    sizes = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    placed = placed.join(sizes, "column")
+    placed = with_prior(counts, ["column"], ["value"], value_buckets("value"), {"before": ("sum", "n")},
+                        {"total": "before"}).withColumn("before", F.coalesce("before", F.lit(0)))
     picks = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("total") - 1)

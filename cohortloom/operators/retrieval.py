@@ -1,8 +1,8 @@
 """Exact-code retrieval inside a category: candidate index, blended scores, ranks, recall reports.
 
 The index is a set of long tables keyed by (category, code). Its size is bounded by the code system,
-not by the number of visits; joins carry no broadcast hint, so the planner broadcasts it by measured
-size and otherwise shuffles with adaptive skew splitting."""
+not by the number of visits; it is stored, and joins carry no broadcast hint, so the planner broadcasts
+it by its stored size and otherwise shuffles with adaptive skew splitting."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import code_similarity
 from ..functions.parsing import minmax
+from ..session import durable
 from .aggregates import mode_by
 from .vectors import l2_rows
 
@@ -48,7 +49,10 @@ def build_index(rows: DataFrame, vectors: DataFrame, key: str, cat: str, code: s
                 physio: Sequence[str] = (), history: Sequence[str] = (),
                 has_history: Column | None = None) -> dict[str, DataFrame]:
     """``candidates`` (prevalence with its min-max position, usual title, numeric centroids) and
-    ``centroids`` (text). Run once per granularity with the matching code column."""
+    ``centroids`` (text). Run once per granularity with the matching code column.
+
+    Both tables are written once: every question batch reads them, and their stored size lets the
+    planner broadcast them when small instead of shuffling questions by their few categories."""
     cand = prevalence(rows, cat, code).join(mode_by(rows, [cat, code], title, "title"), [cat, code], "left")
     within = Window.partitionBy(cat)
     cand = cand.withColumn("prev_pos", stable(minmax(
@@ -58,7 +62,7 @@ def build_index(rows: DataFrame, vectors: DataFrame, key: str, cat: str, code: s
     if history:
         cand = attach_centroids(cand, rows, cat, code, history,
                                 has_history if has_history is not None else F.lit(True))
-    return {"candidates": cand, "centroids": text_centroids(vectors, rows, key, cat, code)}
+    return {"candidates": durable(cand), "centroids": durable(text_centroids(vectors, rows, key, cat, code))}
 
 
 def stable(col: Column, places: int = 9) -> Column:

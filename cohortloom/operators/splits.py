@@ -20,15 +20,13 @@ def hash_order(key: str, seed: int) -> Column:
 
 def _positions(df: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
     hashed = df.withColumn("__h", hash_order(key, seed))
-    return number_rows(hashed, list(strata), ["__h", key], [F.substring("__h", 1, 4)], "__pos")
+    return number_rows(hashed, list(strata), ["__h", key], [F.substring("__h", 1, 4)], "__pos", "__n")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split``: 'test' for exactly ``round(frac * n)`` rows of each label, else 'train'."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
     quota = F.floor(F.lit(frac) * F.col("__n") + 0.5)
-    placed = _positions(df, [label], key, seed).join(sizes, label)
-    return placed.withColumn("split", F.when(F.col("__pos") <= quota, "test").otherwise("train")) \
+    return _positions(df, [label], key, seed).withColumn("split", F.when(F.col("__pos") <= quota, "test").otherwise("train")) \
         .drop("__h", "__pos", "__n")
 
 
@@ -46,11 +44,9 @@ def nested_split(df: DataFrame, label: str, key: str, parts: Mapping[str, tuple[
 
 def stratified_cap(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """About ``n`` rows with the label shares of the whole, by exact per-label quota."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
-    total = sizes.select(F.sum("__n")).scalar()
+    total = df.agg(F.count("*")).scalar()
     quota = F.floor(F.lit(float(n)) * F.col("__n") / F.greatest(total, F.lit(n)) + 0.5)
-    return (_positions(df, [label], key, seed).join(sizes, label).filter(F.col("__pos") <= quota)
-            .drop("__h", "__pos", "__n"))
+    return _positions(df, [label], key, seed).filter(F.col("__pos") <= quota).drop("__h", "__pos", "__n")
 
 
 def sample_strata(df: DataFrame, label: str, key: str, wanted: Mapping[object, int], seed: int = 42,
@@ -66,7 +62,7 @@ def sample_strata(df: DataFrame, label: str, key: str, wanted: Mapping[object, i
     for level, n in wanted.items():
         quota = F.when(F.col(label) == F.lit(level), F.lit(n)).otherwise(quota)
     rows = df.filter(F.col(label).isin(list(wanted)))
-    return _positions(rows, [label], key, seed).filter(F.col("__pos") <= quota).drop("__h", "__pos")
+    return _positions(rows, [label], key, seed).filter(F.col("__pos") <= quota).drop("__h", "__pos", "__n")
 
 
 def content_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -518,3 +518,13 @@ def standardizer(spark, sf):
     z = A.standardize(p, A.fit_standardizer(p, ["p_size", "p_retailprice"]), ["p_size", "p_retailprice"])
     return z.groupBy("p_type").agg(F.count("*").alias("n"), r6(F.sum("p_size_z")).alias("size_z"),
                                    r6(F.sum("p_retailprice_z")).alias("price_z"), r6(F.max("p_size_z")).alias("max_size_z"))
+
+
+@query("feature_assembly", f"""
+WITH {VISITS} SELECT o_orderkey, acuity, score, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS pri_1_urgent,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1 ELSE 0 END AS pri_4_not_specified FROM v""")
+def feature_assembly(spark, sf):
+    """Named blocks in order, one-hot columns named after their slugged level."""
+    levels = {f"pri_{C.slug(x)}": x for x in ("1-URGENT", "4-NOT SPECIFIED")}
+    df = C.one_hot_fixed(visits(spark, sf), "o_orderpriority", levels)
+    return C.assemble(df, {"ordinal": ["acuity"], "scores": ["score"], "levels": list(levels)}, ["o_orderkey"])

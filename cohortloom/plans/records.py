@@ -325,7 +325,7 @@ def soft_cascade_head(spark, sf):
     """Weighted multinomial head; its probabilities and its class become features."""
     rows = _features(spark, sf).withColumn("lab", F.col("acuity") - 1)
     train = rows.filter("split = 'train'")
-    weighted = train.join(class_weights(train, "lab", 0.5).select("lab", "weight"), "lab")
+    weighted = train.join(durable(class_weights(train, "lab", 0.5).select("lab", "weight")), "lab")
     model = D.fit_multiclass(weighted, "features", "lab", "weight", maxIter=5)
     out = D.soft_cascade(rows.filter("split = 'test'"), model, [f"p_level_{i}" for i in range(5)])
     out = D.hard_cascade(out, model, "level_pred")

@@ -43,6 +43,12 @@ def complete_confusion(counts: DataFrame, labels: Sequence, by: Sequence[str] =
     return full.withColumn("row_share", F.round(_div(F.col("n"), row), 6))
 
 
+def confusion_wide(conf: DataFrame, labels: Sequence, prefix: str = "pred_") -> DataFrame:
+    """One row per true label, one count column per predicted label."""
+    wide = conf.groupBy("true_label").pivot("pred_label", list(labels)).agg(F.sum("n"))
+    return wide.select("true_label", *[F.col(f"`{x}`").alias(f"{prefix}{x}") for x in labels])
+
+
 def per_class(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, specificity, F1, support and the four counts per class."""
     n, hit = F.col("n"), F.col("true_label") == F.col("pred_label")

@@ -22,7 +22,8 @@ def with_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
                totals_of: Mapping[str, str] | None = None) -> DataFrame:
     """Add, per measure ``name: (kind, column)``, its total over the rows of the same keys that come
     strictly earlier in ``order`` (NULL when there is none). ``buckets`` are coarse-to-fine
-    functions of the order that never decrease along it; ``order`` must be total within a key.
+    functions of the order that never decrease along it; ``order`` must be total within a key, and keys
+    must not be NULL.
     ``totals_of`` (``name -> measure``) also adds a measure's total over the whole key; it comes from the
     bucket table that is joined anyway, so no join on a few-valued key is needed."""
     levels = [f"__b{i}" for i in range(len(buckets))]
@@ -33,7 +34,8 @@ def with_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
             Window.partitionBy(*keys, *levels).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, -1)).alias(f"__local_{name}")
           for name, (kind, col) in measures.items()])
-    for depth in range(len(levels), 0, -1):
+    carried = None
+    for depth in range(1, len(levels) + 1):
         group = [*keys, *levels[:depth]]
         totals = base.groupBy(*group).agg(
             *[_COMBINE[kind](col).alias(name) for name, (kind, col) in measures.items()])
@@ -44,9 +46,11 @@ def with_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
         carry = totals.select(
             *group, *[_COMBINE[kind](name).over(ahead).alias(f"__carry{depth}_{name}")
                       for name, (kind, _) in measures.items()], *whole)
-        out = out.join(carry, group, "left")
+        # the small bucket tables meet first; the rows join once, on the partitioning they already have
+        carried = carry if carried is None else carry.join(carried, group[:-1], "left")
+    out = out.join(carried, [*keys, *levels], "left")
     parts = lambda name: [F.col(f"__local_{name}"),
-                          *[F.col(f"__carry{d}_{name}") for d in range(len(levels), 0, -1)]]
+                          *[F.col(f"__carry{d}_{name}") for d in range(1, len(levels) + 1)]]
     return out.select(
         *df.columns,
         *[_merge(kind, parts(name)).alias(name) for name, (kind, _) in measures.items()],

@@ -29,6 +29,11 @@ def confusion(spark, sf):
     return _conf(spark, sf)
 
 
+@query("confusion_wide", f"{_V} SELECT acuity AS true_label, {', '.join(f'count(CASE WHEN acuity_pred = {k} THEN 1 END) AS pred_{k}' for k in _LEVELS)} FROM v GROUP BY 1")
+def confusion_wide(spark, sf):
+    return M.confusion_wide(_conf(spark, sf), _LEVELS)
+
+
 @query("per_class", f"""{_PC} SELECT label, {R('pr')} AS "precision", {R('rc')} AS recall, {R('sp')} AS specificity, {R('f1')} AS f1, support, tp, fp, fn, tn FROM pf""")
 def per_class(spark, sf):
     return rounded(M.per_class(_conf(spark, sf)), "precision", "recall", "specificity", "f1")

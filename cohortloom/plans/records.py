@@ -104,18 +104,20 @@ def case_bundle(spark, sf):
 
 
 # A narrative per turn: stated age and pain, a clinical slip in some turns, then the turn's own text.
-_NARR = """n AS (SELECT conv_id, turn, 20 + conv_id % 60 AS age, turn % 11 AS pain, CASE WHEN conv_id % 2 = 0 THEN 'chest pain, fever' ELSE 'odd feeling' END AS complaints,
+_NARR = """n AS (SELECT conv_id, turn, role, 20 + conv_id % 60 AS age, turn % 11 AS pain, CASE WHEN conv_id % 2 = 0 THEN 'chest pain, fever' ELSE 'odd feeling' END AS complaints,
   'I am ' || (20 + conv_id % 60 + CASE WHEN turn = 2 THEN 1 ELSE 0 END) || ' years old, pain ' || (turn + 1) % 11 || ' out of 10. ' ||
   CASE turn % 4 WHEN 0 THEN 'My bp was 120/80. ' WHEN 1 THEN 'I had Dyspnea and SOB. ' WHEN 2 THEN 'It hurts, I am hot. ' ELSE 'temp of 101. ' END ||
   regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS t FROM conversations)"""
 _AGE1, _AGE2 = (p.replace("'", "''") for p in N.AGE_PATTERNS)
 
 
-@query("grounding_audit", f"""
-WITH {_NARR}, x AS (SELECT *, list_filter(list_concat(regexp_extract_all(t, '{_AGE1}', 1), regexp_extract_all(t, '{_AGE2}', 1)), lambda a: CAST(a AS INTEGER) <> age) AS ages,
+_AUDIT = f"""{_NARR}, x AS (SELECT *, list_filter(list_concat(regexp_extract_all(t, '{_AGE1}', 1), regexp_extract_all(t, '{_AGE2}', 1)), lambda a: CAST(a AS INTEGER) <> age) AS ages,
   list_filter(regexp_extract_all(t, '{N.PAIN_PATTERN}', 1), lambda p: CAST(p AS INTEGER) <> pain) AS pains, lower(t) AS l FROM n),
-y AS (SELECT conv_id, turn, len(ages) AS bad_ages, len(pains) AS bad_pains, CAST(regexp_matches(t, '{N.PRESSURE_PATTERN}') AS INTEGER) AS bp, CAST(regexp_matches(t, '{N.MEASURE_PATTERN}') AS INTEGER) AS ms,
-  CAST(regexp_matches(t, '{N.JARGON_PATTERN}') AS INTEGER) AS jg, CASE WHEN complaints LIKE 'chest%' AND NOT (regexp_matches(l, 'chest|pain|hurt|ache|sore|killing') AND regexp_matches(l, 'fever|temperature|burning up|chills|hot')) THEN 1 ELSE 0 END AS dr FROM x)
+y AS (SELECT conv_id, turn, role, len(ages) AS bad_ages, len(pains) AS bad_pains, CAST(regexp_matches(t, '{N.PRESSURE_PATTERN}') AS INTEGER) AS bp, CAST(regexp_matches(t, '{N.MEASURE_PATTERN}') AS INTEGER) AS ms,
+  CAST(regexp_matches(t, '{N.JARGON_PATTERN}') AS INTEGER) AS jg, CASE WHEN complaints LIKE 'chest%' AND NOT (regexp_matches(l, 'chest|pain|hurt|ache|sore|killing') AND regexp_matches(l, 'fever|temperature|burning up|chills|hot')) THEN 1 ELSE 0 END AS dr FROM x)"""
+
+
+@query("grounding_audit", f"""WITH {_AUDIT}
 SELECT conv_id, turn, CAST(bad_ages + bad_pains + bp + ms + jg + dr AS INTEGER) AS n_reasons, CAST(CASE WHEN bad_ages + bad_pains + bp + ms + jg + dr = 0 THEN 1 ELSE 0 END AS INTEGER) AS grounded FROM y""")
 def grounding_audit(spark, sf):
     return _audited(spark, sf).select("conv_id", "turn", F.size("reasons").alias("n_reasons"), "grounded")
@@ -133,7 +135,8 @@ def _audited(spark, sf):
     return N.grounding_audit(rows, "narrative", "age", "pain", "complaints")
 
 
-@query("grounding_pass_rate")
+@query("grounding_pass_rate", f"""WITH {_AUDIT}, z AS (SELECT role, turn, CASE WHEN bad_ages + bad_pains + bp + ms + jg + dr = 0 THEN 1 ELSE 0 END AS ok FROM y)
+SELECT role, count(*) AS n, sum(ok)::BIGINT AS clean, (count(*) - sum(ok))::BIGINT AS flagged, {R('avg(ok)')} AS pass_rate, {R('avg(turn + 1)')} AS mean_attempts FROM z GROUP BY 1""")
 def grounding_pass_rate(spark, sf):
     """Audit outcome per role, the number of tries standing in the turn number."""
     rows = _audited(spark, sf).withColumn("attempts", F.col("turn") + 1)

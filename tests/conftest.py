@@ -12,7 +12,8 @@ from cohortloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "12g",
+        "spark.sql.ui.retainedExecutions": "5", "spark.ui.retainedJobs": "20", "spark.ui.retainedStages": "20"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

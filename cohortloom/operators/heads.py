@@ -41,7 +41,11 @@ def fit_multiclass(df: DataFrame, features: str, label: str, weight: str | None
         est = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", **params)
     else:
         est = RandomForestClassifier(featuresCol=features, labelCol=label, **params)
-    return (est.setWeightCol(weight) if weight else est).fit(df)
+    model = (est.setWeightCol(weight) if weight else est).fit(df)
+    if kind == "logistic":
+        # the training summary holds the session, which cannot be shipped once observe() was used in it
+        model._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def fit_binary(df: DataFrame, features: str, label: str, weight: str | None = None, **params):

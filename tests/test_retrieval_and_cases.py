@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom import sources
 from cohortloom.operators import aggregates as A
 from cohortloom.operators import cases as N
+from cohortloom.operators import clean as C
 from cohortloom.operators import heads as D
 from cohortloom.operators import joins as J
 from cohortloom.operators import retrieval as T
@@ -141,5 +142,7 @@ def test_heads(spark):
     iso = D.calibrate_isotonic(out, "p1", "y")
     cal = D.apply_isotonic(out, iso, "p1", "cal")
     assert D.gate(cal, "cal").filter("y = 0").count() <= 5
+    kept, _ = C.exclude_with_audit(df, "y", 7)
+    assert kept.count() == 200  # an observation in the same session must not stop the head below
     multi = D.fit_multiclass(rows, "features", "y", maxIter=3)
     assert D.hard_cascade(rows, multi, "c").filter("c = y").count() > 150

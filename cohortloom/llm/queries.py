@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontaminate, packing, simhash, token_files, warc
 from .shipping import ship
 from .tokens import word_vocabulary
 
@@ -35,6 +35,22 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_index(documents(spark, sf), word_vocabulary())
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), word_vocabulary())
+
+
+@query("op8_warc")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return warc.archive_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf))

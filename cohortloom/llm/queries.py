@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, token_files, warc
+from . import decontaminate, html_text, packing, quality, simhash, token_files, warc
 from .shipping import ship
 from .tokens import word_vocabulary
 
@@ -45,6 +45,19 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), word_vocabulary())
 
 
+@query("op6_html_text")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return html_text.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.apply_rules(documents(spark, sf)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
+        "n_failed_lines", "lost_chars")
+
+
 @query("op8_warc")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)

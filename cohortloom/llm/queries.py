@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, simhash, token_files, warc
+from . import decontaminate, html_text, packing, quality, secret_scan, simhash, token_files, warc
 from .shipping import ship
 from .tokens import word_vocabulary
 
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_index(documents(spark, sf), word_vocabulary())
 
 
+@query("op2_secrets")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf, "doc_id", "text", "source"))
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, secret_scan, simhash, token_files, warc
+from . import decontaminate, html_text, packing, quality, secret_scan, simhash, token_files, toxicity, warc
 from .shipping import ship
 from .tokens import word_vocabulary
 
@@ -45,6 +45,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), word_vocabulary())

@@ -36,7 +36,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY_HEADER = "X-Source-Key"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-RECORDS = ("record_id string, key long, uri string, ip string, date string, mime string, head binary, payload binary, "
+RECORDS = ("record_id string, key long, uri string, ip string, date string, mime string, head binary, response binary, "
            "payload_bytes long, payload_digest string")
 FOUND = "record_id string, key long, record_type string, payload_bytes long, payload_digest string, refers string"
 
@@ -105,44 +105,57 @@ def _header(head: bytes, name: str) -> str | None:
     return None
 
 
-def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in RECORDS.split(", ")]
-    types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.string()]
-    ordinal = 0
-    for batch in batches:
-        for archive in batch.column(0):
-            data = archive.as_py()
-            if data is None:
-                continue
-            data = zlib_members(data) if data[:2] == b"\x1f\x8b" else data
-            origin, ordinal = f"{TaskContext.get().partitionId()}/{ordinal}", ordinal + 1
-            rows = []
-            for r in parse_arc(data):
-                head, payload = _split_http(r.content)
-                digest = hashlib.sha256(payload).hexdigest()
-                key = _header(head, KEY_HEADER)
-                d = r.fields["Archive-date"]
-                rows.append((f"urn:uuid:{uuid.uuid5(SPACE, f'{origin}:{r.offset}:{digest}')}", int(key) if key else None,
-                             r.fields["URL"], r.fields["IP-address"],
-                             f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", r.fields["Content-type"],
-                             head, payload, len(payload), digest))
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-
-def convert(archives: DataFrame) -> DataFrame:
-    """Records of ARC archives (binary column content, plain or gzip) with the synthesised WARC values."""
-    return archives.select("content").mapInArrow(_convert, RECORDS)
-
-
-def zlib_members(data: bytes) -> bytes:
-    """All members of a gzip file, one after the other."""
-    out = []
-    while data:
-        member = zlib.decompressobj(wbits=31)
-        out += [member.decompress(data), member.flush()]
-        data = member.unused_data
-    return b"".join(out)
+def _convert(content: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in RECORDS.split(", ")]
+        types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.string()]
+        ordinal = 0
+        for batch in batches:
+            for archive in batch.column(0):
+                data = archive.as_py()
+                if data is None:
+                    continue
+                data = b"".join(members(data)) if data[:2] == b"\x1f\x8b" else data
+                origin, ordinal = f"{TaskContext.get().partitionId()}/{ordinal}", ordinal + 1
+                rows = []
+                for r in parse_arc(data):
+                    head, payload = _split_http(r.content)
+                    digest = hashlib.sha256(payload).hexdigest()
+                    key = _header(head, KEY_HEADER)
+                    d = r.fields["Archive-date"]
+                    row = {"record_id": f"urn:uuid:{uuid.uuid5(SPACE, f'{origin}:{r.offset}:{digest}')}",
+                           "key": int(key) if key else None, "uri": r.fields["URL"], "ip": r.fields["IP-address"],
+                           "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+                           "mime": r.fields["Content-type"], "head": head if content else None, "response": None,
+                           "payload_bytes": len(payload), "payload_digest": digest}
+                    if content:
+                        row["response"] = _member(warc_record(row, None, r.content))
+                    rows.append(tuple(row[n] for n in names))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    return run
+
+
+def convert(archives: DataFrame, content: bool = True) -> DataFrame:
+    """Records of ARC archives (binary column content, plain or gzip) with the synthesised WARC values.
+
+    ``response`` is the finished WARC record, one gzip member; without ``content`` it and ``head`` stay null. An
+    archive's task and place in it go into its identifiers, so both forms give the same ones."""
+    return archives.select("content").mapInArrow(_convert(content), RECORDS)
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """Every member of a gzip file, unpacked."""
+    view, at, step = memoryview(data), 0, 1 << 15
+    while at < len(view):
+        member, out = zlib.decompressobj(wbits=31), []
+        while not member.eof:
+            part = view[at:at + step]
+            if not len(part):
+                raise ValueError("gzip member is cut short")
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        yield b"".join(out)
 
 
 def _member(data: bytes) -> bytes:
@@ -150,8 +163,16 @@ def _member(data: bytes) -> bytes:
     return member.compress(data) + member.flush()
 
 
-def warc_record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
-    lines = [f"{k}: {v}" for k, v in [*fields, ("Content-Length", str(len(block)))] if v is not None]
+def warc_record(row: dict, refers: str | None, block: bytes) -> bytes:
+    """A response record around ``block``, or a revisit record of the record ``refers``."""
+    fields = [
+        ("WARC-Type", "revisit" if refers else "response"), ("WARC-Record-ID", f"<{row['record_id']}>"),
+        ("WARC-Date", row["date"]), ("WARC-Target-URI", row["uri"]), ("WARC-IP-Address", row["ip"]),
+        ("Content-Type", "application/http;msgtype=response"), ("WARC-Identified-Payload-Type", row["mime"]),
+        ("WARC-Profile", PROFILE if refers else None), ("WARC-Refers-To", f"<{refers}>" if refers else None),
+        ("WARC-Payload-Digest", f"sha256:{row['payload_digest']}"),
+        ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))]
+    lines = [f"{k}: {v}" for k, v in fields if v is not None]
     return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -161,17 +182,7 @@ def _write(file_bytes: int):
         size = 0
         for batch in batches:
             for r in batch.to_pylist():
-                revisit = r["refers"] is not None
-                head, payload = r["head"], r["payload"]
-                block = head if revisit else head + payload
-                held.append(_member(warc_record([
-                    ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{r['record_id']}>"),
-                    ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"]),
-                    ("Content-Type", "application/http;msgtype=response"),
-                    ("WARC-Identified-Payload-Type", r["mime"]), ("WARC-Profile", PROFILE if revisit else None),
-                    ("WARC-Refers-To", f"<{r['refers']}>" if revisit else None),
-                    ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}"),
-                    ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")], block)))
+                held.append(r["response"] if r["refers"] is None else _member(warc_record(r, r["refers"], r["head"])))
                 size += len(held[-1])
                 if size >= file_bytes:
                     yield pa.record_batch([pa.array([b"".join(held)], pa.binary())], names=["content"])
@@ -181,13 +192,13 @@ def _write(file_bytes: int):
     return write
 
 
-def mark_revisits(records: DataFrame, least: int = 100) -> DataFrame:
+def mark_revisits(records: DataFrame, digests: DataFrame, least: int = 100) -> DataFrame:
     """``records`` with ``refers``: the identifier of the response with an equal payload, null for responses.
 
-    Digests are counted in a pass of their own, so payloads of one digest never have to meet; only digests that occur
-    twice are joined. Of equal keys the smallest identifier is the response; null keys come last."""
+    ``digests`` are the same records, without content where that is cheaper. They are counted in a pass of their own,
+    so payloads of one digest never have to meet; only digests that occur twice are joined. Of equal keys the smallest identifier is the response; null keys come last."""
     order = F.struct(F.col("key").isNull().alias("none"), "key", "record_id")
-    first = (records.where(F.col("payload_bytes") >= least).groupBy("payload_digest")
+    first = (digests.where(F.col("payload_bytes") >= least).groupBy("payload_digest")
              .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
              .select("payload_digest", F.col("first.record_id").alias("origin")))
     return records.join(first, "payload_digest", "left").withColumn(
@@ -201,10 +212,7 @@ def write_warc(records: DataFrame, folder: str, file_bytes: int = 16 << 20) -> N
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record of one WARC file by declared lengths."""
-    while data:
-        member = zlib.decompressobj(wbits=31)
-        record = member.decompress(data) + member.flush()
-        data = member.unused_data
+    for record in members(data):
         at = 0
         while at < len(record):
             end = record.index(b"\r\n\r\n", at)
@@ -273,7 +281,8 @@ def archive_pages(pages: DataFrame, least: int = 100) -> DataFrame:
     identifier is the response. No pages give no rows."""
     spark = pages.sparkSession
     folder = new_folder(spark)
-    write_warc(mark_revisits(convert(arc_archives(pages)), least), folder)
+    archives = arc_archives(pages)
+    write_warc(mark_revisits(convert(archives), convert(archives, content=False), least), folder)
     found = durable(read_warc(spark, folder))
     origin = found.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("key").alias("refers_to"))
     revisits = found.where("refers IS NOT NULL").join(origin, "refers", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, secret_scan, simhash, token_files, toxicity, warc
+from . import decontaminate, html_text, packing, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, warc
 from .shipping import ship
 from .tokens import word_vocabulary
 
@@ -74,6 +74,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf)).drop("spans")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))

@@ -224,12 +224,14 @@ def _merge(spans: Sequence[int]) -> list[int]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id",
-                       item_text: str = "text", shard_words: int = 1 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+                       item_text: str = "text", shard_words: int = 1 << 20, block_bytes: int = 16 << 20,
+                       remove: bool = False) -> DataFrame:
     """``docs`` with n_words, hit_spans (word numbers start, end, start, end, ...; merged) and hit_items (distinct ids as
     strings) appended; a column of ``docs`` with such a name is replaced.
 
     Null and empty texts have no words. Items without words match nothing; items without id count as hits but are not
-    named. An item of fewer than ``width`` words is one window. Without items or rows nothing is hit. A document is
+    named. An item of fewer than ``width`` words is one window. With ``remove`` the hit words, and what stands between words
+    of one span, are taken out of the text. Without items or rows nothing is hit. A document is
     never cut, so a shard is as large as its longest document at least."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).where("t <> ''").distinct()
@@ -242,7 +244,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, t
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     position = kept.index(text)
 
-    def scan(windows):
+    def scan(windows, cut: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             texts: list[list[bytes]] = []
@@ -255,7 +257,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, t
                 for (s, n), (s0, n0) in zip(found, before):
                     spans.append(_merge([*s0, *s]) if s0 else s)
                     names.append(sorted({*n0, *n}))
-                return pa.record_batch([*table.columns[:len(kept)], pa.array([len(t) for t in texts], pa.int64()),
+                columns = table.columns[:len(kept)]
+                if cut and any(spans):
+                    columns[position] = pa.array([_cut(t, s) if s else t for t, s in zip(
+                        columns[position].to_pylist(), spans)], columns[position].type)
+                return pa.record_batch([*columns, pa.array([len(t) for t in texts], pa.int64()),
                                         pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
                                        names=table.schema.names)
 
@@ -278,7 +284,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, t
     for block in range(max(1, blocks)):
         mine = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(max(1, blocks))) == block).collect()
         windows = spark.sparkContext.broadcast(Windows([(r["id"], r["t"]) for r in sorted(mine, key=str)], width))
-        out = out.mapInArrow(scan(windows), schema)
+        out = out.mapInArrow(scan(windows, remove and block == max(1, blocks) - 1), schema)
     return out
 
 
@@ -292,12 +298,6 @@ def _cut(text: str, spans: Sequence[int]) -> str:
     return b"".join([*out, raw[done:]]).decode()
 
 
-def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
-    """``found`` with the words of hit_spans, and what stands between words of one span, taken out of ``text``."""
-    cut = F.udf(_cut, "string")
-    return found.withColumn(text, F.when(F.size("hit_spans") > 0, cut(text, "hit_spans")).otherwise(F.col(text)))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
     found = find_contamination(docs.select("doc_id", "text"), benchmark)

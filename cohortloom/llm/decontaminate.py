@@ -80,7 +80,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for j in range(k):
         ahead = np.zeros(n, np.int64)
-        ahead[:n - j] = text[j:]
+        ahead[:max(0, n - j)] = text[j:]
         open_ &= ahead > 0
         key = (key << bits) | np.where(open_, ahead, 0)
     order = np.sort((key << place) | np.arange(n))

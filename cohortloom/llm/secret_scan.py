@@ -50,11 +50,10 @@ def _spans(matches: Column, pieces: Column, rank: int, value) -> Column:
         F.array().cast(f"array<{SPAN}>"))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_tokens``: spans of the base patterns, and of long tokens clear of them."""
+def find(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_base`` and ``_tokens``: spans of the base patterns in ``_text``, and of long tokens clear of them."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "token": TOKEN}
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({f"_m_{k}": F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in patterns.items()})
+    out = docs.withColumns({f"_m_{k}": F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in patterns.items()})
     out = out.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split("_text", p, -1))
                            for k, p in patterns.items()})
     assigned = lambda m: F.regexp_extract(m, ASSIGN, 2)
@@ -81,18 +80,13 @@ def ownership(found: DataFrame, limits: Ownership = Ownership()) -> DataFrame:
             .withColumn("live", (F.col("n_owners") <= limits.owners) & (F.col("n_repositories") <= limits.repositories)))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text",
-         keep: list[str] | None = None, limits: Ownership = Ownership()) -> DataFrame:
-    """``keep`` columns of ``docs`` (default: all) with ``base`` and ``found``, arrays of (start, kind, end, live) by
-    start, then kind: base spans alone, and base spans with the owned ones.
-
-    Null and empty texts hold nothing. A missing repository or owner counts as one of its own. Repeated rows are
-    judged and returned each; no rows give no rows. Positions are code points, ends exclusive."""
-    keep = list(docs.columns) if keep is None else keep
-    own = docs.withColumns({"_repo": F.coalesce(F.col(repository).cast("string"), F.lit("")),
-                            "_owner": F.coalesce(F.col(owner).cast("string"), F.lit("")),
-                            "_row": F.monotonically_increasing_id()})
-    stored = durable(find(own, text).select(*keep, "_row", "_repo", "_owner", "_base", "_tokens"))
+def _judged(docs: DataFrame, keep: list[str], repository: str, owner: str, text: str, limits: Ownership) -> DataFrame:
+    """``_all``, a structure of the ``keep`` columns, with base and found; no column of ``docs`` can clash."""
+    own = docs.select(F.struct(*keep).alias("_all"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
+                      F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"),
+                      F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
+                      F.monotonically_increasing_id().alias("_row"))
+    stored = durable(find(own).select("_all", "_row", "_repo", "_owner", "_base", "_tokens"))
     some = (F.size("_base") > 0) | (F.size("_tokens") > 0)
     items = stored.where(some).select("_row", "_repo", "_owner", F.explode(F.concat("_base", "_tokens")).alias("s"))
     items = items.select("_row", "_repo", "_owner", "s.start", "s.rank", "s.end", "s.hash")
@@ -105,10 +99,20 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", tex
     rows = rows.select("_row", F.transform(F.filter("found", lambda s: s["rank"] < 3), shape).alias("base"),
                        F.transform("found", shape).alias("found"))
     empty = F.array().cast("array<struct<start:int,kind:string,end:int,live:boolean>>")
-    with_some = stored.where(some).join(rows, "_row", "left").withColumns({
-        "base": F.coalesce("base", empty), "found": F.coalesce("found", empty)})
-    without = stored.where(~some).withColumns({"base": empty, "found": empty})
-    return with_some.select(*keep, "base", "found").unionByName(without.select(*keep, "base", "found"))
+    with_some = stored.where(some).join(rows, "_row", "left").select(
+        "_all", F.coalesce("base", empty).alias("base"), F.coalesce("found", empty).alias("found"))
+    return with_some.unionByName(stored.where(~some).select("_all", empty.alias("base"), empty.alias("found")))
+
+
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text",
+         keep: list[str] | None = None, limits: Ownership = Ownership()) -> DataFrame:
+    """``keep`` columns of ``docs`` (default: all) with ``base`` and ``found``, arrays of (start, kind, end, live) by
+    start, then kind: base spans alone, and base spans with the owned ones. Columns of these two names are replaced.
+
+    Null and empty texts hold nothing. A missing repository or owner counts as one of its own. Repeated rows are
+    judged and returned each; no rows give no rows. Positions are code points, ends exclusive."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "found")]
+    return _judged(docs, keep, repository, owner, text, limits).select("_all.*", "base", "found")
 
 
 def listed(spans: str) -> Column:
@@ -130,11 +134,12 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", live: str = "[SECRET]", copied: str = "[EXAMPLE-SECRET]",
-           **options) -> DataFrame:
+           repository: str = "doc_id", owner: str = "source", limits: Ownership = Ownership()) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by a mark that tells live ones from copied examples.
 
     Overlapping findings become one mark, a live one if any of them is live."""
-    found = scan(docs, text=text, **options)
+    found = _judged(docs, docs.columns, repository, owner, text, limits)
+    whole = F.col(f"_all.{text}")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("stop"), F.lit(False).alias("live"))
 
     def close(acc: Column) -> Column:
@@ -143,13 +148,14 @@ def redact(docs: DataFrame, text: str = "text", live: str = "[SECRET]", copied:
 
     def step(acc: Column, s: Column) -> Column:
         joins = s["start"] < acc["stop"]
-        gap = F.substring(F.col(text), acc["stop"] + 1, s["start"] - acc["stop"])
+        gap = F.substring(whole, acc["stop"] + 1, s["start"] - acc["stop"])
         return F.struct(s["start"].alias("at"), F.when(joins, acc["out"]).otherwise(F.concat(close(acc), gap)).alias("out"),
                         F.greatest(acc["stop"], s["end"]).alias("stop"),
                         F.when(joins, acc["live"] | s["live"]).otherwise(s["live"]).alias("live"))
 
     def end(acc: Column) -> Column:
-        return F.concat(close(acc), F.substring(F.col(text), acc["stop"] + 1, F.length(text)))
+        return F.concat(close(acc), F.substring(whole, acc["stop"] + 1, F.length(whole)))
 
     cut = F.aggregate("found", begin, step, end)
-    return found.withColumn(text, F.when(F.size("found") > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    new = F.when(F.size("found") > 0, cut).otherwise(whole).alias(text)
+    return found.select(*[new if c == text else F.col(f"_all.{c}") for c in docs.columns])

@@ -5,12 +5,14 @@ at the same place. So neighbourhoods of such anchors, wide enough for all string
 
 1. Anchors with the hash of their whole neighbourhood meet by seed. Of equal neighbourhoods all but the earliest are
    repeats from end to end. Seeds with one neighbourhood are done.
-2. The earliest of each different neighbourhood of a seed are fetched and suffix-sorted in chunks: suffixes smaller than
+2. The earliest of each different neighbourhood of a seed are fetched. Those that share no window of a little less than
+   ``length`` bytes around the seed are let go, the rest is suffix-sorted in chunks: suffixes smaller than
    their successor are sorted directly, all others are induced by scanning the buckets of first bytes, and neighbours
    in the order with a common prefix of ``length`` bytes form runs whose earliest member stays.
 3. Spans are merged per document and taken out.
 
-A seed with more neighbourhoods than a chunk holds is keyed by its exact strings instead, so no group is unbounded."""
+A seed with more neighbourhoods than a chunk holds (a common line, say) is keyed by those windows instead of itself, and
+what still does not fit a chunk is compared string by string."""
 
 from __future__ import annotations
 
@@ -28,11 +30,12 @@ from ..session import durable
 SEED = 32
 #: Positions of one chunk; ranks of its eight-byte words fit in 21 bits, three to a key.
 CHUNK = 1 << 21
+PARTS = 4
 M = np.uint64(0x9E3779B97F4A7C15)
 M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 VALUES = np.random.default_rng(11).integers(1, 1 << 62, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOUND = "kind int, h long, c long, doc long, tie long, pos int, stop int"
-CONTEXTS = "key long, sub long, doc long, tie long, start int, context binary"
+CONTEXTS = "key long, doc long, tie long, start int, seed int, context binary"
 SPANS = "doc long, tie long, pos int, stop int"
 
 
@@ -179,6 +182,28 @@ def _judge(length: int):
     return run
 
 
+def windows(reach: int) -> list[tuple[int, int]]:
+    """Bytes to the left and right of a seed, so that every string around it contains one of these windows whole."""
+    step = -(-(reach + 1) // PARTS)
+    return [(i * step, max(0, reach - ((i + 1) * step - 1))) for i in range(PARTS)]
+
+
+def window_keys(contexts: Sequence[bytes], seed: np.ndarray, reach: int) -> np.ndarray:
+    """A hash per context and window; windows that reach over the context's edge have hashes of their own."""
+    size = np.asarray([len(c) for c in contexts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    at = begin[:-1] + seed
+    out = np.empty((len(contexts), PARTS), np.int64)
+    own = np.arange(len(contexts), dtype=np.uint64) << np.uint64(3)
+    for i, (left, right) in enumerate(windows(reach)):
+        ok = (seed >= left) & (seed + SEED + right <= size)
+        a, b = np.where(ok, at - left, 0), np.where(ok, at + SEED + right, 0)
+        tag = _mix(np.full(len(contexts), i + 1, np.uint64))
+        out[:, i] = np.where(ok, substring_hash(text, a, b) ^ tag, _mix(own | np.uint64(i)) | np.uint64(1)).view(np.int64)
+    return out
+
+
 def _fetch(length: int, chunk_contexts: int):
     reach = length - SEED
 
@@ -186,19 +211,19 @@ def _fetch(length: int, chunk_contexts: int):
         names = [f.split()[0] for f in CONTEXTS.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
-            for r in batch.to_pylist():
-                raw = _unpack(r["packed"])
-                text = np.frombuffer(raw, np.uint8)
-                for w in r["wanted"]:
-                    a, b = max(0, w["pos"] - reach), min(len(raw), w["pos"] + SEED + reach)
-                    if w["n"] <= chunk_contexts:
-                        rows.append((w["h"], 0, r["doc"], r["tie"], a, raw[a:b]))
-                    elif b - a >= length:
-                        s = np.arange(a, b - length + 1)
-                        keys = [substring_hash(text[a:b], s - a, s - a + length, f).view(np.int64).tolist() for f in (0, 1)]
-                        rows += [(x, y, r["doc"], r["tie"], i, None) for x, y, i in zip(*keys, s.tolist())]
+            for doc, tie, packed, hs, ns, ps in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = zlib.decompress(packed)
+                for h, n, at in zip(hs, ns, ps):
+                    a, b = max(0, at - reach), min(len(raw), at + SEED + reach)
+                    if b - a < length:
+                        continue
+                    row = (h, doc, tie, a, at - a, raw[a:b])
+                    if n <= chunk_contexts:
+                        rows.append(row)
+                    else:
+                        rows += [(k, *row[1:]) for k in window_keys([row[5]], np.asarray([at - a]), reach)[0].tolist()]
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     return run
 
@@ -327,51 +352,80 @@ def repeated_starts(contexts: Sequence[bytes], order: np.ndarray, base: np.ndarr
     return ctx[later], off[later]
 
 
+def compared_starts(contexts: Sequence[bytes], seed: np.ndarray, order: np.ndarray, base: np.ndarray,
+                    length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for contexts of one seed, string by string at equal distance from the seed; memory for one distance."""
+    rank = list(zip(order.tolist(), base.tolist()))
+    found: list[tuple[int, int]] = []
+    for shift in range(length - SEED + 1):
+        place = [(i, s - shift) for i, s in enumerate(seed.tolist()) if s >= shift and s - shift + length <= len(contexts[i])]
+        first: dict[bytes, tuple[int, int]] = {}
+        for i, o in place:
+            string, mine = contexts[i][o:o + length], (rank[i][0], rank[i][1] + o)
+            first[string] = min(first.get(string, mine), mine)
+        found += [(i, o) for i, o in place if first[contexts[i][o:o + length]] < (rank[i][0], rank[i][1] + o)]
+    ctx, off = zip(*found) if found else ((), ())
+    return np.asarray(ctx, np.int64), np.asarray(off, np.int64)
+
+
 def _sort(length: int):
+    reach = length - SEED
+    width = length + reach + 8
+    most = CHUNK // width
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in SPANS.split(", ")]
-        width = 2 * length - SEED + 8
-        held: list[tuple] = []
-        last: tuple | None = None
-        exact: list[tuple] = []
-
-        def record(doc, tie, start, stop) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(start, pa.int32()),
-                                    pa.array(stop, pa.int32())], names=names)
-
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            places = sorted({(r[2], r[3]) for r in rows})
-            number = {d: i for i, d in enumerate(places)}
-            order = np.asarray([number[r[2], r[3]] for r in rows])
-            base = np.asarray([r[4] for r in rows])
-            ctx, off = repeated_starts([r[5] for r in rows], order, base, length)
-            if not len(ctx):
-                return
+        def spans(rows: pa.Table, one_seed: bool) -> pa.RecordBatch:
+            doc, tie, start, seed = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4))
+            contexts = rows.column(5).to_pylist()
+            order = np.unique(np.stack([doc, tie], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+            if one_seed:
+                ctx, off = compared_starts(contexts, seed, order, start, length)
+            else:
+                ctx, off = repeated_starts(contexts, order, start, length)
             key = np.unique(ctx * width + off)
-            head = np.concatenate([[True], key[1:] != key[:-1] + 1])
-            tail = np.concatenate([head[1:], [True]])
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1] + 1
+            tail = np.ones(len(key), bool)
+            tail[:-1] = head[1:]
             ctx, a, b = key[head] // width, key[head] % width, key[tail] % width
-            yield record([rows[i][2] for i in ctx.tolist()], [rows[i][3] for i in ctx.tolist()], base[ctx] + a,
-                         base[ctx] + b + length)
+            return pa.record_batch([pa.array(doc[ctx]), pa.array(tie[ctx]), pa.array((start[ctx] + a).astype(np.int32)),
+                                    pa.array((start[ctx] + b + length).astype(np.int32))], names=["doc", "tie", "pos", "stop"])
+
+        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            contexts, seed = rows.column(5).to_pylist(), rows.column(4).to_numpy().astype(np.int64)
+            keys = window_keys(contexts, seed, reach)
+            _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+            rows = rows.filter(pa.array((times[which.reshape(keys.shape)] > 1).any(axis=1)))
+            key = rows.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+            begin = 0
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - begin > most and a > begin:
+                    yield spans(rows.slice(begin, a - begin), False)
+                    begin = a
+                if b - begin > most:
+                    yield spans(rows.slice(begin, b - begin), True)
+                    begin = b
+            if begin < len(key):
+                yield spans(rows.slice(begin), False)
 
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[5] is None:
-                    if last is not None and row[:2] == last[:2]:
-                        if row[2:5] != last[2:5]:
-                            exact.append((row[2], row[3], row[4], row[4] + length))
-                    else:
-                        last = row
-                    continue
-                if held and row[0] != held[-1][0] and len(held) * width > CHUNK // 2:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
-            if exact:
-                yield record(*zip(*exact))
-                exact = []
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows.column(0).to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
+            if last:
+                yield from flush(rows.slice(0, last))
+                rest = rows.slice(last)
+                held, size = rest.to_batches(), rest.num_rows
         if held:
-            yield from flush(held)
+            yield from flush(pa.Table.from_batches(held))
     return run
 
 
@@ -382,28 +436,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["doc", "tie", "packed"])
 
 
-def _unpack(packed: bytes) -> bytes:
-    return zlib.decompress(packed)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
-            raw = _unpack(r["packed"])
-            cuts: list[list[int]] = []
-            for s in sorted((s["pos"], s["stop"]) for s in r["spans"] or ()):
-                if cuts and s[0] <= cuts[-1][1]:
-                    cuts[-1][1] = max(cuts[-1][1], s[1])
-                else:
-                    cuts.append([*s])
-            kept, done = hashlib.sha256(), 0
-            for a, b in cuts:
-                kept.update(raw[done:a])
-                done = b
-            kept.update(raw[done:])
-            flat = [x for c in cuts for x in c]
-            rows.append((r["doc"], len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), flat))
+        for doc, packed, spans in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            raw = zlib.decompress(packed.as_py())
+            flat = np.zeros(0, np.int64)
+            if spans.is_valid:
+                both = np.sort(spans.values.to_numpy())  # start in the high half, stop in the low
+                start, stop = both >> 32, np.maximum.accumulate(both & 0xFFFFFFFF)
+                head = np.ones(len(both), bool)
+                head[1:] = start[1:] > stop[:-1]
+                last = np.ones(len(both), bool)
+                last[:-1] = head[1:]
+                flat = np.stack([start[head], stop[last]], axis=1).reshape(-1)
+            kept, view = hashlib.sha256(), memoryview(raw)
+            for a, b in zip([0, *flat[1::2].tolist()], [*flat[::2].tolist(), len(raw)]):
+                kept.update(view[a:b])
+            rows.append((doc, len(raw), int((flat[1::2] - flat[::2]).sum()), len(flat) // 2, kept.hexdigest(), flat))
         if rows:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)],
@@ -427,15 +477,16 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
              .sortWithinPartitions("kind", "h", "c", "doc", "tie", "pos").mapInArrow(_judge(length), FOUND))
     found = durable(found)
     wanted = (found.where("kind = 2").groupBy("doc", "tie")
-              .agg(F.collect_list(F.struct("h", F.col("c").alias("n"), "pos")).alias("wanted")))
+              .agg(F.collect_list("h").alias("hs"), F.collect_list("c").alias("ns"), F.collect_list("pos").alias("ps")))
     packed = rows.mapInArrow(_pack, "doc long, tie long, packed binary")
     once = packed if unique else packed.dropDuplicates(["doc", "tie"])
     chunk_contexts = CHUNK // (2 * length - SEED + 8) // 2
     contexts = once.join(wanted, ["doc", "tie"]).mapInArrow(_fetch(length, chunk_contexts), CONTEXTS)
-    sorted_out = durable(contexts.repartition(n, "key").sortWithinPartitions("key", "sub", "doc", "tie", "start")
+    sorted_out = durable(contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "tie", "start")
                          .mapInArrow(_sort(length), SPANS))
     spans = found.where("kind = 1").select("doc", "tie", "pos", "stop").unionByName(sorted_out)
-    spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
+    both = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
+    spans = spans.groupBy("doc", "tie").agg(F.collect_list(both).alias("spans"))
     cut = packed.join(spans, ["doc", "tie"], "left").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))

@@ -40,7 +40,7 @@ PATTERNS = [((0, *c), DECAY ** (c[-1] - 3)) for c in combinations(range(1, 4 + G
 @dataclass(frozen=True)
 class Training:
     #: Bound of the labelled rows that the classifier is fitted on, taken by hash of the id.
-    max_documents: int = 20_000
+    max_documents: int = 12_000
     toxic_landmarks: int = 160
     clean_landmarks: int = 64
     rounds: int = 2
@@ -103,15 +103,31 @@ def subsequences(x: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         yield number, weight
 
 
-def features(x: np.ndarray, starts: int | None = None) -> dict[int, float]:
-    """Weighted subsequence counts of one short string, of those that begin in its first ``starts`` letters."""
-    padded = np.concatenate([x, np.zeros(PAD, np.uint8)])
+SEEN = WINDOW + 3 + GAPS
+WEIGHTS = np.repeat([w for _, w in PATTERNS], WINDOW)
+
+
+def window_features(windows: Sequence[bytes]) -> np.ndarray:
+    """Subsequence numbers of windows, one row each, in the order of ``WEIGHTS``; those that end in white space are 0."""
+    flat = b"".join(w[:SEEN].ljust(SEEN, b"\0") for w in windows)
+    x = np.frombuffer(flat, np.uint8).reshape(-1, SEEN).astype(np.int32)
+    columns = []
+    for offsets, _ in PATTERNS:
+        number = np.zeros((len(x), WINDOW), np.int32)
+        for o in offsets:
+            number = number * BASE + x[:, o:o + WINDOW]
+        columns.append(np.where(number % BASE, number, 0))
+    return np.concatenate(columns, axis=1)
+
+
+def features(window: bytes) -> dict[int, float]:
+    """Weighted subsequence counts of one window, scaled to a self-kernel of 1."""
     out: dict[int, float] = {}
-    for number, weight in subsequences(padded):
-        for k in number[:len(x) if starts is None else starts].tolist():
-            if k % BASE:  # ends inside the string
-                out[k] = out.get(k, 0.0) + weight
-    return out
+    for k, weight in zip(window_features([window])[0].tolist(), WEIGHTS.tolist()):
+        if k:
+            out[k] = out.get(k, 0.0) + weight
+    norm = np.sqrt(sum(v * v for v in out.values())) or 1.0
+    return {k: v / norm for k, v in out.items()}
 
 
 def window_scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -177,7 +193,7 @@ def _witnesses(weights):
             if not texts:
                 continue
             best, at, x = strongest(texts, weights.value)
-            found = [[x[i:i + WINDOW + 3 + GAPS].tobytes() for i in row if i >= 0] for row in at.tolist()]
+            found = [[x[i:i + SEEN].tobytes() for i in row if i >= 0] for row in at.tolist()]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.binary())), pa.array(best)],
                                   names=["label", "seen", "score"])
     return run
@@ -191,26 +207,20 @@ def _fold(landmarks: Sequence[dict[int, float]], by: np.ndarray) -> np.ndarray:
     return weights
 
 
-def _unit(z: dict[int, float]) -> dict[int, float]:
-    norm = np.sqrt(sum(v * v for v in z.values())) or 1.0
-    return {k: v / norm for k, v in z.items()}
-
-
-def _kernel(xs: Sequence[dict[int, float]], zs: Sequence[dict[int, float]]) -> np.ndarray:
-    place: dict[int, int] = {}
-    for z in zs:
-        for k in z:
-            place.setdefault(k, len(place))
-    dense = np.zeros((len(place), len(zs)))
-    for j, z in enumerate(zs):
+def _kernel(rows: np.ndarray, landmarks: Sequence[dict[int, float]]) -> np.ndarray:
+    """Kernel values of windows, given by their features, against the landmarks."""
+    place = np.zeros(BASE ** 4, np.int32)
+    numbers = sorted({k for z in landmarks for k in z})
+    place[numbers] = np.arange(1, len(numbers) + 1)
+    dense = np.zeros((len(numbers) + 1, len(landmarks)), np.float32)
+    for j, z in enumerate(landmarks):
         for k, v in z.items():
             dense[place[k], j] = v
-    out = np.zeros((len(xs), len(zs)))
-    for i, x in enumerate(xs):
-        rows = [(place[k], v) for k, v in x.items() if k in place]
-        if rows:
-            at, v = zip(*rows)
-            out[i] = np.asarray(v) @ dense[list(at)]
+    out = np.zeros((len(rows), len(landmarks)), np.float32)
+    for j, weight in enumerate(WEIGHTS):
+        at = place[rows[:, j]]
+        some = np.flatnonzero(at)
+        out[some] += np.float32(weight) * dense[at[some]]
     return out
 
 
@@ -273,7 +283,7 @@ def fit(labelled: DataFrame, training: Training = Training()) -> Model:
            .limit(training.toxic_landmarks).select("gram").collect())
     if not top:
         return flat
-    toxic = [_unit(features(_spell(r["gram"]))) for r in top]
+    toxic = [features(_spell(r["gram"]).tobytes()) for r in top]
     weights = _fold(toxic, np.ones(len(toxic)))
 
     def witnesses() -> list[tuple[int, tuple[bytes, ...], float]]:
@@ -282,23 +292,24 @@ def fit(labelled: DataFrame, training: Training = Training()) -> Model:
         return sorted((int(r["label"] > 0), tuple(map(bytes, r["seen"])), r["score"]) for r in rows)
 
     clean: dict[tuple[bytes, ...], None] = {}
-    windows: dict[bytes, dict[int, float]] = {}
     for _ in range(training.rounds):
         rows = witnesses()
-        for w in {w for r in rows for w in r[1]} - windows.keys():
-            windows[w] = features(np.frombuffer(w, np.uint8), WINDOW)
         clean.update({r[1]: None for r in rows if not r[0]})
-        value = {w: sum(weights[k] * v for k, v in windows[w].items()) for c in clean for w in c}
-        hard = sorted((w for w in value if windows[w]), key=lambda w: (-value[w], w))[:training.clean_landmarks]
-        landmarks = [*toxic, *[_unit(windows[w]) for w in hard]]
-        values, vectors = np.linalg.eigh(_kernel(landmarks, landmarks))
+        bags = [*[r[1] for r in rows if r[0]], *clean]
+        names = sorted({w for b in bags for w in b})
+        place = {w: i for i, w in enumerate(names)}
+        numbers = window_features(names)
+        value = weights[numbers] @ WEIGHTS.astype(np.float32)
+        hard = sorted({place[w] for b in clean for w in b}, key=lambda i: (-value[i], i))[:training.clean_landmarks]
+        landmarks = [*toxic, *[z for z in (features(names[i]) for i in hard) if z]]
+        gram = np.stack([[sum(v * y.get(k, 0.0) for k, v in x.items()) for y in landmarks] for x in landmarks])
+        values, vectors = np.linalg.eigh(gram)
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
-        names = list(windows)
-        place = {w: i for i, w in enumerate(names)}
-        single = np.vstack([_kernel([windows[w] for w in names], landmarks), np.zeros(len(landmarks))])
-        bags = [*[r[1] for r in rows if r[0]], *clean]
-        bag = np.stack([single[[place[w] for w in b] + [-1] * (WITNESSES - len(b))].sum(axis=0) for b in bags])
+        single = np.vstack([_kernel(numbers, landmarks), np.zeros((1, len(landmarks)), np.float32)])
+        bag = np.zeros((len(bags), len(landmarks)))
+        for k in range(WITNESSES):
+            bag += single[[place[b[k]] if k < len(b) else -1 for b in bags]]
         svm, _ = squared_hinge(bag @ root, np.arange(len(bags)) < len(bags) - len(clean), training.penalty)
         weights = _fold(landmarks, root @ svm)
     rows = witnesses()

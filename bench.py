@@ -12,14 +12,15 @@ import sys
 import time
 
 from cohortloom.plans import QUERIES
-from cohortloom.session import build_session
+from cohortloom.session import build_session, local_checkpoint_dir
 
 HEADLINE = [
     "prior_order_history", "history_block", "last_prior_payload", "cohort_join", "semi_scan", "one_per_key",
     "mode_group_per_part", "summary_stats", "series_stats", "longitudinal_block", "reading_sequence", "normalize_docs",
     "negated_flags", "tfidf_vocab", "tfidf_weights", "token_prior_apply", "med_block", "rank_blend3", "flat_top10",
     "weight_grid", "oracle_recall", "threshold_sweep", "visit_ranking", "calibration_bins", "ordinal_report",
-    "subgroup_report", "stratified_split", "score_modes",
+    "subgroup_report", "stratified_split", "score_modes", "training_table", "nested_split", "median_impute", "pareto_three",
+    "soft_cascade_head", "binary_head_gate", "calibrated_classes", "importance_groups",
 ]
 
 
@@ -30,6 +31,7 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
     spark.sparkContext.setLogLevel("OFF")
+    local_checkpoint_dir(spark)
     spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_orderstatus").count().collect()
     times: dict[str, float] = {}
     for name in names:

@@ -69,12 +69,15 @@ def soft_cascade(df: DataFrame, model, names: Sequence[str]) -> DataFrame:
     return scored.withColumns({n: F.get("__p", F.lit(i)) for i, n in enumerate(names)}).drop("__p", *_MODEL_COLS)
 
 
-def calibrate_isotonic(holdout: DataFrame, score: str, label: str):
-    """Isotonic map from score to observed rate, fitted on a holdout. MLlib's isotonic fit gathers one
-    point per distinct score at its last step; scores are therefore averaged on a 1e-4 grid first, so
-    that step sees at most about ten thousand weighted points whatever the holdout size."""
-    grid = F.round(F.col(score), 4)
-    points = holdout.groupBy(grid.alias("x")).agg(
+def calibrate_isotonic(holdout: DataFrame, score: str, label: str, max_rows: int | None = None, seed: int = 42):
+    """Isotonic map from score to observed rate, fitted on the scores of a holdout as they are.
+
+    Equal scores are merged into one weighted point, which leaves the fit unchanged. MLlib gathers the points at its
+    last step; ``max_rows`` bounds them by fitting on about so many holdout rows, chosen by hash (off by default)."""
+    if max_rows is not None:
+        share = min(1.0, max_rows / max(1, holdout.count()))
+        holdout = holdout.sample(fraction=share, seed=seed) if share < 1 else holdout
+    points = holdout.groupBy(F.col(score).cast("double").alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(points)
 

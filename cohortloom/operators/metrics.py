@@ -33,7 +33,8 @@ def confusion(df: DataFrame, truth: str, pred: str, labels: Sequence, by: Sequen
 
 
 def complete_confusion(counts: DataFrame, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Given label-pair counts, add the missing pairs and the share of each true class."""
+    """Given label-pair counts, add the missing pairs and the share of each true class. Pairs with a NULL or unlisted
+    label are no part of the table; ``confusion_remainder`` counts them."""
     lits = F.array(*[F.lit(x) for x in labels])
     groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
     grid = groups.select("*", F.explode(lits).alias("true_label")).select("*", F.explode(lits).alias("pred_label"))
@@ -43,6 +44,15 @@ def complete_confusion(counts: DataFrame, labels: Sequence, by: Sequence[str] =
     return full.withColumn("row_share", F.round(_div(F.col("n"), row), 6))
 
 
+def confusion_remainder(df: DataFrame, truth: str, pred: str, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """Rows that ``confusion`` leaves out: ``n_truth`` with a NULL or unlisted true label, ``n_pred`` with a listed true
+    label but a NULL or unlisted prediction, and ``n`` rows in all. Listed pairs and these two add up to ``n``."""
+    known = F.coalesce(F.col(truth).isin(*labels), F.lit(False))
+    said = F.coalesce(F.col(pred).isin(*labels), F.lit(False))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~known).alias("n_truth"),
+                               F.count_if(known & ~said).alias("n_pred"))
+
+
 def confusion_wide(conf: DataFrame, labels: Sequence, prefix: str = "pred_") -> DataFrame:
     """One row per true label, one count column per predicted label."""
     wide = conf.groupBy("true_label").pivot("pred_label", list(labels)).agg(F.sum("n"))

@@ -11,7 +11,7 @@ from ..operators import aggregates as A
 from ..operators import clean as C
 from ..operators import joins as J
 from ..sources import read_codes, scan_for_keys
-from .registry import R, VISITS, query, r6, rounded, table, texts, visits
+from .registry import R, VISITS, query, r6, rounded, table, visits
 
 # --- scans and joins ---------------------------------------------------------------------------------
 
@@ -335,7 +335,7 @@ def sql_normalize(col: str) -> str:
 SELECT doc_id, CAST(len(list_filter(string_split(text, ','), lambda p: trim(p) <> '')) AS INTEGER) AS n_complaints,
   CAST(length({sql_normalize('text')}) AS INTEGER) AS complaint_length FROM documents""")
 def count_parts(spark, sf):
-    d = C.count_parts(texts(spark, sf, "documents", "doc_id", "text"), "text")
+    d = C.count_parts(table(spark, sf, "documents", "doc_id", "text"), "text")
     return d.select("doc_id", "n_complaints", F.length(normalize_text(F.col("text"))).alias("complaint_length"))
 
 
@@ -388,7 +388,7 @@ def block_precedence(spark, sf):
         (F.col("o_orderkey") % 2).alias("flag"), (F.col("o_orderkey") % 7).alias("n_prior")).alias("pmh_block")))) \
         .when(F.col("o_orderstatus") == "O", F.lit('{"flag": 1}'))
     rec = o.select(F.col("o_orderkey").alias("doc_id"), parse_block(fields, "flag int, n_prior int", "pmh_block").alias("record"))
-    docs = vocab.history_flags(texts(spark, sf, "documents", "doc_id", "text"), "text", {"reported": ["the"]})
+    docs = vocab.history_flags(table(spark, sf, "documents", "doc_id", "text"), "text", {"reported": ["the"]})
     out = C.choose_block(docs.join(rec, "doc_id"), "record", {"flag": F.col("reported")}, F.col("reported") == 1,
                          {"flag": 0, "n_prior": 0})
     return out.groupBy("used_record", "flag", "n_prior").agg(F.count("*").alias("n"))
@@ -398,10 +398,9 @@ def block_precedence(spark, sf):
 
 
 @query("first_record", """
-SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderpriority)) AS o_orderpriority FROM orders
-WHERE o_orderstatus <> 'P' GROUP BY 1""")
+SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderpriority)) AS o_orderpriority FROM orders GROUP BY 1""")
 def first_record(spark, sf):
-    o = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority").filter("o_orderstatus <> 'P'")
+    o = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_orderpriority")
     return A.first_by(o, ["o_custkey"], "o_orderdate", ["o_orderpriority"])
 
 
@@ -491,7 +490,7 @@ _PRIOR_WORDS = """SELECT d.doc_id, quality, unnest(list_filter(regexp_split_to_a
 SELECT token, {R('avg(quality)')} AS prior, count(quality) AS n FROM ({_PRIOR_WORDS}) WHERE length(token) > 1 AND quality IS NOT NULL
 GROUP BY 1 HAVING count(quality) >= 20""")
 def token_prior_fit(spark, sf):
-    docs = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    docs = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
     rows = docs.join(table(spark, sf, "labels", "doc_id", "quality"), "doc_id")
     return rounded(A.fit_token_prior(rows, "text", "quality", 20), "prior")
 
@@ -503,7 +502,7 @@ s AS (SELECT doc_id, min(prior) AS lo, avg(prior) AS mean, max(prior) AS hi, std
 SELECT d.doc_id, {R('coalesce(lo, 3)')} AS min_severity_prior, {R('coalesce(mean, 3)')} AS mean_severity_prior,
   {R('coalesce(hi, 3)')} AS max_severity_prior, {R('coalesce(sd, 0)')} AS std_severity_prior FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
 def token_prior_apply(spark, sf):
-    docs = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    docs = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
     prior = A.fit_token_prior(docs.join(table(spark, sf, "labels", "doc_id", "quality"), "doc_id"), "text", "quality", 20)
     out = A.apply_token_prior(docs, "doc_id", "text", prior)
     return rounded(out, *[c for c in out.columns if c != "doc_id"])

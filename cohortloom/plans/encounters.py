@@ -60,14 +60,16 @@ def last_prior_payload(spark, sf):
     return out.select("o_orderkey", "last_prior")
 
 
-# Orders with status F act as admissions, all orders as visits; the visit text is a part-name line.
-_TEXTS = """t AS (SELECT l_orderkey, min(p_name) || ', ' || max(p_type) AS complaint FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
+# Orders with status F act as admissions, all orders as visits; the visit text names the parts of all lines.
+_TEXTS = """t AS (SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY l_linenumber, p_name) || ', ' || max(p_type) AS complaint FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
 
 
 def _stays(spark, sf):
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_type").withColumnRenamed("p_partkey", "l_partkey")
-    text = table(spark, sf, "lineitem", "l_orderkey", "l_partkey").join(p, "l_partkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(
-        F.concat_ws(", ", F.min("p_name"), F.max("p_type")).alias("complaint"))
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").join(p, "l_partkey")
+    text = lines.groupBy(F.col("l_orderkey").alias("stay_id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("names"), F.max("p_type").alias("kind")).select(
+        "stay_id", F.concat_ws(", ", F.col("names.p_name"), F.col("kind")).alias("complaint"))
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").alias("intime"),
         "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -263,12 +265,12 @@ def longitudinal_block(spark, sf):
 @query("fill_longitudinal", f"""
 WITH {_WINDOW}, s AS (SELECT user_id, avg(value) AS value FROM events GROUP BY 1),
 g AS (SELECT user_id, min(value) AS lo, max(value) AS hi, arg_max(value, (ts, event_id)) AS last, arg_min(value, (ts, event_id)) AS first,
-  count(CASE WHEN value > 100 THEN 1 END) AS n_high FROM w WHERE event_type = 'purchase' AND value > 60 GROUP BY 1)
+  count(CASE WHEN value > 100 THEN 1 END) AS n_high FROM w GROUP BY 1)
 SELECT s.user_id, {R('coalesce(lo, value)')} AS value_min, {R('coalesce(hi, value)')} AS value_max, {R('coalesce(last, value)')} AS value_last,
   {R('coalesce(last - first, 0)')} AS value_delta, coalesce(n_high, CASE WHEN value > 50 THEN 1 ELSE 0 END) AS n_high,
   CAST(CASE WHEN lo IS NULL THEN 0 ELSE 1 END AS INTEGER) AS has_longitudinal_vitals FROM s LEFT JOIN g ON s.user_id = g.user_id""")
 def fill_longitudinal(spark, sf):
-    w = _window(spark, sf).filter("event_type = 'purchase' AND value > 60")
+    w = _window(spark, sf)
     block = G.series_stats(w, ["user_id"], ["ts", "event_id"], ["value"]) \
         .join(G.count_where(w, ["user_id"], {"n_high": F.col("value") > 100}), "user_id").withColumn("has_longitudinal_vitals", F.lit(1))
     snap = table(spark, sf, "events", "user_id", "value").groupBy("user_id").agg(F.avg("value").alias("value")) \

@@ -22,7 +22,7 @@ from ..sources import cached_features, materialize, read_cases, read_optional, w
 from .cohort import sql_normalize
 from .encounters import _anchors
 from .evaluate import _scores
-from .registry import R, VISITS, query, r6, rounded, table, texts, visits
+from .registry import R, VISITS, query, r6, rounded, table, visits
 
 
 def _pos(strata: str, key: str, seed: int) -> str:
@@ -80,34 +80,40 @@ def loader_parity(spark, sf):
 # --- cases -------------------------------------------------------------------------------------------
 
 
-@query("case_bundle", f"""
-WITH a AS (SELECT user_id, min(ts) AS intime FROM events WHERE event_type = 'signup' GROUP BY 1),
-w AS (SELECT e.user_id, e.event_id, e.ts, e.value FROM events e JOIN a ON e.user_id = a.user_id AND e.ts >= a.intime AND e.ts <= a.intime + INTERVAL 24 HOUR),
-s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM w),
-rd AS (SELECT user_id, (rn - 1) // 50 AS part_no, string_agg(CAST(round(value * 100) AS BIGINT), ',' ORDER BY rn) AS seq FROM s GROUP BY 1, 2),
-nm AS (SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY rn) AS names FROM (SELECT l_orderkey, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY f) AS rn FROM (
+@query("case_bundle", """
+WITH nm AS (SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY rn) AS names FROM (SELECT l_orderkey, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY f) AS rn FROM (
   SELECT l_orderkey, p_name, min((l_linenumber, p_name)) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)) WHERE rn <= 15 GROUP BY 1)
-SELECT o_orderkey, coalesce(part_no, 0)::BIGINT AS part_no, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS admitted, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS acuity,
-  coalesce(names, '') AS medications, seq FROM orders LEFT JOIN nm ON o_orderkey = l_orderkey LEFT JOIN rd ON o_orderkey = user_id""")
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS admitted, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS acuity,
+  coalesce(names, '') AS medications FROM orders LEFT JOIN nm ON o_orderkey = l_orderkey""")
 def case_bundle(spark, sf):
-    events = table(spark, sf, "events", "event_id", "user_id", "ts", "value")
-    inside = within_window(events, _anchors(spark, sf), "user_id", "ts", "intime", 24)
-    arrays = G.reading_arrays(G.reading_sequence(inside, ["user_id"], "ts", "event_id", "value"), ["user_id"], "value", 50)
+    """One case record per visit; its readings are ``case_readings``."""
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber") \
         .join(table(spark, sf, "part", "p_partkey", "p_name").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     names = T.distinct_names(lines, ["l_orderkey"], ["l_linenumber"], "p_name", 15).withColumnRenamed("l_orderkey", "o_orderkey")
-    out = N.case_bundle(visits(spark, sf), names, arrays.withColumnRenamed("user_id", "o_orderkey"), "o_orderkey",
-                        ["acuity", "admitted"], ["o_orderpriority", "score"])
-    cents = F.transform("nurse_inputs.value", lambda v: F.round(v * 100).cast("bigint").cast("string"))
-    return out.select("o_orderkey", "part_no", "ground_truth.admitted", "ground_truth.acuity",
-                      F.col("nurse_inputs.medications_raw").alias("medications"), F.array_join(cents, ",").alias("seq"))
+    out = N.case_bundle(visits(spark, sf), names, "o_orderkey", ["acuity", "admitted"], ["o_orderpriority", "score"])
+    return out.select("o_orderkey", "ground_truth.admitted", "ground_truth.acuity",
+                      F.col("nurse_inputs.medications_raw").alias("medications"))
+
+
+@query("case_readings", """
+WITH a AS (SELECT user_id, min(ts) AS intime FROM events WHERE event_type = 'signup' GROUP BY 1),
+w AS (SELECT e.user_id, e.event_id, e.ts, e.value FROM events e JOIN a ON e.user_id = a.user_id AND e.ts >= a.intime AND e.ts <= a.intime + INTERVAL 24 HOUR),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM w)
+SELECT user_id, (rn - 1) // 1000 AS part_no, string_agg(CAST(round(value * 100) AS BIGINT), ',' ORDER BY rn) AS seq FROM s GROUP BY 1, 2""")
+def case_readings(spark, sf):
+    events = table(spark, sf, "events", "event_id", "user_id", "ts", "value")
+    inside = within_window(events, _anchors(spark, sf), "user_id", "ts", "intime", 24)
+    arrays = G.reading_arrays(G.reading_sequence(inside, ["user_id"], "ts", "event_id", "value"), ["user_id"], "value")
+    cents = F.transform("value", lambda v: F.round(v * 100).cast("bigint").cast("string"))
+    return arrays.select("user_id", "part_no", F.array_join(cents, ",").alias("seq"))
 
 
-# A narrative per turn: stated age and pain, a clinical slip in some turns, then the turn's own text.
+# A narrative per turn: stated age and pain, a clinical slip in some turns, then the turn's own text. Word bounds in the
+# SQL engine know ASCII letters only, so its text (not ours) shows other letters as x and other signs as blanks.
 _NARR = """n AS (SELECT conv_id, turn, role, 20 + conv_id % 60 AS age, turn % 11 AS pain, CASE WHEN conv_id % 2 = 0 THEN 'chest pain, fever' ELSE 'odd feeling' END AS complaints,
   'I am ' || (20 + conv_id % 60 + CASE WHEN turn = 2 THEN 1 ELSE 0 END) || ' years old, pain ' || (turn + 1) % 11 || ' out of 10. ' ||
   CASE turn % 4 WHEN 0 THEN 'My bp was 120/80. ' WHEN 1 THEN 'I had Dyspnea and SOB. ' WHEN 2 THEN 'It hurts, I am hot. ' ELSE 'temp of 101. ' END ||
-  regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS t FROM conversations)"""
+  regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}]', ' ', 'g'), '[^\\x00-\\x7F]', 'x', 'g') AS t FROM conversations)"""
 _AGE1, _AGE2 = (p.replace("'", "''") for p in N.AGE_PATTERNS)
 
 
@@ -124,12 +130,12 @@ def grounding_audit(spark, sf):
 
 
 def _audited(spark, sf):
-    c = texts(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     age, told = (F.col("conv_id") % 60 + 20).cast("int"), F.when(F.col("turn") == 2, 1).otherwise(0)
     slip = F.when(F.col("turn") % 4 == 0, "My bp was 120/80. ").when(F.col("turn") % 4 == 1, "I had Dyspnea and SOB. ") \
         .when(F.col("turn") % 4 == 2, "It hurts, I am hot. ").otherwise("temp of 101. ")
     text = F.concat(F.lit("I am "), (age + told).cast("string"), F.lit(" years old, pain "), ((F.col("turn") + 1) % 11).cast("string"),
-                    F.lit(" out of 10. "), slip, F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
+                    F.lit(" out of 10. "), slip, F.col("text"))
     rows = c.select("conv_id", "turn", "role", age.alias("age"), (F.col("turn") % 11).cast("int").alias("pain"), text.alias("narrative"),
                     F.when(F.col("conv_id") % 2 == 0, "chest pain, fever").otherwise("odd feeling").alias("complaints"))
     return N.grounding_audit(rows, "narrative", "age", "pain", "complaints")
@@ -226,7 +232,7 @@ _FID_COLS = ["complaint_jaccard_raw", "complaint_jaccard_used", "complaint_preci
 
 
 def _fidelity(spark, sf):
-    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
     case = (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id")
     truth = c.select(case, F.col("text").alias("complaints"), F.lit(40).alias("age"), F.lit("male").alias("gender"),
                      F.lit("walk_in").alias("transport"), F.col("turn").alias("pain"))
@@ -272,11 +278,11 @@ def optional_source(spark, sf):
 _HIST = f"""SELECT a.o_custkey, count(*) AS n, {R('sum(a.o_totalprice)', 2)} AS total FROM orders a GROUP BY 1"""
 
 
-@query("cached_features", _HIST)
+@query("cached_features", f"{_HIST} HAVING a.o_custkey % 3 = 0")
 def cached_features_query(spark, sf):
-    """Built on the first call, served from Parquet on the second."""
+    """Some keys of a table of all: built on the first call, served from Parquet on the second."""
     o = table(spark, sf, "orders", "o_custkey", "o_totalprice")
-    path, keys = _place(spark, "features"), o.select("o_custkey").distinct()
+    path, keys = _place(spark, "features"), o.filter("o_custkey % 3 = 0").select("o_custkey").distinct()
     build = lambda: o.groupBy("o_custkey").agg(F.count("*").alias("n"), r6(F.sum("o_totalprice"), 2).alias("total"))
     cached_features(spark, path, keys, ["o_custkey"], build)
     return cached_features(spark, path, keys, ["o_custkey"], lambda: build().limit(0))

@@ -244,11 +244,11 @@ def top_missed(spark, sf):
 @query("distinct_names", """
 WITH f AS (SELECT l_orderkey, lower(p_name) AS k, min((l_linenumber, p_name)) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 x AS (SELECT l_orderkey, f, row_number() OVER (PARTITION BY l_orderkey ORDER BY f) AS rn FROM f)
-SELECT l_orderkey, string_agg(f[2], ', ' ORDER BY rn) AS names FROM x WHERE rn <= 3 GROUP BY 1""")
+SELECT l_orderkey, string_agg(f[2], ', ' ORDER BY rn) AS names FROM x WHERE rn <= 15 GROUP BY 1""")
 def distinct_names(spark, sf):
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber") \
         .join(table(spark, sf, "part", "p_partkey", "p_name").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
-    return T.distinct_names(lines, ["l_orderkey"], ["l_linenumber"], "p_name", 3)
+    return T.distinct_names(lines, ["l_orderkey"], ["l_linenumber"], "p_name", 15)
 
 
 @query("first_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 250")

@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import splits as S
 from ..operators import vectors as W
 from .cohort import sql_normalize
-from .registry import R, query, r6, rounded, table, texts
+from .registry import R, query, r6, rounded, table
 
 # The synthetic prose has no clinical words, so these vocabularies use words that do occur.
 DOC_VOCAB = {"north": ["the", "was"], "west": ["que", "des"], "mid": ["der", "und", "von"], "sound": ["thin", "then", "than"], "pair": ["in the", "of the"]}
@@ -34,22 +34,31 @@ def sql_neutral(text: str, negation: str) -> str:
 
 @query("normalize_docs", f"SELECT doc_id, md5({sql_normalize('text')}) AS digest FROM documents")
 def normalize_docs(spark, sf):
-    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("digest"))
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(X.normalize_text(F.col("text"))).alias("digest"))
 
 
-@query("rewrite_phrases")
+# Words and what stands between them; a pair of words one blank apart is rewritten at its first word.
+_PAIR = "((lower(w[{i}]) = 'of' AND w[{i} + 1] = ' ' AND lower(w[{i} + 2]) = 'the') OR (lower(w[{i}]) = 'de' AND w[{i} + 1] = ' ' AND lower(w[{i} + 2]) = 'la'))"
+
+
+@query("rewrite_phrases", f"""
+WITH t AS (SELECT conv_id, turn, list_concat(['', ''], list_concat(regexp_extract_all(replace(coalesce(text, ''), '’', chr(39)), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), ['', ''])) AS w FROM conversations)
+SELECT conv_id, turn, md5(list_aggregate(list_transform(range(3, len(w) - 1), lambda i: CASE
+  WHEN {_PAIR.format(i='i')} THEN CASE WHEN lower(w[i]) = 'of' THEN 'OF-THE' ELSE 'DE-LA' END
+  WHEN {_PAIR.format(i='(i - 1)')} OR {_PAIR.format(i='(i - 2)')} THEN ''
+  WHEN lower(w[i]) IN ('the', 'la', 'in') THEN upper(w[i]) ELSE w[i] END), 'string_agg', '')) AS digest FROM t""")
 def rewrite_phrases(spark, sf):
     """Conversation turns with frequent short phrases rewritten, longest phrase first."""
-    rewrite = X.rewrite_phrases({"of the": "OF-THE", "the": "THE", "de la": "DE-LA", "la": "LA", "in": "IN"})
-    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
-    return c.select("conv_id", "turn", F.md5(rewrite(F.col("text"))).alias("digest"))
+    phrases = {"of the": "OF-THE", "the": "THE", "de la": "DE-LA", "la": "LA", "in": "IN"}
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return c.select("conv_id", "turn", F.md5(X.rewrite_phrases(F.col("text"), phrases)).alias("digest"))
 
 
 @query("negated_flags", f"""
 WITH t AS (SELECT doc_id, {sql_neutral(sql_ascii("replace(text, 'der ', 'no ')"), V.HISTORY_NEGATION)} AS x FROM documents)
 SELECT doc_id, {', '.join(f'{sql_flag("x", terms)} AS {cat}' for cat, terms in DOC_VOCAB.items())} FROM t""")
 def negated_flags(spark, sf):
-    d = texts(spark, sf, "documents", "doc_id", "text").withColumn("text", F.replace("text", F.lit("der "), F.lit("no ")))
+    d = table(spark, sf, "documents", "doc_id", "text").withColumn("text", F.replace("text", F.lit("der "), F.lit("no ")))
     return V.history_flags(d, "text", DOC_VOCAB).drop("text")
 
 
@@ -131,14 +140,14 @@ def section_extract(spark, sf):
     t, nl = F.col("text"), F.lit("\n")
     note = (F.when(F.col("lang") == "en", F.concat(F.lit("Chief Complaint: x\n PMHx : "), t, F.lit("\nSocial  History: none")))
             .when(F.col("lang") == "fr", F.concat(F.lit("Past Medical History:"), nl, t)).otherwise(t))
-    return texts(spark, sf, "documents", "doc_id", "text", "lang").select("doc_id", F.md5(X.extract_section(note)).alias("digest"))
+    return table(spark, sf, "documents", "doc_id", "text", "lang").select("doc_id", F.md5(X.extract_section(note)).alias("digest"))
 
 
 @query("token_sets", """
 SELECT doc_id, len(s) AS n_tokens, array_to_string(list_sort(s), ' ') AS tokens FROM (
   SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: length(t) > 2)) AS s FROM documents)""")
 def token_sets(spark, sf):
-    d = texts(spark, sf, "documents", "doc_id", "text").withColumn("s", X.token_set(F.col("text")))
+    d = table(spark, sf, "documents", "doc_id", "text").withColumn("s", X.token_set(F.col("text")))
     return d.select("doc_id", F.size("s").cast("bigint").alias("n_tokens"), F.array_join(F.array_sort("s"), " ").alias("tokens"))
 
 
@@ -154,7 +163,7 @@ voc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c, n GROUP BY te
 
 
 def _grams(spark, sf):
-    return W.gram_arrays(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    return W.gram_arrays(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def _n_docs(spark, sf):
@@ -235,7 +244,7 @@ _TURNS = """p AS (SELECT a.conv_id, a.turn, list_distinct(list_filter(regexp_ext
 
 
 def _turns(spark, sf):
-    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), X.token_set(F.col("text")).alias("y"))
     return c.select("conv_id", "turn", X.token_set(F.col("text")).alias("x")).join(nxt, ["conv_id", "turn"])
 
@@ -261,7 +270,7 @@ r AS (SELECT doc_id, quality, toxic FROM labels)
 SELECT f.doc_id, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {c} = 1 THEN '{c}' END" for c in DOC_VOCAB)}],
   lambda c: c IS NOT NULL AND NOT (c = 'north' AND quality = 1) AND NOT (c = 'west' AND toxic = 1))), ',') AS gap FROM f JOIN r ON f.doc_id = r.doc_id""")
 def self_report_gap(spark, sf):
-    d = V.text_flags(texts(spark, sf, "documents", "doc_id", "text"), "text", DOC_VOCAB, negation=r"\bnosuchcue\b")
+    d = V.text_flags(table(spark, sf, "documents", "doc_id", "text"), "text", DOC_VOCAB, negation=r"\bnosuchcue\b")
     rec = table(spark, sf, "labels", "doc_id", "quality", "toxic").select(
         "doc_id", V.flag_set({"north": "quality", "west": "toxic"}).alias("recorded"))
     out = d.join(rec, "doc_id")
@@ -290,14 +299,13 @@ def flag_phrases(spark, sf):
 
 @query("vocabulary_agreement", f"""
 WITH p AS (SELECT p_partkey, p_name, {', '.join(f"CAST(list_has_any(regexp_extract_all(lower(p_name), '[a-z]+'), [{', '.join(repr(t) for t in PART_NAMES[c])}]) AS INTEGER) AS a_{c}, {sql_flag(sql_ascii('p_name'), PART_CLASSES[c])} AS b_{c}" for c in PART_NAMES)} FROM part),
-s AS (SELECT l_suppkey, {', '.join(f'max(a_{c}) AS a_{c}, max(b_{c}) AS b_{c}' for c in PART_NAMES)} FROM lineitem JOIN p ON l_partkey = p_partkey WHERE l_quantity > 45 AND l_discount > 0.09 GROUP BY 1),
+s AS (SELECT l_suppkey, {', '.join(f'max(a_{c}) AS a_{c}, max(b_{c}) AS b_{c}' for c in PART_NAMES)} FROM lineitem JOIN p ON l_partkey = p_partkey GROUP BY 1),
 l AS ({' UNION ALL '.join(f"SELECT '{c}' AS category, a_{c} AS a, b_{c} AS b FROM s" for c in PART_NAMES)})
 SELECT category, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(a * b)::BIGINT AS n_both, sum(a * (1 - b))::BIGINT AS only_a, sum(b * (1 - a))::BIGINT AS only_b,
   {R('avg(CASE WHEN a = b THEN 1 ELSE 0 END)')} AS agreement, {R('CASE WHEN sum(greatest(a, b)) = 0 THEN 1 ELSE sum(a * b) / sum(greatest(a, b)) END')} AS jaccard FROM l GROUP BY 1""")
 def vocabulary_agreement(spark, sf):
     p = table(spark, sf, "part", "p_partkey", "p_name").withColumnRenamed("p_partkey", "l_partkey")
-    lines = table(spark, sf, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_discount") \
-        .filter("l_quantity > 45 AND l_discount > 0.09").select("l_partkey", "l_suppkey")
+    lines = table(spark, sf, "lineitem", "l_partkey", "l_suppkey")
     flagged = V.class_flags(V.name_flags(p, "p_name", PART_NAMES, {c: f"a_{c}" for c in PART_NAMES}), "p_name", PART_CLASSES, {c: f"b_{c}" for c in PART_NAMES})
     rows = lines.join(flagged, "l_partkey").groupBy("l_suppkey").agg(*[F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in PART_NAMES])
     side = lambda s: rows.select("l_suppkey", *[F.col(f"{s}_{c}").alias(c) for c in PART_NAMES])
@@ -331,7 +339,29 @@ def intake_answers(spark, sf):
 SELECT conv_id, turn, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM conversations""")
 def json_or_raw(spark, sf):
     """Turns wrapped as fenced JSON (even turns) or left as prose (odd turns); both give the text back."""
-    c = texts(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("text").alias("narrative"))), F.lit("\n```"))
     raw = F.when(F.col("turn") % 2 == 0, fenced).otherwise(F.col("text"))
     return c.select("conv_id", "turn", F.md5(P.json_field_or_raw(raw, "narrative")).alias("digest"))
+
+
+@query("table_vocabulary", f"""
+WITH v AS (SELECT DISTINCT lower(p_name) AS k, CASE WHEN p_name LIKE '% widget' THEN 'widget' ELSE 'other' END AS c FROM part WHERE p_size % 7 <> 0),
+t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN string_agg(p_name, '; ' ORDER BY l_linenumber, p_name) ELSE string_agg(p_name, '; denies ' ORDER BY l_linenumber, p_name) END AS x
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1),
+w AS (SELECT o_orderkey, {sql_neutral(sql_ascii('x'), V.HISTORY_NEGATION)} AS x FROM t),
+f AS (SELECT w.o_orderkey, max(CASE WHEN c = 'widget' THEN 1 ELSE 0 END) AS widget, max(CASE WHEN c = 'other' THEN 1 ELSE 0 END) AS other
+  FROM w JOIN v ON regexp_matches(w.x, '\\b' || v.k || 's?\\b') GROUP BY 1)
+SELECT w.o_orderkey, CAST(coalesce(widget, 0) AS INTEGER) AS widget, CAST(coalesce(other, 0) AS INTEGER) AS other FROM w LEFT JOIN f ON f.o_orderkey = w.o_orderkey""")
+def table_vocabulary(spark, sf):
+    """Flags from a (keyword, category) table whose keywords have two words."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    words = p.filter("p_size % 7 <> 0").select(F.lower("p_name").alias("keyword"), F.when(
+        F.col("p_name").endswith(" widget"), "widget").otherwise("other").alias("category"))
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    names = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("n"))
+    gap = F.when(F.col("o_orderkey") % 2 == 0, "; ").otherwise("; denies ")
+    text = F.expr("aggregate(n, '', (a, x) -> concat(a, if(a = '', '', gap), x.p_name))")
+    notes = table(spark, sf, "orders", "o_orderkey").join(names, "o_orderkey").withColumn("gap", gap).withColumn("x", text)
+    return V.history_flags(notes, "x", words).select("o_orderkey", "widget", "other")

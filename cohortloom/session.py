@@ -29,17 +29,20 @@ def build_session(app: str = "cohortloom", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names; a private one only where none is set."""
+    """The checkpoint folder that the session names; all executors must share it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
-        return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not found:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    private = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(private)
-    return private
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def local_checkpoint_dir(spark: SparkSession) -> None:
+    """For tests, benches and smoke runs in one process: a private folder where the session names none."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local["):
+        return
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ def read_table(spark: SparkSession, base: str, name: str, cols: Sequence[str] |
                fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
     """Table ``name`` under ``base`` with only the wanted columns in the scan.
 
-    CSV needs a schema: the given one or the one known for the clinical tables. NaN measures
-    become NULL so that min/max/sort skip them."""
+    CSV needs a schema: the given one or the one known for the clinical tables. NaN in float and
+    double columns becomes NULL, whatever the format, so that min/max/sort skip it."""
     reader = spark.read
     if fmt == "csv":
         want = schema if schema is not None else schema_of(name)
@@ -28,20 +29,8 @@ def read_table(spark: SparkSession, base: str, name: str, cols: Sequence[str] |
         df = reader.format(fmt).load(f"{base}/{name}.{fmt}")
     if cols is not None:
         df = df.select(*cols)
-    if fmt != "csv":
-        return df
-    return df.select(*[
-        F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-        else F.col(f.name)
-        for f in df.schema
-    ])
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Scan spread over all cores when its files give fewer splits than that, for work that is heavy per
-    row (tokenising long texts). A scan with enough splits is returned as it is, without a shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+    measures = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in measures}) if measures else df
 
 
 def read_codes(df: DataFrame, code: str, version: str | None = None) -> DataFrame:
@@ -70,6 +59,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none if it is absent."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(hpath)] if fs.exists(hpath) else []
+
+
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
     """The table at ``path``, or no rows of ``schema`` when it is absent."""
     if _exists(spark, path):
@@ -79,13 +75,19 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str, fm
 
 def cached_features(spark: SparkSession, path: str, keys: DataFrame, on: Sequence[str],
                     build: Callable[[], DataFrame]) -> DataFrame:
-    """Stored features when they hold every wanted key, else built, written and read back."""
-    if _exists(spark, path):
-        stored = spark.read.parquet(path)
-        if keys.select(*on).join(stored, list(on), "left_anti").isEmpty():
-            return stored.join(keys.select(*on), list(on), "left_semi")
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Stored features of the wanted keys; built and stored first when a wanted key is missing.
+
+    Versions are folders below ``path``; the newest finished one (with ``_SUCCESS``) counts. A new version goes to a
+    folder of its own, so a reader of an older one is not disturbed. Hit and miss return the same rows."""
+    wanted = keys.select(*on)
+    finished = sorted(v for v in _children(spark, path) if _exists(spark, f"{path}/{v}/_SUCCESS"))
+    if finished:
+        stored = spark.read.parquet(f"{path}/{finished[-1]}")
+        if wanted.join(stored, list(on), "left_anti").isEmpty():
+            return stored.join(wanted, list(on), "left_semi")
+    version = f"{path}/v{len(finished):06d}-{uuid.uuid4().hex}"
+    build().write.parquet(version)
+    return spark.read.parquet(version).join(wanted, list(on), "left_semi")
 
 
 def _listing_digest(spark: SparkSession, sources: Sequence[str], version: str) -> str:

@@ -20,8 +20,15 @@ def test_normalize(spark):
 
 
 def test_rewrite_longest_first(spark):
-    rewrite = text.rewrite_phrases({"headache": "X", "bad headache": "headache", "can't breathe": "dyspnea"})
-    assert _map(spark, ["Bad Headache and I can’t breathe", "headaches"], rewrite) == ["headache and I dyspnea", "headaches"]
+    table = {"headache": "X", "bad headache": "headache", "can't breathe": "dyspnea", "in": "IN", "sis": "SIS"}
+    rows = ["Bad Headache and I can’t breathe", "headaches", "in In inn", "", None, "été in", "éin in"]
+    assert _map(spark, rows, lambda c: text.rewrite_phrases(c, table)) == [
+        "headache and I dyspnea", "headaches", "IN IN inn", "", "", "été IN", "éin IN"]
+
+
+def test_rewrite_keeps_letters_that_fold_without_being_equal(spark):
+    got = _map(spark, ["ın the", "ſis the"], lambda c: text.rewrite_phrases(c, {"in": "IN", "sis": "SIS", "the": "THE"}))
+    assert got == ["ın THE", "ſis THE"]
 
 
 def test_history_flags_and_negation(spark):

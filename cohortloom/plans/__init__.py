@@ -1,6 +1,6 @@
 """Registered queries, grouped by layer."""
 
-from . import cohort, encounters, evaluate, records, retrieve, texts
+from . import cohort, compose, encounters, evaluate, records, retrieve, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cohort", "encounters", "evaluate", "records", "retrieve", "texts"]
+__all__ = ["ORACLE", "QUERIES", "cohort", "compose", "encounters", "evaluate", "records", "retrieve", "texts"]

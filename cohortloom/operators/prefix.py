@@ -1,9 +1,9 @@
 """Exclusive prefix totals that never put a whole group into one task.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a hot key to one task. Here the
-order axis is cut into buckets: totals per bucket are carried forward over the few bucket rows,
-and the exact running total is taken inside each bucket. Both parts are partitioned by
-(key, bucket), so a key with a third of all rows is spread over its buckets."""
+order axis is cut into buckets of several levels: totals per coarse bucket are carried forward over the few of a key,
+totals per finer bucket over those of its coarse one, and the exact running total is taken inside the finest. So a key
+with a third of all rows is spread over its buckets."""
 
 from __future__ import annotations
 
@@ -74,10 +74,12 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .withColumn(name, F.coalesce(F.col(name), F.lit(0)) + 1).drop("__one"))
 
 
-def time_buckets(ts: str, seconds: int = 300) -> list[Column]:
-    """Bucket of a timestamp column, ``seconds`` wide: narrow enough to cut up a key that holds a third
-    of all rows of a month, wide enough that its buckets over ten years are about a million rows."""
-    return [F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")]
+def time_buckets(ts: str, seconds: int = 300, days: int = 30) -> list[Column]:
+    """Two bucket levels of a timestamp column: ``days`` long, then ``seconds`` long. Totals of one key are carried over
+    about a hundred coarse buckets in ten years, those of one coarse bucket over a few thousand fine ones; the
+    fine ones cut up a key that holds a third of all rows. All three bounds come from the calendar, not the data."""
+    at = lambda s: F.floor(micros(ts) / F.lit(s * 1_000_000)).cast("bigint")
+    return [at(days * 86_400), at(seconds)]
 
 
 def value_buckets(col: str | Column) -> list[Column]:

@@ -372,7 +372,11 @@ def importance_groups(spark, sf):
     return rounded(D.importance_by_group(table_), "gain", "pct")
 
 
-@query("text_feature_vectors")
+@query("text_feature_vectors", """
+WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS t FROM part), g AS (SELECT p_partkey, unnest([t[1], t[2], t[1] || ' ' || t[2]]) AS term FROM w),
+d AS (SELECT term, count(DISTINCT p_partkey) AS df, count(*) AS cf FROM g GROUP BY 1),
+voc AS (SELECT term FROM d WHERE df >= 5 AND df <= 0.95 * (SELECT count(*) FROM part) ORDER BY cf DESC, term LIMIT 100)
+SELECT p_partkey, CAST(100 AS INTEGER) AS dim, CAST(count(DISTINCT term) AS INTEGER) AS stored FROM g JOIN voc USING (term) GROUP BY 1""")
 def text_feature_vectors(spark, sf):
     """Sparse MLlib vectors of part names: size and number of stored entries per part."""
     p = table(spark, sf, "part", "p_partkey", "p_name")

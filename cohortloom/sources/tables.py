@@ -91,21 +91,17 @@ def cached_features(spark: SparkSession, path: str, keys: DataFrame, on: Sequenc
 
 
 def _listing_digest(spark: SparkSession, sources: Sequence[str], version: str) -> str:
-    """SHA-256 over version and (path, size, modification time) of every source file."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """SHA-256 over the version and, per source, the number of files and the sum of a hash of (path, size, modification
+    time). Only the sums reach the driver, whatever the number of files; an absent source counts as such."""
     lines = [f"version={version}"]
     for src in sorted(sources):
-        hpath = jvm.org.apache.hadoop.fs.Path(src)
-        fs = hpath.getFileSystem(conf)
-        if not fs.exists(hpath):
+        if not _exists(spark, src):
             lines.append(f"{src}|absent")
             continue
-        files = fs.listFiles(hpath, True)
-        found = []
-        while files.hasNext():
-            st = files.next()
-            found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
-        lines.extend(sorted(found))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(src)
+        each = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+        n, total = files.agg(F.count("*"), F.sum(each)).first()
+        lines.append(f"{src}|{n}|{total}")
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 

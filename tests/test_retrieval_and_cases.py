@@ -146,3 +146,40 @@ def test_heads(spark):
     assert kept.count() == 200  # an observation in the same session must not stop the head below
     multi = D.fit_multiclass(rows, "features", "y", maxIter=3)
     assert D.hard_cascade(rows, multi, "c").filter("c = y").count() > 150
+
+
+def test_cache_serves_wanted_keys_and_finished_versions(spark, tmp_path):
+    from cohortloom.sources import cached_features, read_table
+    path, calls = f"{tmp_path}/features", []
+    full = spark.createDataFrame([(i, i * 10) for i in range(5)], "k int, v int")
+    keys = spark.createDataFrame([(1,), (3,)], "k int")
+
+    def build():
+        calls.append(1)
+        return full
+    (tmp_path / "features" / "v000000-dead").mkdir(parents=True)  # a write that died
+    for _ in range(2):
+        assert sorted(r.k for r in cached_features(spark, path, keys, ["k"], build).collect()) == [1, 3]
+    assert len(calls) == 1
+    more = spark.createDataFrame([(9,)], "k int")
+    assert cached_features(spark, path, more, ["k"], build).count() == 0 and len(calls) == 2
+    spark.createDataFrame([(1.0, 2.0), (float("nan"), float("nan"))], "a double, b float").write.parquet(f"{tmp_path}/m.parquet")
+    assert sorted(read_table(spark, str(tmp_path), "m").collect(), key=str)[1] == (None, None)
+
+
+def test_materialize_follows_its_sources(spark, tmp_path):
+    from cohortloom.sources import materialize
+    spark.range(3).write.parquet(f"{tmp_path}/src")
+    build = lambda: spark.read.parquet(f"{tmp_path}/src")
+    take = lambda v: materialize(spark, f"{tmp_path}/out", [f"{tmp_path}/src", f"{tmp_path}/none"], v, build).count()
+    assert take("1") == 3
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/src")
+    assert take("1") == 5 and take("2") == 5
+
+
+def test_isotonic_fits_scores_as_they_are(spark):
+    from cohortloom.operators import heads
+    rows = [(0.50001, 0), (0.50002, 1), (0.50001, 0), (0.50002, 1), (0.9, 1)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    out = heads.apply_isotonic(df, heads.calibrate_isotonic(df, "s", "y"), "s", "p").orderBy("s").collect()
+    assert [r.p for r in out] == [0.0, 0.0, 1.0, 1.0, 1.0]

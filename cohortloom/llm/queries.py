@@ -40,7 +40,23 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.secrets(documents(spark, sf, "doc_id", "text", "source"))
 
 
-@query("op3_decontamination")
+def _words(text: str) -> str:
+    low = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format(text)
+    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op3_decontamination", f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), b AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT doc_id, i, dw.k AS k, item_id FROM dw JOIN win ON dw.k = win.k AND dw.s = win.s),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
@@ -68,7 +84,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
         "n_failed_lines", "lost_chars")
 
 
-@query("op8_warc")
+@query("op8_warc", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest""")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     return warc.archive_pages(spark.read.parquet(f"{sf}/pages.parquet"))

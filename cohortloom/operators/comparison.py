@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .prefix import value_buckets, with_prior
+from .prefix import number_rows, value_buckets, with_prior
 
 # Metric-name parts for which lower is better.
 LOWER_IS_BETTER = ("under_triage", "over_triage", "mae", "brier", "log_loss", "ece", "mce",
@@ -100,44 +99,61 @@ def version_table(metas: DataFrame, version: str, order: str, metrics: Sequence[
         (F.col(m) - F.lag(m).over(w)).alias(f"delta_{m}") for m in metrics])
 
 
-def _local_front(n: int):
-    """Per Arrow batch, drop the points that another point of the batch dominates."""
-    def keep(batches):
-        for pdf in batches:
-            pts = pdf.iloc[:, :n].to_numpy(dtype=float)
-            order = np.lexsort(tuple(-pts[:, i] for i in reversed(range(n))))
-            front: list[int] = []
-            for i in order:
-                kept = pts[front]
-                if not len(front) or not ((kept >= pts[i]).all(axis=1) & (kept > pts[i]).any(axis=1)).any():
-                    front.append(i)
-            yield pdf.iloc[sorted(front)]
-    return keep
+def _halves(pos: Column):
+    """Node of a position at one binary digit: right halves beat, left halves ask there."""
+    def at(digit: Column) -> Column:
+        half = F.call_function("shiftright", pos, digit)
+        right = half % 2 == 1
+        return F.struct(digit.alias("digit"), F.when(right, half).otherwise(half + 1).alias("at"),
+                        F.when(right, "beats").otherwise("asks").alias("role"))
+    return at
+
+
+def _dominated(points: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct points that another one beats in no objective less and in one more; all objectives rise.
+
+    All but the last two objectives become dense positions. Two positions differ first at one binary digit: there the
+    larger one lies in the right half of a node whose left half holds the smaller. So each point enters a node per
+    digit, as a beater in right halves and as a candidate in left ones, and a node for equal positions. Inside a node only
+    the last two objectives count: the best last value ahead comes from prefix totals. A point makes about log2(n)
+    rows per such objective, and no two points are ever paired."""
+    *heads, y, z = cols
+    out, node, role = points, [], F.lit("both")
+    for i, c in enumerate(heads):
+        levels = number_rows(points.select(c).distinct(), [], [c], value_buckets(c), f"__pos{i}", f"__n{i}")
+        out = out.join(levels, c)
+        pos = F.col(f"__pos{i}")
+        digits = F.length(F.bin(f"__n{i}"))
+        steps = F.transform(F.sequence(F.lit(0), digits - 1), _halves(pos))
+        same = F.array(F.struct(F.lit(-1).alias("digit"), pos.alias("at"), F.lit("both").alias("role")))
+        out = out.withColumn(f"__node{i}", F.explode(F.concat(same, steps)))
+        node += [F.col(f"__node{i}.digit").alias(f"__d{i}"), F.col(f"__node{i}.at").alias(f"__a{i}")]
+        mine = F.col(f"__node{i}.role")
+        role = F.when(role == "both", mine).when((mine == "both") | (mine == role), role)
+    keys = [f"__{k}{i}" for i in range(len(heads)) for k in ("d", "a")]
+    placed = out.select(*cols, *node, role.alias("__role"), (-F.col(y)).alias("__o"), (-F.col(z)).alias("__oz"),
+                        F.when(role != "asks", F.col(z)).alias("__beat")).filter("__role IS NOT NULL")
+    order = ["__o", (F.col("__role") == "asks").cast("int"), "__oz"]
+    ahead = with_prior(placed, keys, order, value_buckets("__o"), {"__best": ("max", "__beat")})
+    return ahead.filter((F.col("__role") != "beats") & (F.col("__best") >= F.col(z))).select(*cols).distinct()
 
 
 def pareto(trials: DataFrame, objectives: Mapping[str, str]) -> DataFrame:
-    """Rows that no other row dominates (``objective -> max|min``).
+    """Rows that no other row dominates (``objective -> max|min``); a row without one of the values is left out.
 
     Two objectives: walk the first from its best value and keep what improves the second; the running
-    best comes from prefix totals. Three or more: batches shed their dominated points first, and only
-    the few survivors are compared with each other."""
+    best comes from prefix totals. More: the same inside the nodes of a binary cut of the other objectives."""
     names = list(objectives)
     cols = [f"__{c}" for c in names]
-    up = [(F.col(c) if d == "max" else -F.col(c)).cast("double") for c, d in objectives.items()]
-    points = trials.select(*[u.alias(c) for c, u in zip(cols, up)]).distinct()
+    up = [(F.col(c) if d == "max" else -F.col(c)).cast("double") + F.lit(0.0) for c, d in objectives.items()]
+    points = trials.select(*[u.alias(c) for c, u in zip(cols, up)]).dropna().distinct()
     if len(names) == 2:
         lead = points.groupBy((-F.col(cols[0])).alias("__o")).agg(F.max(cols[1]).alias(cols[1]))
         walked = with_prior(lead, [], ["__o"], value_buckets("__o"), {"__ahead": ("max", cols[1])})
         front = walked.filter(F.col("__ahead").isNull() | (F.col(cols[1]) > F.col("__ahead"))) \
             .select((-F.col("__o")).alias(cols[0]), cols[1])
     else:
-        few = points.mapInPandas(_local_front(len(names)), points.schema)
-        a, b = few.alias("a"), few.alias("b")
-        ge = gt = None
-        for c in cols:
-            g, s = F.col(f"b.{c}") >= F.col(f"a.{c}"), F.col(f"b.{c}") > F.col(f"a.{c}")
-            ge, gt = (g, s) if ge is None else (ge & g, gt | s)
-        front = a.join(b, ge & gt, "left_anti")
+        front = points.join(_dominated(points, cols), cols, "left_anti")
     tagged = trials.withColumns(dict(zip(cols, up)))
     return tagged.join(front, cols, "left_semi").select(*trials.columns)
 

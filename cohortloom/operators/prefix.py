@@ -93,19 +93,35 @@ def value_buckets(col: str | Column) -> list[Column]:
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """One row per column with exact, linearly interpolated quantiles, ``probs`` naming them.
 
-    Values are counted first, then located by prefix totals; no task holds a whole column."""
+    Values are never shuffled as a whole: each pass counts rows per bucket, finds the few buckets that hold a wanted
+    rank and hands on only their rows. The last pass places the distinct values of the finest buckets."""
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "column", "value") \
              .filter("value IS NOT NULL AND NOT isnan(value)")
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    placed = with_prior(counts, ["column"], ["value"], value_buckets("value"), {"before": ("sum", "n")},
-                        {"total": "before"}).withColumn("before", F.coalesce("before", F.lit(0)))
-    picks = []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("total") - 1)
-        for side, fn in (("lo", F.floor), ("hi", F.ceil)):
-            pos = fn(at)
-            picks.append(F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("n")),
-                                      F.col("value"))).alias(f"__{side}_{name}"))
+    levels = ["__b0", "__b1"]
+    rows = long.withColumns(dict(zip(levels, value_buckets("value"))))
+    ranks = [(f"__{side}_{name}", fn(F.lit(p) * (F.col("total") - 1)))
+             for name, p in probs.items() for side, fn in (("lo", F.floor), ("hi", F.ceil))]
+    end = F.col("before") + F.col("n")
+    holds = lambda pos: (F.col("before") <= pos) & (pos < end)
+    some = F.lit(False)
+    for _, pos in ranks:
+        some = some | holds(pos)
+
+    wanted, kept, base = None, rows, F.lit(0).cast("bigint")
+    for depth in (1, 2, 3):
+        group = ["column", *levels[:depth - 1]]
+        at = [*levels, "value"][depth - 1]
+        carry = [] if wanted is None else ["__base", "total"]
+        counts = kept.groupBy(*group, at, *carry).agg(F.count("*").alias("n"))
+        w = Window.partitionBy(*group).orderBy(at)
+        before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        total = F.sum("n").over(Window.partitionBy(*group)) if wanted is None else F.col("total")
+        placed = counts.select(*group, at, "n", (base + before).alias("before"), total.alias("total"))
+        if depth < 3:
+            # at most two rows per column and quantile, so sending them to every task is safe at any size
+            wanted = placed.filter(some).select(*group, at, F.col("before").alias("__base"), "total")
+            kept, base = rows.join(F.broadcast(wanted), [*group, at]), F.col("__base")
+    picks = [F.max(F.when(holds(pos), F.col("value"))).alias(name) for name, pos in ranks]
     out = placed.groupBy("column", "total").agg(*picks)
     return out.select("column", *[
         (F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))

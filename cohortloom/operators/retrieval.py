@@ -209,24 +209,32 @@ def tune(terms: DataFrame, truth: DataFrame, grid: Sequence[Mapping[str, float]]
          k: int = 5, rows: DataFrame | None = None) -> DataFrame:
     """Top-``k`` hit rate per weight vector: ``(point, <weights>, hits, n, rate)``.
 
-    A code's rank is one plus the number of better candidates. Weights are unrolled next to each
-    candidate and reduced at once per (query, point), so nothing larger than that is shuffled. A
-    query whose true code is no candidate counts as a miss."""
+    A code's rank is one plus the number of better candidates. The candidates of a question (the codes of its category,
+    as in ``minmax_within``) meet once, and all points are counted on them; only hits per point are shuffled then. A
+    question whose true code is no candidate counts as a miss."""
     names = list(grid[0])
     want = truth.select(key, F.col(code).alias("__true"))
     n_rows = (rows if rows is not None else truth).select(key).distinct().agg(F.count("*")).scalar()
-    true_terms = terms.join(want.withColumnRenamed("__true", code), [key, code]).select(
-        key, F.col(code).alias("__true"), *[F.col(_POSITION[t]).alias(f"__true_{t}") for t in names])
-    pairs = terms.join(true_terms, key)
-    points = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(float(w[t])).alias(t) for t in names])
+    # positions have nine places and weights six, so whole numbers compare as the rounded scores do
+    whole = lambda c, places: F.round(c * 10.0 ** places).cast("bigint")
+    entry = F.struct(F.col(code).alias("code"), *[whole(F.col(_POSITION[t]), 9).alias(t) for t in names])
+    asked = terms.join(want, key).groupBy(key).agg(
+        F.collect_list(entry).alias("cands"), F.max(F.when(F.col(code) == F.col("__true"), entry)).alias("own")) \
+        .filter(F.col("own").isNotNull()).withColumn("gaps", F.transform("cands", lambda c: F.struct(
+            *[(c[t] - F.col(f"own.{t}")).alias(t) for t in names], (c["code"] < F.col("own.code")).cast("bigint").alias("first"))))
+    points = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(round(float(w[t]) * 10 ** 6)).cast("bigint").alias(t) for t in names])
                        for i, w in enumerate(grid)])
-    unrolled = pairs.select(key, code, "__true", *[_POSITION[t] for t in names], *[f"__true_{t}" for t in names],
-                            F.explode(points).alias("w")).select("*", "w.*")
-    score = stable(_weighted(names, {t: F.col(_POSITION[t]) for t in names}), 12)
-    true_score = stable(_weighted(names, {t: F.col(f"__true_{t}") for t in names}), 12)
-    better = (score > true_score) | ((score == true_score) & (F.col(code) < F.col("__true")))
-    ranks = unrolled.groupBy(key, "point").agg(F.count_if(better).alias("better"))
-    hits = ranks.groupBy("point").agg(F.count_if(F.col("better") < k).alias("hits"))
+
+    def hit(w: Column) -> Column:
+        def better(gap: Column) -> Column:
+            lead = gap["first"]
+            for t in names:
+                lead = lead + w[t] * gap[t] * 2
+            return lead > 0
+        return F.size(F.filter("gaps", better)) < k
+
+    hits = asked.select(F.explode(F.transform(F.filter(points, hit), lambda w: w["point"])).alias("point")) \
+        .groupBy("point").agg(F.count("*").alias("hits"))
     listing = terms.sparkSession.createDataFrame(
         [(i, *[float(w[t]) for t in names]) for i, w in enumerate(grid)],
         "point int, " + ", ".join(f"{t} double" for t in names))
@@ -234,13 +242,6 @@ def tune(terms: DataFrame, truth: DataFrame, grid: Sequence[Mapping[str, float]]
             .withColumn("n", n_rows).withColumn("rate", F.col("hits") / F.col("n")))
 
 
-def _weighted(names: Sequence[str], cols: Mapping[str, Column]) -> Column:
-    total = F.col(names[0]) * cols[names[0]]
-    for t in names[1:]:
-        total = total + F.col(t) * cols[t]
-    return total
-
-
 def best_point(grid: DataFrame, metric: str, order: str = "point") -> DataFrame:
     """Row with the largest metric; the first one on ties."""
     return grid.orderBy(F.desc(metric), F.asc(order)).limit(1)

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .prefix import number_rows
 
 
@@ -32,13 +33,16 @@ def stratified_split(df: DataFrame, label: str, key: str, frac: float = 0.2, see
 
 def nested_split(df: DataFrame, label: str, key: str, parts: Mapping[str, tuple[float, int]],
                  test_frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """Test split first, then further holdouts (``name -> (fraction, seed)``) out of the training rows."""
+    """Test split first, then further holdouts (``name -> (fraction, seed)``) out of the training rows.
+
+    Each holdout numbers all rows inside (label, split so far) and renames the first training rows of each label; rows
+    already held out keep their split. Every step is written once, so lineage grows by one pass a step."""
     out = stratified_split(df, label, key, test_frac, seed)
     for name, (frac, part_seed) in parts.items():
-        train = out.filter(F.col("split") == "train").drop("split")
-        inner = stratified_split(train, label, key, frac, part_seed) \
-            .withColumn("split", F.when(F.col("split") == "test", name).otherwise("train"))
-        out = out.filter(F.col("split") != "train").unionByName(inner)
+        quota = F.floor(F.lit(frac) * F.col("__n") + 0.5)
+        taken = (F.col("split") == "train") & (F.col("__pos") <= quota)
+        out = _positions(durable(out), [label, "split"], key, part_seed) \
+            .withColumn("split", F.when(taken, name).otherwise(F.col("split"))).drop("__h", "__pos", "__n")
     return out
 
 

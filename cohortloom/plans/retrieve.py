@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import code_chapter, code_similarity, rollup_code
 from ..functions.parsing import l2_normalize, neg_euclidean
 from ..operators import aggregates as A
+from ..operators import cases as N
+from ..operators import heads as M
 from ..operators import retrieval as T
 from ..operators import splits as S
 from ..operators import vectors as W
@@ -32,8 +34,8 @@ def _rows(spark, sf):
     return durable(z.withColumnsRenamed({"p_size_z": "size_z", "p_retailprice_z": "price_z"}))
 
 
-def _parts(spark, sf, code="p_brand"):
-    rows = _rows(spark, sf)
+def _parts(spark, sf, code="p_brand", rows=None):
+    rows = _rows(spark, sf) if rows is None else rows
     train = rows.filter("split = 'train'")
     grams = W.gram_arrays(train, "p_partkey", "p_name")
     n = train.agg(F.count("*")).scalar()
@@ -122,13 +124,22 @@ def code_index(spark, sf):
     return rounded(index["candidates"], "prevalence", "prev_pos", "c_size_z", "c_price_z", "m_hist")
 
 
-@query("code_index_rollup", f"""WITH {_SPLIT}, {_VEC},
-tr2 AS (SELECT *, substr(p_brand, 1, 7) AS code FROM tr)
-SELECT p_type, code, count(*) AS n, {R('count(*) / (sum(count(*)) OVER (PARTITION BY p_type))')} AS prevalence, {R('avg(size_z)')} AS c_size_z FROM tr2 GROUP BY 1, 2""")
+# The same index with the first digit of the brand number as the coarser code.
+_ROLL = _SPLIT.replace("p_brand, p_name", "substr(p_brand, 1, 7) AS p_brand, p_name")
+
+
+def _rollup(spark, sf):
+    return _parts(spark, sf, rows=_rows(spark, sf).withColumn("p_brand", F.substring("p_brand", 1, 7)))
+
+
+@query("code_index_rollup", f"""WITH {_ROLL}, {_VEC}, {_INDEX},
+ti AS (SELECT p_type, p_brand, p_name AS title, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY count(*) DESC, p_name) AS rn FROM tr GROUP BY 1, 2, 3)
+SELECT cand.p_type, cand.p_brand AS code, n, title, {R('prevalence')} AS prevalence, {R('prev_pos')} AS prev_pos, {R('c_size')} AS c_size_z, {R('c_price')} AS c_price_z, {R('m_hist')} AS m_hist
+FROM cand JOIN ti ON cand.p_type = ti.p_type AND cand.p_brand = ti.p_brand AND rn = 1""")
 def code_index_rollup(spark, sf):
-    train = _rows(spark, sf).filter("split = 'train'").withColumn("code", F.substring("p_brand", 1, 7))
-    out = T.prevalence(train, "p_type", "code").join(T.numeric_centroids(train, "p_type", "code", ["size_z"]), ["p_type", "code"])
-    return rounded(out, "prevalence", "c_size_z")
+    _, _, index = _rollup(spark, sf)
+    out = rounded(index["candidates"], "prevalence", "prev_pos", "c_size_z", "c_price_z", "m_hist")
+    return out.withColumnRenamed("p_brand", "code")
 
 
 @query("text_centroids", f"WITH {_SPLIT}, {_VEC}, {_INDEX} SELECT p_type, p_brand, term, {R('w')} AS w FROM cen")
@@ -205,8 +216,7 @@ pc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, p_typ
 fl AS (SELECT pc.p_partkey, pc.p_type, p_brand, score, rank, p, round(p * score, 12) AS combined FROM pc JOIN pr ON pc.p_partkey = pr.p_partkey AND pc.p_type = pr.p_type)"""
 
 
-def _resolved(spark, sf):
-    test, vec, index = _parts(spark, sf)
+def _resolve(spark, sf, test, vec, index):
     levels = table(spark, sf, "part", "p_type").distinct().agg(F.array_sort(F.collect_set("p_type")).alias("types"))
     probs = test.select("p_partkey").withColumn("types", levels.scalar()) \
         .select("p_partkey", F.posexplode("types").alias("ti", "p_type"))
@@ -214,7 +224,12 @@ def _resolved(spark, sf):
     probs = T.top_k_within(probs, ["p_partkey"], "p", ["p_type"], 5, "cat_rank").drop("cat_rank")
     q = probs.select("p_partkey", "p_type").join(_queries(test).drop("p_type"), "p_partkey")
     terms = T.score_terms(q, vec, index, "p_partkey", "p_type", "p_brand", _Z, ["hist"])
-    return test, T.resolve(terms.withColumn("score", T.blend3(_W3)), probs, "p_partkey", "p_type", "p_brand", "p")
+    return probs, T.resolve(terms.withColumn("score", T.blend3(_W3)), probs, "p_partkey", "p_type", "p_brand", "p")
+
+
+def _resolved(spark, sf):
+    test, vec, index = _parts(spark, sf)
+    return test, _resolve(spark, sf, test, vec, index)[1]
 
 
 @query("flat_top10", f"""{_FLAT} SELECT p_partkey, p_type, p_brand, combined + 0.0 AS combined, CAST(fr AS INTEGER) AS flat_rank FROM (
@@ -313,6 +328,15 @@ def oracle_recall(spark, sf):
     return rounded(out, "recall_1", "recall_3", "recall_5", "recall_10", "mrr")
 
 
+@query("oracle_recall_rollup", f"WITH {_ROLL}, {_VEC}, {_INDEX}, {_SCORED}, {_ranked_sql(_S3)}, {_TRUE_RANK} SELECT count(*) AS scored, {_RECALL}, {R('avg(coalesce(1 / rank, 0))')} AS mrr FROM tk")
+def oracle_recall_rollup(spark, sf):
+    """Recall with the coarser code in both the index and the truth."""
+    test, vec, index = _rollup(spark, sf)
+    terms = T.score_terms(_queries(test), vec, index, "p_partkey", "p_type", "p_brand", _Z, ["hist"])
+    out = T.oracle_recall(_ranked(terms, T.blend3(_W3)), _truth(test), "p_partkey", "p_brand")
+    return rounded(out, "recall_1", "recall_3", "recall_5", "recall_10", "mrr")
+
+
 @query("recall_by_subset", f"""{_BASE}, {_ranked_sql(_SG)}, {_TRUE_RANK}, sb AS (SELECT 'all' AS subset, * FROM tk UNION ALL SELECT CASE WHEN has_hist THEN 'history' ELSE 'none' END, * FROM tk)
 SELECT subset, count(*) AS scored, {_RECALL}, {R('avg(coalesce(1 / rank, 0))')} AS mrr FROM sb GROUP BY 1""")
 def recall_by_subset(spark, sf):
@@ -337,6 +361,56 @@ def end_to_end_recall(spark, sf):
     return rounded(rep, *[c for c in rep.columns if c != "n"])
 
 
+# --- the scoring chain -------------------------------------------------------------------------------
+
+# Rules stand for the fitted heads: acuity from the size, admission from price and size, categories by the made-up
+# probabilities above. Only visits at the gate or above get categories, a department and codes.
+_CHAIN_SQL = """hd AS (SELECT p_partkey, CAST(p_partkey % 5 + 1 AS INTEGER) AS acuity, CAST(floor(p_size / 10.5::DOUBLE) + 1 AS INTEGER) AS acuity_pred, CASE WHEN p_size > 20 THEN 1 ELSE 0 END AS admitted,
+  round((p_partkey * 13 % 101) / 200.0::DOUBLE + p_size / 100.0::DOUBLE, 6) AS p_admit, p_type AS diagnosis_group, substr(p_brand, 7, 1) AS service_group, p_brand AS icd_true FROM r WHERE split = 'test'),
+fr AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY combined DESC, p_type, p_brand) AS flat_rank FROM fl),
+fc AS (SELECT p_partkey, list(p_brand ORDER BY flat_rank) AS icd_flat FROM fr WHERE flat_rank <= 10 GROUP BY 1),
+dc AS (SELECT p_partkey, list(p_type ORDER BY p DESC, p_type)[1:3] AS diag_top3 FROM pr GROUP BY 1),
+ds AS (SELECT p_partkey, list(dep ORDER BY s DESC, dep)[1:3] AS dept_top3 FROM (SELECT p_partkey, substr(p_brand, 7, 1) AS dep, max(combined) AS s FROM fl GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT hd.*, CASE WHEN p_admit >= 0.4 THEN 1 ELSE 0 END AS admit_pred, CASE WHEN p_admit >= 0.4 THEN diag_top3 END AS diag_top3, CASE WHEN p_admit >= 0.4 THEN dept_top3 END AS dept_top3,
+  CASE WHEN p_admit >= 0.4 THEN icd_flat END AS icd_flat FROM hd LEFT JOIN fc USING (p_partkey) LEFT JOIN dc USING (p_partkey) LEFT JOIN ds USING (p_partkey))"""
+
+
+def _chain_hit(arr: str, val: str, k: int) -> str:
+    return R(f"avg(CASE WHEN admitted = 1 THEN CASE WHEN list_contains(coalesce({arr}, [])[1:{k}], {val}) THEN 1 ELSE 0 END END)")
+
+
+@query("scoring_chain", f"""{_FLAT}, {_CHAIN_SQL}
+SELECT 'chain' AS mode, {R('avg(CASE WHEN acuity_pred = acuity THEN 1 ELSE 0 END)')} AS acuity, {R('avg(CASE WHEN admit_pred = admitted THEN 1 ELSE 0 END)')} AS dispo,
+  {_chain_hit('diag_top3', 'diagnosis_group', 1)} AS diag_top1, {_chain_hit('diag_top3', 'diagnosis_group', 3)} AS diag_top3, {_chain_hit('dept_top3', 'service_group', 1)} AS dept_top1, {_chain_hit('dept_top3', 'service_group', 3)} AS dept_top3,
+  {_chain_hit('icd_flat', 'icd_true', 1)} AS icd_top1, {_chain_hit('icd_flat', 'icd_true', 5)} AS icd_top5, {_chain_hit('icd_flat', 'icd_true', 10)} AS icd_top10,
+  count(CASE WHEN admitted = 1 AND diag_top3 IS NOT NULL THEN 1 END) AS diag_cov, count(CASE WHEN admitted = 1 AND dept_top3 IS NOT NULL THEN 1 END) AS dept_cov, count(CASE WHEN admitted = 1 THEN 1 END) AS n_admit,
+  count(CASE WHEN admitted = 1 AND icd_flat IS NOT NULL THEN 1 END) AS icd_cov, count(CASE WHEN admitted = 1 THEN 1 END) AS icd_n FROM j""")
+def scoring_chain(spark, sf):
+    """All held-out visits through the heads in order: acuity, admission, gate, categories, department, codes; then scored.
+
+    The code ranking runs for gated visits only."""
+    test, vec, index = _parts(spark, sf)
+    heads = test.withColumns({
+        "acuity": (F.col("p_partkey") % 5 + 1).cast("int"), "acuity_pred": (F.floor(F.col("p_size") / 10.5) + 1).cast("int"),
+        "admitted": (F.col("p_size") > 20).cast("int"),
+        "p_admit": F.round((F.col("p_partkey") * 13 % 101) / 200.0 + F.col("p_size") / 100.0, 6)})
+    gated = M.gate(heads, "p_admit")
+    probs, out = _resolve(spark, sf, gated, vec, index)
+    ordered = lambda cols, name: F.transform(F.array_sort(F.collect_list(F.struct(*cols))), lambda x: x[name])
+    diag = probs.groupBy("p_partkey").agg(F.slice(ordered([(-F.col("p")).alias("o"), F.col("p_type")], "p_type"), 1, 3).alias("diag_top3"))
+    codes = out["flat"].groupBy("p_partkey").agg(ordered(["flat_rank", "p_brand"], "p_brand").alias("icd_flat"))
+    dept = out["per_category"].groupBy("p_partkey", F.substring("p_brand", 7, 1).alias("dep")) \
+        .agg(F.max(T.stable(F.col("p") * F.col("score"), 12)).alias("s"))
+    dept = dept.groupBy("p_partkey").agg(F.slice(ordered([(-F.col("s")).alias("o"), F.col("dep")], "dep"), 1, 3).alias("dept_top3"))
+    preds = heads.select("p_partkey", F.lit("chain").alias("mode"), "acuity_pred", (F.col("p_admit") >= M.LIVE_THRESHOLD).cast("int").alias("admit_pred"))
+    for part in (diag, dept, codes):
+        preds = preds.join(part, "p_partkey", "left")
+    truth = heads.select("p_partkey", "acuity", "admitted", F.col("p_type").alias("diagnosis_group"),
+                         F.substring("p_brand", 7, 1).alias("service_group"), F.col("p_brand").alias("icd_true"))
+    done = N.score_modes(truth, preds, "p_partkey")
+    return rounded(done, *[c for c in done.columns if c in ("acuity", "dispo") or "_top" in c])
+
+
 # --- graded credit -----------------------------------------------------------------------------------
 
 # Brands as codes: letter from the brand number, version from the size; neighbours share rubric or chapter.

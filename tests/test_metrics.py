@@ -2,7 +2,7 @@
 
 import math
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -117,11 +117,12 @@ def test_gate_and_long_metrics(spark):
     assert K.gate_status(gate).first().asDict() == {"n_checked": 2, "n_failed": 1, "status": "FAIL"}
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4), st.integers(0, 4)), min_size=1, max_size=25))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture], phases=[Phase.generate])
+@given(st.lists(st.tuples(*[st.integers(0, 4)] * 4), min_size=1, max_size=25))
 def test_pareto_against_brute_force(spark, pts):
-    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "trial int, a int, b int, c int")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "trial int, a int, b int, c int, d int")
     better = lambda x, y, n: all(p >= q for p, q in zip(x[:n], y[:n])) and x[:n] != y[:n]
-    for n, obj in ((2, {"a": "max", "b": "max"}), (3, {"a": "max", "b": "max", "c": "max"})):
+    for n, obj in ((2, {"a": "max", "b": "max"}), (3, {"a": "max", "b": "max", "c": "max"}),
+                   (4, {"a": "max", "b": "max", "c": "max", "d": "max"})):
         want = {i for i, p in enumerate(pts) if not any(better(q, p, n) for q in pts)}
         assert {r.trial for r in K.pareto(df, obj).collect()} == want

@@ -137,6 +137,14 @@ def exclude_catch_all(spark, sf):
     return kept.groupBy("p_type").agg(F.count("*").alias("n"))
 
 
+@query("exclusion_counts", """SELECT CAST('MEDIUM' AS VARCHAR) AS level, count(*) AS n_before, count(CASE WHEN p_type IS DISTINCT FROM 'MEDIUM' THEN 1 END) AS n_after FROM part""")
+def exclusion_counts(spark, sf):
+    """Rows before and after the exclusion, as observed while the kept rows are written."""
+    kept, seen = C.exclude_with_audit(table(spark, sf, "part", "p_type"), "p_type", "MEDIUM")
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([("MEDIUM", seen.get["before"], seen.get["after"])], "level string, n_before bigint, n_after bigint")
+
+
 @query("one_hot_priority", """
 SELECT o_orderstatus, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::BIGINT AS urgent,
   sum(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END)::BIGINT AS high,

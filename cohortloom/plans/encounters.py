@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -10,8 +12,9 @@ from ..operators import clean as C
 from ..operators import history as H
 from ..operators import joins as J
 from ..operators import readings as G
+from ..session import checkpoint_dir
 from .cohort import sql_normalize
-from .registry import R, query, r6, rounded, table
+from .registry import ORACLE, R, query, r6, rounded, table
 
 # --- history -----------------------------------------------------------------------------------------
 
@@ -154,6 +157,25 @@ def history_index(spark, sf):
     return out
 
 
+@query("history_lookup", f"SELECT * FROM ({ORACLE['history_block']}) WHERE stay_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')")
+def history_lookup(spark, sf):
+    """The history index of a list of subjects is stored and loaded; their visits are looked up in it alone."""
+    s = _stays(spark, sf).withColumn("hadm_id", F.col("stay_id"))
+    adm = s.filter("o_orderstatus = 'F'").select("subject_id", "hadm_id", "intime")
+    flags = s.filter("o_orderstatus = 'F'").select("hadm_id", (F.col("o_totalprice") > 450000).cast("int").alias("pmh_big"))
+    meds = table(spark, sf, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(F.count("*").alias("n_medications"))
+    subjects = table(spark, sf, "customer", "c_custkey", "c_mktsegment").filter("c_mktsegment = 'BUILDING'") \
+        .select(F.col("c_custkey").alias("subject_id"))
+    path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    H.save_history_index(H.build_history_index(s, adm, flags.limit(0), flags, meds, subjects), path, {
+        "ed_visits": ["subject_id", "intime"], "admissions": ["subject_id", "intime"], "icd_flags": ["hadm_id"],
+        "note_flags": ["hadm_id"], "med_blocks": ["stay_id"]})
+    index = H.load_history_index(spark, path, ["ed_visits", "admissions", "note_flags"])
+    known = index["admissions"].join(index["note_flags"], "hadm_id", "left")
+    out = H.history_features(index["ed_visits"], index["ed_visits"], known, ["pmh_big"])
+    return rounded(out, "days_since_last_admission", "days_since_last_ed")
+
+
 # --- readings ----------------------------------------------------------------------------------------
 
 # One anchor per user: the first signup; the window is 72 hours.

@@ -126,3 +126,11 @@ def test_pareto_against_brute_force(spark, pts):
                    (4, {"a": "max", "b": "max", "c": "max", "d": "max"})):
         want = {i for i, p in enumerate(pts) if not any(better(q, p, n) for q in pts)}
         assert {r.trial for r in K.pareto(df, obj).collect()} == want
+
+
+def test_front_keeps_equal_rows_and_leaves_out_missing_values(spark):
+    rows = [(1, 2.0, 1.0, -0.0), (2, 2.0, 1.0, 0.0), (3, 2.0, None, 9.0), (4, 1.0, 1.0, 0.0), (5, float("nan"), 9.0, 9.0), (6, 0.0, 3.0, -1.0)]
+    df = spark.createDataFrame(rows, "trial int, a double, b double, c double")
+    goals = {"a": "max", "b": "max", "c": "max"}
+    assert {r.trial for r in K.pareto(df, goals).collect()} == {1, 2, 6}
+    assert K.pareto(df.limit(0), goals).count() == 0

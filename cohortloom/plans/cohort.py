@@ -10,6 +10,7 @@ from ..functions.text import ABBREVIATIONS, normalize_text
 from ..operators import aggregates as A
 from ..operators import clean as C
 from ..operators import joins as J
+from ..session import durable
 from ..sources import read_codes, scan_for_keys
 from .registry import R, VISITS, query, r6, rounded, table, visits
 
@@ -257,7 +258,7 @@ m AS (SELECT median(v) AS med FROM c WHERE event_type <> 'click')
 SELECT event_type, count(*) AS n, {R('avg(coalesce(v, med))')} AS mean_value, {R('min(med)')} AS fitted FROM c, m GROUP BY 1""")
 def median_impute(spark, sf):
     df = C.null_out_of_range(C.coerce_numeric(_readings(spark, sf), ["value"]), {"value": (20, 150)})
-    med = C.fit_median(df.filter("event_type <> 'click'"), ["value"])
+    med = durable(C.fit_median(df.filter("event_type <> 'click'"), ["value"]))
     return C.apply_median(df, med, ["value"]).withColumn("fitted", med.select(F.max("median")).scalar()) \
         .groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean_value"), r6(F.min("fitted")).alias("fitted"))
 

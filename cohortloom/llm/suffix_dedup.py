@@ -11,8 +11,10 @@ at the same place. So neighbourhoods of such anchors, wide enough for all string
    in the order with a common prefix of ``length`` bytes form runs whose earliest member stays.
 3. Spans are merged per document and taken out.
 
-A seed with more neighbourhoods than a chunk holds (a common line, say) is keyed by those windows instead of itself, and
-what still does not fit a chunk is compared string by string."""
+A seed with more neighbourhoods than a chunk holds (a common line, say) is keyed by those windows instead of itself. A
+window that still does not fit a chunk is keyed by the hashes of its exact strings, which are aggregated to their earliest
+place and joined back. So no group is held: of one seed at most a chunk of neighbourhoods, and the seeds that a sample
+shows to be the most common are dealt by neighbourhood from the start."""
 
 from __future__ import annotations
 
@@ -31,11 +33,18 @@ SEED = 32
 #: Positions of one chunk; ranks of its eight-byte words fit in 21 bits, three to a key.
 CHUNK = 1 << 21
 PARTS = 4
+#: Rows that are judged together.
+HELD = 1 << 18
+#: One row in so many is looked at for common seeds, and those found so often there, the most common first, are dealt by
+#: neighbourhood. This only places rows; results do not depend on it.
+SAMPLE, OFTEN, COMMON = 32, 32, 4096
 M = np.uint64(0x9E3779B97F4A7C15)
 M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 VALUES = np.random.default_rng(11).integers(1, 1 << 62, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOUND = "kind int, h long, c long, doc long, tie long, pos int, stop int"
 CONTEXTS = "key long, doc long, tie long, start int, seed int, context binary"
+WINDOWED = CONTEXTS + ", part int"
+STRINGS = "one long, two long, doc long, tie long, pos int"
 SPANS = "doc long, tie long, pos int, stop int"
 
 
@@ -93,7 +102,31 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-def _find(length: int):
+def _seeds(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors(_bytes(text.as_py()), length)[1] for text in batch.column(0)]
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(found))], names=["h"])
+    return run
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def common_seeds(rows: DataFrame, length: int) -> np.ndarray:
+    """Seed hashes that a sample of ``rows`` (doc, tie, text) holds most often, in order."""
+    sample = rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(_seeds(length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.sort(np.asarray([r.h for r in found], np.int64))
+
+
+def _find(length: int, common: np.ndarray):
+    """Kinds: 0 an anchor, 1 a span, 3 an anchor of a common seed."""
     reach = length - SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,30 +156,35 @@ def _find(length: int):
             sent = ~again
             spans = again & ~drop & (b - a >= length)
             rows = np.flatnonzero(sent | spans)
-            kind = np.where(sent[rows], 0, 1).astype(np.int32)
+            kind = np.where(sent[rows], np.where(_among(h[rows], common), 3, 0), 1).astype(np.int32)
             # spans need no seed: any key deals them out
-            key = np.where(kind == 0, h[rows], (doc[rows] * 31 + at[rows]))
+            key = np.where(kind != 1, h[rows], (doc[rows] * 31 + at[rows]))
             yield pa.record_batch([
                 pa.array(kind), pa.array(key), pa.array(c[rows]), pa.array(doc[rows]), pa.array(tie[rows]),
-                pa.array(np.where(kind == 0, at[rows], a[rows]).astype(np.int32)), pa.array(b[rows].astype(np.int32))],
+                pa.array(np.where(kind != 1, at[rows], a[rows]).astype(np.int32)), pa.array(b[rows].astype(np.int32))],
                 names=names)
     return run
 
 
-def _judge(length: int):
-    """Rows sorted by kind, h, c, doc, tie, pos: repeats become spans, differing neighbourhoods of a seed go on."""
+def _judge(length: int, chunk_contexts: int, most: int):
+    """Rows sorted by kind, h, c, doc, tie, pos: repeats become spans, differing neighbourhoods of a seed go on.
+
+    ``most`` rows are looked at together. Of a seed that reaches beyond them only the earliest of each neighbourhood are
+    held, and as soon as these are more than a chunk they go on and none is held."""
     reach = length - SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
         held: list[pa.RecordBatch] = []
+        told = False  # the first row held and its seed's earlier ones have gone on
 
-        def flush(t: pa.Table) -> pa.RecordBatch:
+        def flush(t: pa.Table, open_end: bool) -> tuple[pa.RecordBatch, pa.Table, bool]:
+            """What goes on, what of the last seed is held if it may have more rows, and whether that has gone on."""
             kind, h, c, doc, tie, pos, stop = (col.to_numpy() for col in t.columns)
             n = len(h)
-            anchor = kind == 0
+            anchor = kind != 1
             same_h, same_c = np.zeros(n, bool), np.zeros(n, bool)
-            same_h[1:] = anchor[1:] & anchor[:-1] & (h[1:] == h[:-1])
+            same_h[1:] = (kind[1:] == kind[:-1]) & anchor[1:] & (h[1:] == h[:-1])
             same_c[1:] = same_h[1:] & (c[1:] == c[:-1])
             first = anchor & ~same_c
             at = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -154,31 +192,39 @@ def _judge(length: int):
             start = np.where(anchor, np.maximum(pos - reach, 0), pos)
             span = ~anchor | same_c & ~own & (stop - start >= length)
             group = np.cumsum(~same_h) - 1
-            different = np.bincount(group[first], minlength=int(group[-1]) + 1 if n else 0)
-            more = first & (different[group] > 1) if n else first
+            different = np.bincount(group[first], minlength=int(group[-1]) + 1)
+            different[group[kind == 3]] = chunk_contexts + 1
+            if told:
+                different[0] = chunk_contexts + 1
+            more = first & (different[group] > 1)
+            more[0] &= not told
+            keep, gone = t.slice(n), False
+            if open_end and anchor[-1]:
+                gone = bool(different[-1] > chunk_contexts)
+                last = np.flatnonzero(first & (group == group[-1]))
+                keep = t.take(pa.array(last[-1:] if gone else last))
+                if not gone:
+                    more[last] = False
             rows = np.flatnonzero(span | more)
             out = np.where(more[rows], 2, 1).astype(np.int32)
             return pa.record_batch([
                 pa.array(out), pa.array(h[rows]), pa.array(np.where(out == 2, different[group[rows]], 0)),
                 pa.array(doc[rows]), pa.array(tie[rows]),
-                pa.array(np.where(out == 2, pos[rows], start[rows]).astype(np.int32)), pa.array(stop[rows])], names=names)
+                pa.array(np.where(out == 2, pos[rows], start[rows]).astype(np.int32)), pa.array(stop[rows])],
+                names=names), keep, gone
 
         size = 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-            if size < 1 << 18:
+            if size < most:
                 continue
-            t = pa.Table.from_batches(held)
-            h = t.column(1).to_numpy()
-            last = int(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[-1])
-            if last:
-                yield flush(t.slice(0, last))
-                rest = t.slice(last)
-                held, size = rest.to_batches(), rest.num_rows
+            out, rest, told = flush(pa.Table.from_batches(held), True)
+            yield out
+            held, size = rest.to_batches(), 0  # what is held is at most a chunk
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield flush(pa.Table.from_batches(held), False)[0]
     return run
 
 
@@ -205,6 +251,7 @@ def window_keys(contexts: Sequence[bytes], seed: np.ndarray, reach: int) -> np.n
 
 
 def _fetch(length: int, chunk_contexts: int):
+    """Neighbourhoods keyed by their seed; those of seeds beyond a chunk have no key."""
     reach = length - SEED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,19 +262,74 @@ def _fetch(length: int, chunk_contexts: int):
                 raw = zlib.decompress(packed)
                 for h, n, at in zip(hs, ns, ps):
                     a, b = max(0, at - reach), min(len(raw), at + SEED + reach)
-                    if b - a < length:
-                        continue
-                    row = (h, doc, tie, a, at - a, raw[a:b])
-                    if n <= chunk_contexts:
-                        rows.append(row)
-                    else:
-                        rows += [(k, *row[1:]) for k in window_keys([row[5]], np.asarray([at - a]), reach)[0].tolist()]
+                    if b - a >= length:
+                        rows.append((h if n <= chunk_contexts else None, doc, tie, a, at - a, raw[a:b]))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     return run
 
 
+def _windowed(length: int, keys_only: bool):
+    """A row for each window that lies in the neighbourhood whole: no string holds one that does not."""
+    reach = length - SEED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in WINDOWED.split(", ")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            contexts, seed = batch.column(5).to_pylist(), batch.column(4).to_numpy().astype(np.int64)
+            keys = window_keys(contexts, seed, reach)
+            size = np.asarray([len(c) for c in contexts])
+            ok = np.stack([(seed >= left) & (seed + SEED + right <= size) for left, right in windows(reach)], axis=1)
+            row, part = np.nonzero(ok)
+            key = pa.array(keys[row, part])
+            if keys_only:
+                yield pa.record_batch([key], names=["key"])
+            else:
+                rest = batch.take(pa.array(row))
+                yield pa.record_batch([key, *rest.columns[1:], pa.array(part.astype(np.int32))], names=names)
+    return run
+
+
+def _strings(length: int):
+    """The strings of a neighbourhood that are the part of a window: two hashes and the place of each."""
+    reach = length - SEED
+    step = -(-(reach + 1) // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in STRINGS.split(", ")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, tie, start, seed, part = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4, 6))
+            for lo in range(0, len(doc), 1024):
+                contexts = batch.column(5)[lo:lo + 1024].to_pylist()
+                size = np.asarray([len(c) for c in contexts])
+                begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+                shift = part[lo:lo + 1024, None] * step + np.arange(step)[None, :]
+                off = seed[lo:lo + 1024, None] - shift
+                row, col = np.nonzero((shift <= reach) & (off >= 0) & (off + length <= size[:, None]))
+                off = off[row, col]
+                text, at = np.frombuffer(b"".join(contexts), np.uint8), begin[row] + off
+                one, two = (substring_hash(text, at, at + length, f).view(np.int64) for f in (0, 1))
+                row += lo
+                yield pa.record_batch([pa.array(one), pa.array(two), pa.array(doc[row]), pa.array(tie[row]),
+                                       pa.array((start[row] + off).astype(np.int32))], names=names)
+    return run
+
+
+def _later(windowed: DataFrame, length: int) -> DataFrame:
+    """Spans of all strings of ``windowed`` that are not the earliest of their kind."""
+    strings = windowed.mapInArrow(_strings(length), STRINGS)
+    place = F.struct("doc", "tie", "pos")
+    first = durable(strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .where("first < last").drop("last"))
+    return (strings.join(first, ["one", "two"]).where(place > F.col("first"))
+            .select("doc", "tie", "pos", (F.col("pos") + length).cast("int").alias("stop")))
+
+
 def word_ranks(text: np.ndarray) -> np.ndarray:
     """Dense rank of the eight bytes that start at each position; zeros follow the end."""
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -352,36 +454,17 @@ def repeated_starts(contexts: Sequence[bytes], order: np.ndarray, base: np.ndarr
     return ctx[later], off[later]
 
 
-def compared_starts(contexts: Sequence[bytes], seed: np.ndarray, order: np.ndarray, base: np.ndarray,
-                    length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for contexts of one seed, string by string at equal distance from the seed; memory for one distance."""
-    rank = list(zip(order.tolist(), base.tolist()))
-    found: list[tuple[int, int]] = []
-    for shift in range(length - SEED + 1):
-        place = [(i, s - shift) for i, s in enumerate(seed.tolist()) if s >= shift and s - shift + length <= len(contexts[i])]
-        first: dict[bytes, tuple[int, int]] = {}
-        for i, o in place:
-            string, mine = contexts[i][o:o + length], (rank[i][0], rank[i][1] + o)
-            first[string] = min(first.get(string, mine), mine)
-        found += [(i, o) for i, o in place if first[contexts[i][o:o + length]] < (rank[i][0], rank[i][1] + o)]
-    ctx, off = zip(*found) if found else ((), ())
-    return np.asarray(ctx, np.int64), np.asarray(off, np.int64)
-
-
 def _sort(length: int):
     reach = length - SEED
     width = length + reach + 8
     most = CHUNK // width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(rows: pa.Table, one_seed: bool) -> pa.RecordBatch:
-            doc, tie, start, seed = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4))
+        def spans(rows: pa.Table) -> pa.RecordBatch:
+            doc, tie, start = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
             contexts = rows.column(5).to_pylist()
             order = np.unique(np.stack([doc, tie], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-            if one_seed:
-                ctx, off = compared_starts(contexts, seed, order, start, length)
-            else:
-                ctx, off = repeated_starts(contexts, order, start, length)
+            ctx, off = repeated_starts(contexts, order, start, length)
             key = np.unique(ctx * width + off)
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1] + 1
@@ -401,14 +484,12 @@ def _sort(length: int):
             begin = 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - begin > most and a > begin:
-                    yield spans(rows.slice(begin, a - begin), False)
+                    yield spans(rows.slice(begin, a - begin))
                     begin = a
-                if b - begin > most:
-                    yield spans(rows.slice(begin, b - begin), True)
-                    begin = b
             if begin < len(key):
-                yield spans(rows.slice(begin), False)
+                yield spans(rows.slice(begin))
 
+        pa.default_memory_pool().release_unused()  # of earlier stages of the same worker
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -473,18 +554,33 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").alias("text"))
     unique = rows.groupBy("doc").count().where("count > 1").isEmpty()
     rows = rows.select("doc", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("tie"), "text")
-    found = (rows.mapInArrow(_find(length), FOUND).repartition(n, "h")
-             .sortWithinPartitions("kind", "h", "c", "doc", "tie", "pos").mapInArrow(_judge(length), FOUND))
+    chunk_contexts = CHUNK // (2 * length - SEED + 8) // 2
+    found = (rows.mapInArrow(_find(length, common_seeds(rows, length)), FOUND)
+             .repartition(n, "h", F.when(F.col("kind") == 3, F.col("c")))
+             .sortWithinPartitions("kind", "h", "c", "doc", "tie", "pos")
+             .mapInArrow(_judge(length, chunk_contexts, HELD), FOUND))
     found = durable(found)
     wanted = (found.where("kind = 2").groupBy("doc", "tie")
               .agg(F.collect_list("h").alias("hs"), F.collect_list("c").alias("ns"), F.collect_list("pos").alias("ps")))
     packed = rows.mapInArrow(_pack, "doc long, tie long, packed binary")
     once = packed if unique else packed.dropDuplicates(["doc", "tie"])
-    chunk_contexts = CHUNK // (2 * length - SEED + 8) // 2
     contexts = once.join(wanted, ["doc", "tie"]).mapInArrow(_fetch(length, chunk_contexts), CONTEXTS)
+    later = None
+    if not found.where((F.col("kind") == 2) & (F.col("c") > chunk_contexts)).isEmpty():
+        contexts = durable(contexts)
+        wide = contexts.where("key IS NULL")
+        hot = durable(wide.mapInArrow(_windowed(length, True), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+                      .where(F.col("n") > chunk_contexts).select("key"))
+        windowed = wide.mapInArrow(_windowed(length, False), WINDOWED)
+        if not hot.isEmpty():
+            later = _later(windowed.join(hot, "key", "left_semi"), length)
+            windowed = windowed.join(hot, "key", "left_anti")
+        contexts = contexts.where("key IS NOT NULL").unionByName(windowed.drop("part"))
     sorted_out = durable(contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "tie", "start")
                          .mapInArrow(_sort(length), SPANS))
     spans = found.where("kind = 1").select("doc", "tie", "pos", "stop").unionByName(sorted_out)
+    if later is not None:
+        spans = spans.unionByName(later)
     both = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
     spans = spans.groupBy("doc", "tie").agg(F.collect_list(both).alias("spans"))
     cut = packed.join(spans, ["doc", "tie"], "left").mapInArrow(

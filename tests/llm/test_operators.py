@@ -286,6 +286,61 @@ def test_two_stage_order_and_hot_seeds(spark, monkeypatch):
         assert got == want and sum(w[1] for w in want.values()) > 0
 
 
+def test_no_hot_group_is_held(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    line, copied = letters(64), letters(30)
+    rows = [(i, (letters(30) if i % 3 else copied) + line + letters(30)) for i in range(90)]
+    rows += [(i, line + letters(40)) for i in range(90, 130)]  # at the edge of the text
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.repeats(rows, 70)
+    real = suffix_dedup._sort
+    chunk = (1 << 11) // 116 // 2
+
+    def counted(length):
+        run, most = real(length), chunk
+
+        def check(batches):
+            held = [b for b in batches if b.num_rows]
+            keys = [k for b in held for k in b.column(0).to_pylist()]
+            assert all(keys.count(k) <= most for k in set(keys)), "a group beyond a chunk"
+            yield from run(iter(held))
+        return check
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 11)
+    monkeypatch.setattr(suffix_dedup, "_sort", counted)
+    for often in (32, 1):  # no seed and all seeds dealt by neighbourhood
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", 1 if often == 1 else 32)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, 70).collect()}
+        assert got == want and sum(w[1] for w in want.values()) > 0
+
+
+def test_seeds_are_judged_in_a_stream():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    names = [f.split()[0] for f in suffix_dedup.FOUND.split(", ")]
+    rows = [(0, h, int(c), d, 0, 50, 300) for h, n in ((1, 3), (2, 5000), (3, 1), (4, 40)) for d, c in enumerate(
+        np.sort(rng.integers(0, n if h != 4 else 2, n)))]
+    table = pa.table(list(map(list, zip(*rows))), schema=pa.schema([(c, pa.int32() if c in ("kind", "pos", "stop") else pa.int64()) for c in names]))
+
+    def judged(most, seen=None):
+        def fed():
+            for b in table.to_batches(max_chunksize=100):
+                if seen is not None:
+                    seen.append(len(out))
+                yield b
+        out = []
+        for b in suffix_dedup._judge(100, 50, most)(fed()):
+            out += b.to_pylist()
+        return sorted((r["kind"], r["h"], min(r["c"], 51), r["doc"], r["pos"], r["stop"]) for r in out)
+
+    seen = []
+    assert judged(200, seen) == judged(1 << 18) == judged(1)
+    assert seen[30] > 2000  # rows of the long seed go on while it is still read
+
+
 def test_near_duplicates(spark, docs, empty):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]

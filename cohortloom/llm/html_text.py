@@ -1,10 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one per block element. A line's weight is its text that stands outside links; lines inside
-menus, headers, footers, sidebars, notices, adverts, forms and comment sections weigh nothing, and so do lines outside
-the main article where the page marks one. Weights are summed over windows of ``WINDOW`` lines. From the heaviest
-window the text goes on in both directions until the sum is down to nothing: the surge and the dive. Lines with weight
-between these points are the text."""
+Markup is stripped to lines, one per block element. Menus, headers, footers, sidebars, notices, adverts, forms and comment
+sections give no lines, so that none of them can end the text around it. A line's weight is its text that stands outside
+links. Where the page marks the main article, its lines with weight are the text. On other pages weights are summed over
+windows of ``WINDOW`` lines. From the heaviest window the text goes on in both directions until the sum is down to
+nothing: the surge and the dive. Lines with weight between these points are the text."""
 
 from __future__ import annotations
 
@@ -69,9 +69,8 @@ class _Lines:
         if self.parts:
             text = " ".join(html_module.unescape("".join(self.parts)).split())
             linked = " ".join(html_module.unescape("".join(self.linked)).split())
-            if text:
-                weight = 0 if side or 2 * len(linked) > len(text) else len(text)
-                self.lines.append(("" if side else text, weight, self.main))
+            if text and not side:
+                self.lines.append((text, 0 if 2 * len(linked) > len(text) else len(text), self.main))
             self.parts, self.linked = [], []
 
 
@@ -127,7 +126,7 @@ def main_text(page: str | None) -> str:
     marked = {m: w for m, w in by_main.items() if m and w}
     if marked:
         best = max(marked, key=lambda m: (marked[m], -m))
-        lines = [(x, w if m == best else 0, m) for x, w, m in lines]
+        return " ".join(x for x, w, m in lines if w and m == best)
     weights = [w for _, w, _ in lines]
     sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
     if not any(sums):
@@ -138,11 +137,10 @@ def main_text(page: str | None) -> str:
     while last + 1 < len(sums) and sums[last + 1]:
         last += 1
     kept = [x for x, w, _ in lines[first:last + WINDOW] if w]
-    if not marked:
-        while kept and EDGE.match(kept[-1]):
-            kept.pop()
-        while kept and EDGE.match(kept[0]):
-            kept.pop(0)
+    while kept and EDGE.match(kept[-1]):
+        kept.pop()
+    while kept and EDGE.match(kept[0]):
+        kept.pop(0)
     return " ".join(kept)
 
 

@@ -201,6 +201,20 @@ def test_html():
     assert len(html_text.main_text("<p>" + "word " * 200000)) == 999999
 
 
+def test_html_gaps_inside_the_text():
+    para = lambda c, n: f"<p>{c * n}</p>"
+    gaps = ["<aside><p>a<p>b<p>c</aside>", "<div class='share'><ul><li>a<li>b<li>c<li>d</ul></div>", "<form><p>x<p>y<p>z</form>"]
+    links = "<ul>" + "<li><a href='x'>See this one</a></li>" * 4 + "</ul>"
+    want = " ".join(("a" * 300, "b" * 400, "c" * 500, "d" * 200))
+    for gap in gaps:
+        body = para("a", 300) + para("b", 400) + gap + para("c", 500) + para("d", 200)
+        assert html_text.main_text(f"<nav><p>x</nav>{body}<footer>y</footer>") == want
+        assert html_text.main_text(f"<p>out</p><article>{body}</article><p>out</p>") == want
+    body = para("a", 300) + para("b", 400) + links + para("c", 500) + para("d", 200)
+    assert html_text.main_text(f"<main>{body}</main>") == want
+    assert html_text.main_text(f"<div>{body}</div>") == "a" * 300 + " " + "b" * 400  # links end the text of unmarked pages
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é text here</p>", 3), (1, "u", "<p>é text here</p>", 3), (None, None, None, 1)],
                                   "page_id long, url string, html string, text int")

@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. Every value found, and every long mixed token that no base span covers, is hashed
 and counted over the whole corpus by distinct repository and owner. A value under few owners is owner-specific and
-looks live; one that many owners hold is a copied example. Tokens that look live add spans of the kind ``owned``.
+looks live, however many documents of theirs hold it; one that many owners hold is a copied example. Where repositories
+are larger than documents, one in many of them is a copied example too. Tokens that look live add spans of the kind ``owned``.
 
 Positions come from the pieces between matches. Texts never move: only hashes and positions are counted, and only rows
 with findings are joined with the verdicts, which are aggregated before each shuffle."""
@@ -27,10 +28,15 @@ SPAN = "struct<start:int,rank:int,end:int,hash:string>"
 
 @dataclass(frozen=True)
 class Ownership:
-    """A value under at most this many owners and repositories is owner-specific."""
+    """A value under at most this many owners and repositories is owner-specific; without ``repositories``, owners alone
+    decide."""
 
     owners: int = 2
-    repositories: int = 20
+    repositories: int | None = 20
+
+
+#: For documents that are their own repositories: copies inside one owner are no wide copying.
+BY_OWNER = Ownership(repositories=None)
 
 
 def _spans(matches: Column, pieces: Column, rank: int, value) -> Column:
@@ -75,13 +81,18 @@ def find(docs: DataFrame) -> DataFrame:
 
 def ownership(found: DataFrame, limits: Ownership = Ownership()) -> DataFrame:
     """(hash, n_owners, n_repositories, live) of every value in ``found`` (hash, _repo, _owner)."""
+    live = F.col("n_owners") <= limits.owners
+    if limits.repositories is not None:
+        live &= F.col("n_repositories") <= limits.repositories
     per_owner = found.select("hash", "_owner", "_repo").distinct().groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n"))
     return (per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
-            .withColumn("live", (F.col("n_owners") <= limits.owners) & (F.col("n_repositories") <= limits.repositories)))
+            .withColumn("live", live))
 
 
-def _judged(docs: DataFrame, keep: list[str], repository: str, owner: str, text: str, limits: Ownership) -> DataFrame:
+def _judged(docs: DataFrame, keep: list[str], repository: str, owner: str, text: str,
+            limits: Ownership | None) -> DataFrame:
     """``_all``, a structure of the ``keep`` columns, with base and found; no column of ``docs`` can clash."""
+    limits = limits or (BY_OWNER if repository == "doc_id" else Ownership())
     own = docs.select(F.struct(*keep).alias("_all"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
                       F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repo"),
                       F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
@@ -105,9 +116,10 @@ def _judged(docs: DataFrame, keep: list[str], repository: str, owner: str, text:
 
 
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text",
-         keep: list[str] | None = None, limits: Ownership = Ownership()) -> DataFrame:
+         keep: list[str] | None = None, limits: Ownership | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (default: all) with ``base`` and ``found``, arrays of (start, kind, end, live) by
     start, then kind: base spans alone, and base spans with the owned ones. Columns of these two names are replaced.
+    Without ``limits`` owners alone decide if ``doc_id`` is the repository, else those of ``Ownership``.
 
     Null and empty texts hold nothing. A missing repository or owner counts as one of its own. Repeated rows are
     judged and returned each; no rows give no rows. Positions are code points, ends exclusive."""
@@ -134,7 +146,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", live: str = "[SECRET]", copied: str = "[EXAMPLE-SECRET]",
-           repository: str = "doc_id", owner: str = "source", limits: Ownership = Ownership()) -> DataFrame:
+           repository: str = "doc_id", owner: str = "source", limits: Ownership | None = None) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by a mark that tells live ones from copied examples.
 
     Overlapping findings become one mark, a live one if any of them is live."""

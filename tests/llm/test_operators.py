@@ -131,6 +131,15 @@ def test_ownership_separates_examples(spark):
     assert cut[9] == "é [SECRET]" and cut[0] == rows[0][1] and cut[11] == "secret: ab, [SECRET]"
 
 
+def test_copies_inside_one_owner_are_live(spark):
+    token = "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    df = spark.createDataFrame([(i, f"key {token} {i}", "one") for i in range(50)], SCHEMA)
+    assert {(r.spans, r.n_live) for r in secret_scan.secrets(df).collect()} == {("owned:4:28", 1)}
+    assert {r.text for r in secret_scan.redact(df).collect()} == {f"key [SECRET] {i}" for i in range(50)}
+    wide = secret_scan.scan(df.withColumn("repo", df.doc_id), repository="repo")  # repositories of their own still count
+    assert wide.where("size(found) > 0").count() == 0
+
+
 @pytest.mark.parametrize("words", [5, 1 << 20])
 def test_decontamination(spark, docs, empty, words):
     items = [(1, "One, two three four FIVE six seven eight nine ten eleven"), (2, "été naïve"), (3, None), (4, "..."), (5, "word"),

@@ -36,17 +36,27 @@ SIDE_NAMES = frozenset(
     "cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "pager pagination popup promo promoted recommended related reply respond search share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split())
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NOT_SHOWN = re.compile(r"(?:\A|;)\s*display\s*:\s*none\b", re.I)
 #: A notice that no element marks, only looked at on the edges of the text.
 EDGE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b|all rights reserved\b)", re.I)
 
 
+def _is_hidden(rest: str) -> bool:
+    for found in ATTRIBUTE.finditer(rest):
+        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if (name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true"
+                or name == "style" and NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
 def _is_side(name: str, rest: str, in_main: bool) -> bool:
     if name in OUTSIDE or name == "header" and not in_main:
         return True
     if not rest or name in CLOSERS:
         return False
-    if HIDDEN.search(rest):
+    if _is_hidden(rest):
         return True
     for found in NAMED.finditer(rest):
         value = found[1] or found[2] or found[3] or ""

@@ -224,6 +224,13 @@ def test_html_gaps_inside_the_text():
     assert html_text.main_text(f"<div>{body}</div>") == "a" * 300 + " " + "b" * 400  # links end the text of unmarked pages
 
 
+def test_html_hidden_is_an_attribute():
+    for shown in ('aria-hidden="false"', 'class="overflow-hidden"', "data-hidden-x", 'title="the hidden one"', 'data-s="display:none"'):
+        assert html_text.main_text(f"<div {shown}><p>Text here</p></div>") == "Text here", shown
+    for gone in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', "aria-hidden=true", "style='color:red; display : none'", "id=a hidden"):
+        assert html_text.main_text(f"<div {gone}><p>Side</p></div><p>Text here</p>") == "Text here", gone
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é text here</p>", 3), (1, "u", "<p>é text here</p>", 3), (None, None, None, 1)],
                                   "page_id long, url string, html string, text int")

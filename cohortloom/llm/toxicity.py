@@ -349,14 +349,15 @@ def held_out(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> DataFrame:
     """(label, text) of at most about ``max_documents`` labelled rows that may teach, chosen by hash of the id.
 
-    One label per id (the larger of repeated ones); the labels joined are bounded by that number, so they are sent to
-    all tasks and texts do not move."""
+    One label per id (the larger of repeated ones) and one text (that with the least hash); the labels joined are bounded
+    by that number, so they are sent to all tasks and only texts of the sample move."""
     known = (labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
              .where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")))
     n = known.count()
     share = min(1.0, training.max_documents / max(1, n))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(training.seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return joined.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training: Training = Training(), threshold: float = 0.7) -> DataFrame:

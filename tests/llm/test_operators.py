@@ -434,3 +434,11 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
     flat = toxicity.toxicity(docs, labels.limit(0))
     assert {r.predicted for r in flat.collect()} == {0}
+
+
+def test_training_rows_of_repeated_ids_are_bounded(spark):
+    ids = [i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"again {k % 7}") for k in range(200)] + [(ids[1], None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    out = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(out) == len(ids) and {(i % 2, f"text {i}") for i in ids[2:]} <= {(r.label, r.text) for r in out}

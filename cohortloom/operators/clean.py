@@ -11,7 +11,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .prefix import exact_quantiles
+from ..session import durable
+from .prefix import exact_quantiles, number_rows
 
 
 # --- filters -----------------------------------------------------------------------------------
@@ -75,11 +76,13 @@ def normalize_field(col: Column, mapping: Mapping[str, str], default: str,
 
 
 def label_index(df: DataFrame, col: str, name: str = "label_idx") -> DataFrame:
-    """Sorted distinct labels -> 0..K-1. Only the distinct labels are ranked, never the rows."""
+    """Sorted distinct labels -> 0..K-1. Only the distinct labels are ranked, never the rows, and none is gathered: they
+    are stored in ranges, whose numbers are the buckets of the order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    listed = labels.agg(F.array_sort(F.collect_set(col)).alias("__labels"))
-    ranked = listed.select(F.posexplode("__labels").alias(name, col))
-    return df.join(ranked, col, "inner")
+    ranges = durable(labels.repartitionByRange(n, col).withColumn("__range", F.spark_partition_id()))
+    ranked = number_rows(ranges, [], [col], [F.col("__range")], "__no")
+    return df.join(ranked.select(col, (F.col("__no") - 1).cast("int").alias(name)), col, "inner")
 
 
 # --- numbers -------------------------------------------------------------------------------------

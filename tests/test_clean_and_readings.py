@@ -106,3 +106,13 @@ def test_order_rounds_needs_every_time(spark):
     untimed = F.array(F.struct(F.lit(9.0).alias("ts"), F.lit("a").alias("v")), F.struct(F.lit(None).cast("double").alias("ts"), F.lit("b").alias("v")))
     row = spark.range(1).select(P.order_rounds(rounds).alias("x"), P.order_rounds(untimed).alias("y")).first()
     assert [r.v for r in row.x] == ["b", "a"] and [r.v for r in row.y] == ["a", "b"]
+
+
+def test_label_index_gathers_no_labels(spark):
+    names = [f"label number {i * 7919 % 5000:06d}" for i in range(5000)]
+    df = spark.createDataFrame([(x,) for x in [*names, names[3], None]], "x string")
+    out = C.label_index(df, "x")
+    assert sorted((r.label_idx, r.x) for r in out.distinct().collect()) == list(enumerate(sorted(names)))
+    assert out.count() == 5001 and dict(out.dtypes)["label_idx"] == "int"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan

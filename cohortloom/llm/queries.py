@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, warc
+from . import (
+    conversation_repair,
+    decontaminate,
+    divergence,
+    html_text,
+    packing,
+    pivot_search,
+    quality,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    warc,
+)
 from .shipping import ship
 from .tokens import word_vocabulary
 
@@ -102,3 +116,47 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
+
+
+@query("op11_divergence", """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY 1, 2 HAVING count(*) >= 30),
+c AS (SELECT x.lang, source, x.t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) x JOIN k ON k.lang = x.lang AND k.t = x.t
+  GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+n AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+m AS (SELECT lang, sum(total)::HUGEINT AS total FROM n GROUP BY 1),
+p AS (SELECT n.lang, n.source, k.t, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (total + 5 * v) AS p
+  FROM n JOIN k ON k.lang = n.lang JOIN v ON v.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.t = k.t),
+q AS (SELECT k.lang, k.t, 1 + (1000000000::HUGEINT * (coalesce(x.n, 0) + 5)) // (total + 5 * v) AS q FROM k JOIN v ON v.lang = k.lang
+  JOIN m ON m.lang = k.lang LEFT JOIN (SELECT lang, t, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2) x ON x.lang = k.lang AND x.t = k.t),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t
+  AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b
+  ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.t, (p - q)::BIGINT FROM p JOIN q ON q.lang = p.lang AND q.t = p.t WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf, "lang", "source", "text"))
+
+
+@query("op12_pivot_search", """
+WITH e AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM s) WHERE rank <= 20""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return pivot_search.top_k(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return conversation_repair.repaired_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))

@@ -116,3 +116,26 @@ def test_repeats(spark, texts):
 def test_near_duplicates(spark, texts):
     got = rows(QUERIES["op10_simhash"](spark, SF), "doc_id", "fingerprint", "component_id")
     assert got == sorted((d, *f) for (d, _), f in zip(texts, brute.near(texts)))
+
+
+def test_divergence(spark):
+    t = pq.read_table(f"{SF}/documents.parquet", columns=["lang", "source", "text"]).to_pydict()
+    want = brute.divergence(list(zip(t["lang"], t["source"], t["text"])))
+    assert rows(QUERIES["op11_divergence"](spark, SF), "lang", "source", "part", "item", "value", "rank") == want
+    assert {w[2] for w in want} == {"pair", "term"}
+
+
+def test_pivot_search(spark):
+    t = pq.read_table(f"{SF}/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    want = brute.nearest(list(zip(t["vec_id"], t["embedding"])))
+    assert rows(QUERIES["op12_pivot_search"](spark, SF), "query_id", "rank", "vec_id", "score") == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_conversation_repair(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    t = pq.read_table(f"{sf}/conversations.parquet").to_pydict()
+    found = brute.damaged(zip(t["conv_id"], t["turn"], t["role"], t["text"]))
+    want = sorted((c, *(x := brute.repaired(r))[:-1], brute.sha(x[-1])) for c, r in found.items())
+    assert rows(QUERIES["op13_conversation_repair"](spark, sf), "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal",
+                "cost", "audit", "repaired_sha256") == want

@@ -25,7 +25,7 @@ KEEP = np.array([0] + [(0xFFFFFFFFFFFFFFFF << (64 - 8 * n)) & 0xFFFFFFFFFFFFFFFF
 SMALL = 1 << 14  # slices of at most so many pointers are ordered by one sort of their keys
 SCALE = 1_000_000_000
 SMOOTH = 5
-CELLS = 1 << 21  # of a block of terms and sources
+CELLS = 1 << 16  # of a block of terms and sources
 RUNS = "lang string, source string, term string, n long, df long"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -10,6 +12,8 @@ from ..functions import vocab as V
 from ..operators import joins as J
 from ..operators import splits as S
 from ..operators import vectors as W
+from ..session import checkpoint_dir
+from ..sources import read_notes
 from .cohort import sql_normalize
 from .registry import R, query, r6, rounded, table
 
@@ -365,3 +369,20 @@ def table_vocabulary(spark, sf):
     text = F.expr("aggregate(n, '', (a, x) -> concat(a, if(a = '', '', gap), x.p_name))")
     notes = table(spark, sf, "orders", "o_orderkey").join(names, "o_orderkey").withColumn("gap", gap).withColumn("x", text)
     return V.history_flags(notes, "x", words).select("o_orderkey", "widget", "other")
+
+
+# --- note files ----------------------------------------------------------------------------------------------------------
+
+NOTES = "doc_id bigint, lang string, text string, source string"
+
+
+@query("note_records", """
+SELECT doc_id, lang, source, md5(coalesce(text, '')) AS digest, length(text) - length(replace(text, chr(10), '')) AS breaks FROM documents""")
+def note_records(spark, sf):
+    """Documents as CSV files with quoted line breaks, read again by several tasks per file."""
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents", "doc_id", "lang", "text", "source")
+    d.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    notes = read_notes(spark, path, NOTES, split_bytes=1 << 20)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return notes.select("doc_id", "lang", "source", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), breaks.cast("bigint").alias("breaks"))

@@ -41,13 +41,6 @@ def read_codes(df: DataFrame, code: str, version: str | None = None) -> DataFram
     return out
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Note CSV with quoted line breaks. Multi-line CSV files are not splittable: on a cluster
-    convert them to Parquet once and read that."""
-    return (spark.read.schema(schema_of("discharge"))
-            .options(header=True, multiLine=True, escape='"', quote='"').csv(path))
-
-
 def scan_for_keys(big: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows of ``big`` whose key occurs in ``keys``; the key side is de-duplicated by the semi join."""
     cols = [on] if isinstance(on, str) else list(on)

@@ -59,7 +59,12 @@ def apply_tfidf(grams: DataFrame, model: DataFrame, key: str, sublinear: bool =
 
     Grams meet the model before they are counted, so only vocabulary terms are shuffled. The model has
     at most the fitted number of terms and the planner can broadcast it by that size."""
-    hits = _unroll(grams, key).join(model, "term")
+    return weigh(_unroll(grams, key), model, key, sublinear)
+
+
+def weigh(occurrences: DataFrame, model: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
+    """L2-normalised weights ``(key, term, w)`` of occurrences ``(key, term)``, such as ``grams.fit_grams`` finds them."""
+    hits = occurrences.join(model, "term")
     counts = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     tf = F.log("tf") + 1.0 if sublinear else F.col("tf").cast("double")
     return l2_rows(counts.select(key, "term", (tf * F.col("idf")).alias("w")), [key])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import text as X
 from ..functions import vocab as V
+from ..operators import grams as G
 from ..operators import joins as J
 from ..operators import splits as S
 from ..operators import vectors as W
@@ -182,7 +183,8 @@ def ngram_counts(spark, sf):
 
 @query("tfidf_vocab", f"WITH {_GRAMS} SELECT term, df, cf FROM voc")
 def tfidf_vocab(spark, sf):
-    return W.fit_vocabulary(_grams(spark, sf), _n_docs(spark, sf)).select("term", "df", "cf")
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return G.fit_grams(d, "doc_id", "text", _n_docs(spark, sf))[0]
 
 
 @query("tfidf_weights", f"""
@@ -190,9 +192,9 @@ WITH {_GRAMS}, w AS (SELECT c.doc_id, c.term, (1 + ln(tf)) * (ln((1.0::DOUBLE +
 l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
 SELECT w.doc_id, term, {R('w / norm')} AS w FROM w JOIN l ON w.doc_id = l.doc_id""")
 def tfidf_weights(spark, sf):
-    grams, n = _grams(spark, sf), _n_docs(spark, sf)
-    model = W.fit_tfidf(W.fit_vocabulary(grams, n), n)
-    return rounded(W.apply_tfidf(grams, model, "doc_id"), "w")
+    n = _n_docs(spark, sf)
+    vocabulary, found = G.fit_grams(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", n)
+    return rounded(W.weigh(found, W.fit_tfidf(vocabulary, n), "doc_id"), "w")
 
 
 _TITLES = r"""tt AS (SELECT DISTINCT p_name AS title FROM part), tok AS (SELECT title, regexp_extract_all(lower(title), '[\p{L}\p{N}_]{1,}') AS t FROM tt),

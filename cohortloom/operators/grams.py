@@ -3,11 +3,12 @@
 A gram can be frequent only if both its shorter grams are, the one without its last word and the one without its first.
 So words are counted first and rare ones leave; then pairs of neighbouring frequent words are counted, then triples whose two
 pairs are frequent. A gram is a number; its text is put together once, in the small table of its level. Occurrences lie in rows
-(row, key, pos, word, gram), one per position that ends a frequent gram of the level."""
+(row, key, pos, word, gram), one per position that ends a frequent gram of the level.
 
-from __future__ import annotations
+Of words the occurrences are counted first, which are at least as many as the rows that hold them, so that a text is not
+made distinct before its rare words have left."""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,34 +17,6 @@ from ..functions.text import word_tokens
 from ..session import durable
 
 
-def _word_counts(batches: Iterator) -> Iterator:
-    """(word, df, cf) of the rows of each batch of token arrays."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        tokens = batch.column(0)
-        if not batch.num_rows:
-            continue
-        words = tokens.flatten().dictionary_encode()
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = np.diff(tokens.offsets.to_numpy())
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        n = max(1, len(words.dictionary))
-        cf = np.bincount(code, minlength=len(words.dictionary))
-        once = np.unique(row * n + code) % n
-        df = np.bincount(once, minlength=len(words.dictionary))
-        yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(df, pa.int64()), pa.array(cf, pa.int64())],
-                                         ["word", "df", "cf"])
-
-
-def word_counts(df: DataFrame, text: str, min_len: int = 2, fold: bool = True) -> DataFrame:
-    """(term, df, cf): rows and occurrences of every word. Each task adds up its rows, only the sums are shuffled."""
-    tokens = df.select(word_tokens(F.col(text), min_len, fold).alias("tokens"))
-    return (tokens.mapInArrow(_word_counts, "word string, df long, cf long").groupBy(F.col("word").alias("term"))
-            .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
-
-
 def _occurrences(df: DataFrame, key: str, text: str, words: DataFrame, min_len: int, fold: bool) -> DataFrame:
     """Positions of the words (term, gram) in every row of ``df``."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
@@ -68,13 +41,16 @@ def fit_grams(df: DataFrame, key: str, text: str, n_docs: Column | int, lo: int
 
     Exact: the same terms and counts as from counting every gram. A null text has no words. The words of a row meet the
     frequent ones before anything of a row is shuffled."""
-    words = durable(word_counts(df, text, min_len, fold).where(F.col("df") >= min_df)
-                    .withColumn("gram", F.monotonically_increasing_id()))
+    tokens = df.select(F.explode_outer(word_tokens(F.col(text), min_len, fold)).alias("term"))
+    often = durable(tokens.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+                    .where(F.col("cf") >= min_df).withColumn("gram", F.monotonically_increasing_id()))
+    level = durable(_occurrences(df, key, text, often, min_len, fold))
+    holders = level.groupBy("row", "gram").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.count("one").alias("df"))
+    words = durable(often.join(holders.where(F.col("df") >= min_df), "gram"))
     spelled = words.select(F.col("gram").alias("word"), F.col("term").alias("last"))
-    level = durable(_occurrences(df, key, text, words, min_len, fold))
     tables, levels, grams = [words], [level], words
-    for _ in range(2, hi + 1):
-        longer = _longer(level)
+    for n in range(2, hi + 1):
+        longer = _longer(level.join(words.select("gram"), "gram", "left_semi") if n == 2 else level)
         in_row = longer.groupBy("row", "before", "word").agg(F.count(F.lit(1)).alias("cf"))  # rows of a text are together
         counts = in_row.groupBy("before", "word").agg(F.count(F.lit(1)).alias("df"), F.sum("cf").alias("cf")).where(
             F.col("df") >= min_df)

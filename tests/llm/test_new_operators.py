@@ -174,3 +174,18 @@ def test_conversations_without_rows(spark):
     gone = spark.createDataFrame([(1, 0, "user", "x.", True)], "conv_id long, turn long, role string, text string, gone boolean")
     assert tuples(repair.repair(gone), *OUT) == [(1, 0, 0, 0, 0, 0, 0, "", "")]
     assert repair.repair(gone).first().repaired_sha256 == brute.sha("")
+
+
+# --- tokens -----------------------------------------------------------------------------------------------------------
+
+def test_endings_are_parted_without_changing_ids(monkeypatch):
+    from cohortloom.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)  # words leave and come back
+    monkeypatch.setattr(tokens, "LOOKUP_BYTES", 200)
+    draw = random.Random(11)
+    bits = ["word", "Wort", "élan", "ß", "÷", "don't", "it's", "x1", "7", "12345", "…", "«", "漢字", "é", "<|endoftext|>", " ",
+            *"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85"]
+    texts = ["".join(draw.choices(bits, k=draw.randrange(40))) for _ in range(1500)] + [None, "", ".", "a.", ".a", "ä", "end,"]
+    encoder = tokens.Encoder(tokens.word_vocabulary())
+    whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [a.tolist() for a in encoder.encode(texts)] == [e.ids for e in whole]

@@ -11,9 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 Vocab = Mapping[str, Sequence[str]]
-#: A vocabulary table with more rows than this is for token joins (``joins.flag_by_token``), not for patterns.
-MAX_TABLE_TERMS = 20_000
 
 # The history categories, in feature order.
 HISTORY_CATEGORIES = [
@@ -119,28 +119,30 @@ def without_negated(col: Column, negation: str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), "(?Ui)" + negation, " _NEG_ ")
 
 
-def vocab_of(table: DataFrame) -> Vocab:
-    """``{category: [keywords]}`` of a ``(keyword, category)`` table of at most ``MAX_TABLE_TERMS`` rows; rows without
-    keyword or category are skipped."""
-    rows = table.select("keyword", "category").where("trim(keyword) <> '' AND category IS NOT NULL").distinct() \
-        .take(MAX_TABLE_TERMS + 1)
-    if len(rows) > MAX_TABLE_TERMS:
-        raise ValueError(f"more than {MAX_TABLE_TERMS} keywords; join tokens instead")
-    out: dict[str, list[str]] = {}
-    for keyword, category in sorted((r["keyword"].strip().lower(), r["category"]) for r in rows):
-        out.setdefault(category, []).append(keyword)
-    return out
-
-
 def text_flags(df: DataFrame, col: str, vocab: Vocab | DataFrame, names: Mapping[str, str] | None = None,
                negation: str = HISTORY_NEGATION) -> DataFrame:
-    """Add one 0/1 column per category (named by ``names`` or the category itself). The vocabulary is a mapping or a
-    ``(keyword, category)`` table; keywords may have several words."""
-    found = vocab_of(vocab) if isinstance(vocab, DataFrame) else vocab
+    """Add one 0/1 column per category (named by ``names`` or the category itself). The vocabulary is a mapping, matched in
+    the row, or a ``(keyword, category)`` table of any length, matched by joins; keywords may have several words."""
+    if isinstance(vocab, DataFrame):
+        return _table_flags(df, col, vocab, names or {}, negation)
     prepared = df.withColumn("__text", without_negated(F.col(col), negation))
     return prepared.withColumns({
         (names or {}).get(cat, cat): F.col("__text").rlike("(?U)" + keyword_pattern(terms)).cast("int")
-        for cat, terms in found.items()}).drop("__text")
+        for cat, terms in vocab.items()}).drop("__text")
+
+
+def _table_flags(df: DataFrame, col: str, table: DataFrame, names: Mapping[str, str], negation: str) -> DataFrame:
+    """Flags from a keyword table; the categories, which become columns, are all that the driver sees of it."""
+    from ..operators.phrases import phrase_hits
+    categories = sorted(r[0] for r in table.where("trim(keyword) <> '' AND category IS NOT NULL").select("category").distinct().collect())
+    numbered = durable(df.withColumn("__number", F.monotonically_increasing_id()))
+    hits = phrase_hits(numbered, "__number", without_negated(F.col(col), negation), table)
+    places = {c: f"__flag{i}" for i, c in enumerate(categories)}
+    wide = hits.groupBy("__number").agg(F.lit(True).alias("__any"), *[
+        F.max(F.col("category") == c).alias(p) for c, p in places.items()])
+    joined = numbered.join(wide, "__number", "left")
+    flags = {names.get(c, c): F.coalesce(F.col(p), F.lit(False)).cast("int") for c, p in places.items()}
+    return joined.withColumns(flags).drop("__number", "__any", *places.values())
 
 
 def history_flags(df: DataFrame, col: str, vocab: Vocab | DataFrame = HISTORY_TERMS,

@@ -13,7 +13,7 @@ from ..operators import grams as G
 from ..operators import joins as J
 from ..operators import splits as S
 from ..operators import vectors as W
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, durable
 from ..sources import read_notes
 from .cohort import sql_normalize
 from .registry import R, query, r6, rounded, table
@@ -373,6 +373,30 @@ def table_vocabulary(spark, sf):
     return V.history_flags(notes, "x", words).select("o_orderkey", "widget", "other")
 
 
+# The first two and three words of every document as a dictionary, looked up in all documents.
+_PARTS = r"regexp_extract_all({}, '[^a-z0-9_]*[a-z0-9_]+')"
+
+
+@query("phrase_flags", f"""
+WITH k AS (SELECT DISTINCT regexp_extract(lower(text), '^[a-z]+ [a-z]+' || x) AS k, doc_id % 3 AS c FROM documents, (VALUES (''), (' [a-z]+')) v(x)),
+p AS (SELECT k, c FROM k WHERE k <> '' UNION SELECT k || 's', c FROM k WHERE k <> ''),
+t AS (SELECT doc_id, {_PARTS.format(sql_neutral(sql_ascii("replace(text, 'der ', 'no ')"), V.HISTORY_NEGATION))} AS w FROM documents),
+r AS (SELECT doc_id, unnest(list_distinct(list_concat(
+  list_transform(range(1, len(w)), lambda i: regexp_extract(w[i], '[a-z0-9_]+$') || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: regexp_extract(w[i], '[a-z0-9_]+$') || w[i + 1] || w[i + 2])))) AS k FROM t),
+h AS (SELECT doc_id, c FROM r JOIN p USING (k))
+SELECT d.doc_id, {', '.join(f"CAST(coalesce(bool_or(c = {i}), false) AS INTEGER) AS c{i}" for i in range(3))} FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY 1""")
+def phrase_flags(spark, sf):
+    """Negation-aware flags from a stored dictionary of several thousand phrases."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    keys = None
+    for words in (r"^[a-z]+ [a-z]+", r"^[a-z]+ [a-z]+ [a-z]+"):
+        mine = d.select(F.regexp_extract(F.lower("text"), words, 0).alias("keyword"), F.concat(F.lit("c"), F.col("doc_id") % 3).alias("category"))
+        keys = mine if keys is None else keys.unionByName(mine)
+    d = d.withColumn("text", F.replace("text", F.lit("der "), F.lit("no ")))
+    return V.history_flags(d, "text", durable(keys.where("keyword <> ''").distinct())).drop("text")
+
+
 # --- note files ----------------------------------------------------------------------------------------------------------
 
 NOTES = "doc_id bigint, lang string, text string, source string"

@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,19 +106,27 @@ def subsequences(x: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
 SEEN = WINDOW + 3 + GAPS
 WEIGHTS = np.repeat([w for _, w in PATTERNS], WINDOW)
-
-
-def window_features(windows: Sequence[bytes]) -> np.ndarray:
-    """Subsequence numbers of windows, one row each, in the order of ``WEIGHTS``; those that end in white space are 0."""
-    flat = b"".join(w[:SEEN].ljust(SEEN, b"\0") for w in windows)
-    x = np.frombuffer(flat, np.uint8).reshape(-1, SEEN).astype(np.int32)
-    columns = []
-    for offsets, _ in PATTERNS:
-        number = np.zeros((len(x), WINDOW), np.int32)
+#: Letters that a worker scores at once.
+HELD = 1 << 19
+#: Rows of a training matrix that are worked on at once.
+ROWS = 1 << 11
+
+
+def window_features(windows: np.ndarray | Sequence[bytes]) -> np.ndarray:
+    """Subsequence numbers of windows, one row each, in the order of ``WEIGHTS``; those that end in white space are 0.
+
+    Windows are rows of ``SEEN`` codes, or byte strings that are cut or filled to that."""
+    if not isinstance(windows, np.ndarray):
+        flat = b"".join(w[:SEEN].ljust(SEEN, b"\0") for w in windows)
+        windows = np.frombuffer(flat, np.uint8).reshape(-1, SEEN)
+    out = np.zeros((len(windows), len(WEIGHTS)), np.int32)
+    for j, (offsets, _) in enumerate(PATTERNS):
+        number = out[:, j * WINDOW:(j + 1) * WINDOW]
         for o in offsets:
-            number = number * BASE + x[:, o:o + WINDOW]
-        columns.append(np.where(number % BASE, number, 0))
-    return np.concatenate(columns, axis=1)
+            number *= BASE
+            number += windows[:, o:o + WINDOW]
+        number[number % BASE == 0] = 0
+    return out
 
 
 def features(window: bytes) -> dict[int, float]:
@@ -189,13 +198,18 @@ def _spell(gram: int) -> np.ndarray:
 def _witnesses(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [codes(x.as_py()) for x in batch.column(1)]
-            if not texts:
-                continue
-            best, at, x = strongest(texts, weights.value)
-            found = [[x[i:i + SEEN].tobytes() for i in row if i >= 0] for row in at.tolist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.binary())), pa.array(best)],
-                                  names=["label", "seen", "score"])
+            found, values, held, size = [], [], [], 0
+            for i, value in enumerate(batch.column(1)):
+                held.append(codes(value.as_py()))
+                size += len(held[-1])
+                if size > HELD or i == batch.num_rows - 1:
+                    best, at, x = strongest(held, weights.value)
+                    found += [[x[i:i + SEEN].tobytes() for i in row if i >= 0] for row in at.tolist()]
+                    values.append(best)
+                    held, size = [], 0
+            if found:
+                yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.binary())), pa.array(np.concatenate(values))],
+                                      names=["label", "seen", "score"])
     return run
 
 
@@ -226,17 +240,20 @@ def _kernel(rows: np.ndarray, landmarks: Sequence[dict[int, float]]) -> np.ndarr
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear SVM with squared hinge loss, classes weighted alike, by Newton steps."""
-    a = np.hstack([x, np.ones((len(x), 1))])
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    ridge = np.full(a.shape[1], penalty)
+    ridge = np.full(x.shape[1] + 1, penalty)
     ridge[-1] = 1e-9
-    w = np.zeros(a.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(30):
-        slack = 1 - sign * (a @ w)
-        on = slack > 0
-        grad = ridge * w - (share * sign * np.maximum(slack, 0)) @ a
-        hess = (a[on] * share[on, None]).T @ a[on] + np.diag(ridge)
+        grad, hess = ridge * w, np.diag(ridge)
+        for i in range(0, len(x), ROWS):  # sums over blocks of rows, so that no copy of all of them is held
+            part = slice(i, i + ROWS)
+            a = np.hstack([x[part], np.ones((len(x[part]), 1))])
+            slack = 1 - sign[part] * (a @ w)
+            on = slack > 0
+            grad -= (share[part] * sign[part] * np.maximum(slack, 0)) @ a
+            hess += (a[on] * share[part][on, None]).T @ a[on]
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -286,34 +303,70 @@ def fit(labelled: DataFrame, training: Training = Training()) -> Model:
     toxic = [features(_spell(r["gram"]).tobytes()) for r in top]
     weights = _fold(toxic, np.ones(len(toxic)))
 
-    def witnesses() -> list[tuple[int, tuple[bytes, ...], float]]:
+    def witnesses() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label, bag of windows and score of every row, in an order of their own values."""
         sent = spark.sparkContext.broadcast(weights)
-        rows = labelled.mapInArrow(_witnesses(sent), "label int, seen array<binary>, score double").collect()
-        return sorted((int(r["label"] > 0), tuple(map(bytes, r["seen"])), r["score"]) for r in rows)
-
-    clean: dict[tuple[bytes, ...], None] = {}
+        found = labelled.mapInArrow(_witnesses(sent), "label int, seen array<binary>, score double").toArrow()
+        sent.destroy()
+        label, value = (found.column(c).to_numpy() for c in ("label", "score"))
+        bags = bags_of(found.column("seen").combine_chunks())
+        by = np.lexsort((value, ordered(bags)[1], label > 0))
+        return (label > 0)[by], bags[by], value[by]
+
+    clean = np.zeros((0, WITNESSES, SEEN + 1), np.uint8)
     for _ in range(training.rounds):
-        rows = witnesses()
-        clean.update({r[1]: None for r in rows if not r[0]})
-        bags = [*[r[1] for r in rows if r[0]], *clean]
-        names = sorted({w for b in bags for w in b})
-        place = {w: i for i, w in enumerate(names)}
+        toxic_rows, bags, _ = witnesses()
+        clean = np.concatenate([clean, bags[~toxic_rows]])
+        clean = clean[ordered(clean)[0]]
+        bags = np.concatenate([bags[toxic_rows], clean])
+        first, place = ordered(bags.reshape(-1, 1, SEEN + 1))
+        names = bags.reshape(-1, SEEN + 1)[first]
+        place = np.where(bags[:, :, -1] > 0, place.reshape(len(bags), WITNESSES), len(names))  # behind the last: no window
+        names = names[:, :SEEN]
         numbers = window_features(names)
-        value = weights[numbers] @ WEIGHTS.astype(np.float32)
-        hard = sorted({place[w] for b in clean for w in b}, key=lambda i: (-value[i], i))[:training.clean_landmarks]
-        landmarks = [*toxic, *[z for z in (features(names[i]) for i in hard) if z]]
+        value = np.concatenate([weights[numbers] @ WEIGHTS.astype(np.float32), [0]])
+        hard = np.unique(place[len(bags) - len(clean):])
+        hard = hard[hard < len(names)]
+        hard = hard[np.lexsort((hard, -value[hard]))][:training.clean_landmarks].tolist()
+        landmarks = [*toxic, *[z for z in (features(names[i].tobytes()) for i in hard) if z]]
         gram = np.stack([[sum(v * y.get(k, 0.0) for k, v in x.items()) for y in landmarks] for x in landmarks])
         values, vectors = np.linalg.eigh(gram)
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
         single = np.vstack([_kernel(numbers, landmarks), np.zeros((1, len(landmarks)), np.float32)])
-        bag = np.zeros((len(bags), len(landmarks)))
-        for k in range(WITNESSES):
-            bag += single[[place[b[k]] if k < len(b) else -1 for b in bags]]
-        svm, _ = squared_hinge(bag @ root, np.arange(len(bags)) < len(bags) - len(clean), training.penalty)
+        del numbers
+        bag = np.zeros((len(bags), int(kept.sum())), np.float32)
+        for i in range(0, len(bags), ROWS):
+            bag[i:i + ROWS] = single[place[i:i + ROWS]].sum(axis=1, dtype=np.float64) @ root
+        del single
+        svm, _ = squared_hinge(bag, np.arange(len(bags)) < len(bags) - len(clean), training.penalty)
         weights = _fold(landmarks, root @ svm)
-    rows = witnesses()
-    return Model(weights, *logistic(np.asarray([r[2] for r in rows]), np.asarray([r[0] for r in rows])))
+    label, _, value = witnesses()
+    return Model(weights, *logistic(value, label.astype(int)))
+
+
+def bags_of(seen: pa.ListArray) -> np.ndarray:
+    """Windows of each row as codes, ``WITNESSES`` rows of ``SEEN`` filled with 0, and a last column that is 1 for a window."""
+    out = np.zeros((len(seen), WITNESSES, SEEN + 1), np.uint8)
+    count = np.diff(seen.offsets.to_numpy())
+    row = np.repeat(np.arange(len(seen)), count)
+    slot = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    out[row, slot, SEEN] = 1
+    windows = seen.flatten()
+    size = np.asarray(pc.binary_length(windows).to_numpy(zero_copy_only=False), np.int64)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    flat = np.frombuffer(b"".join(windows.to_pylist()), np.uint8)
+    out[np.repeat(row, size), np.repeat(slot, size), at] = flat
+    return out
+
+
+def ordered(bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct bag occurs first, in the order of their bytes, and the number of each bag among them."""
+    flat = np.ascontiguousarray(bags).reshape(len(bags), -1)
+    if not len(flat):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, number = np.unique(flat.view(f"V{flat.shape[1]}")[:, 0], return_index=True, return_inverse=True)[1:]
+    return first, number.reshape(-1)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -330,7 +383,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             for i, value in enumerate(batch.column(position)):
                 held.append(codes(value.as_py()))
                 size += len(held[-1])
-                if size > 1 << 19 or i == batch.num_rows - 1:
+                if size > HELD or i == batch.num_rows - 1:
                     out.append(strongest(held, m.weights)[0])
                     held, size = [], 0
             raw = np.concatenate(out) if out else np.zeros(0)

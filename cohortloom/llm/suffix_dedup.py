@@ -336,12 +336,13 @@ def word_ranks(text: np.ndarray) -> np.ndarray:
     key = np.zeros(len(text), np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | wide[j:j + len(text)].astype(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     fresh = np.ones(len(text), bool)
-    sorted_key = key[order]
-    fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.cumsum(fresh) - 1
+    key = key[order]
+    fresh[1:] = key[1:] != key[:-1]
+    del key
+    rank = np.empty(len(text), np.int32)
+    rank[order] = np.cumsum(fresh, dtype=np.int32) - 1
     return rank
 
 
@@ -349,9 +350,9 @@ def sort_small_suffixes(rows: np.ndarray, left: np.ndarray, rank: np.ndarray, de
     """``rows`` (positions) by their first ``depth`` bytes, ``left`` of which stand before the text's end; ties by
     position. Three ranks of eight bytes make one key, and only tied rows are looked at again."""
     order = rows.copy()
-    todo = np.arange(len(rows))
-    group = np.zeros(len(rows), np.int64)
-    padded = np.concatenate([rank, np.zeros(depth + 32, np.int64)])
+    todo = np.arange(len(rows), dtype=np.int32)
+    group = np.zeros(len(rows), np.int32)
+    padded = np.concatenate([rank, np.zeros(depth + 32, np.int32)])
     for at in range(0, depth, 24):
         p = order[todo]
         key = np.zeros(len(p), np.int64)
@@ -381,11 +382,15 @@ def two_stage_suffix_array(text: np.ndarray, width: int, depth: int, rank: np.nd
     rank = word_ranks(text) if rank is None else rank
     step = np.diff(text.astype(np.int16), append=0)
     # the first differing successor decides; equal bytes pass the verdict on
-    change = np.flatnonzero(step != 0)
-    nxt = change[np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)] if len(change) else np.zeros(n, int)
-    small = (step[nxt] > 0) & (text > 0) if len(change) else np.zeros(n, bool)
-    left = width - np.arange(n) % width
-    direct = sort_small_suffixes(np.flatnonzero(small), left, rank, depth)
+    change = np.flatnonzero(step != 0).astype(np.int32)
+    rising = np.repeat(step[change] > 0, np.diff(change, prepend=np.int32(-1)))
+    small = np.zeros(n, bool)
+    small[:len(rising)] = rising
+    small &= text > 0
+    del step, change, rising
+    left = (width - np.arange(n, dtype=np.int32) % width).astype(np.int32)
+    direct = sort_small_suffixes(np.flatnonzero(small).astype(np.int32), left, rank, depth)
+    del left
     cuts = np.searchsorted(text[direct], np.arange(257))  # directly sorted suffixes by first byte
     large: list[list[np.ndarray]] = [[] for _ in range(256)]
 
@@ -400,7 +405,7 @@ def two_stage_suffix_array(text: np.ndarray, width: int, depth: int, rank: np.nd
             for part, byte in zip(np.split(before, at[1:]), first[at].tolist()):
                 large[byte].append(part)
 
-    ends = np.flatnonzero((text == 0) & np.concatenate([[False], text[:-1] > 0]))
+    ends = np.flatnonzero((text == 0) & np.concatenate([[False], text[:-1] > 0])).astype(np.int32)
     induce(ends)
     out = []
     for byte in range(1, 256):
@@ -412,13 +417,13 @@ def two_stage_suffix_array(text: np.ndarray, width: int, depth: int, rank: np.nd
         mine = direct[cuts[byte]:cuts[byte + 1]]
         induce(mine)
         out.append(mine)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def common_prefix_reaches(sa: np.ndarray, left: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     """Whether each suffix shares its first ``length`` bytes with the one before it in the order."""
     same = np.zeros(len(sa), bool)
-    pairs = np.arange(1, len(sa))
+    pairs = np.arange(1, len(sa), dtype=np.int32)
     pairs = pairs[(left[sa[pairs]] > length) & (left[sa[pairs - 1]] > length)]
     for o in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
         pairs = pairs[rank[sa[pairs] + o] == rank[sa[pairs - 1] + o]]
@@ -436,9 +441,10 @@ def repeated_starts(contexts: Sequence[bytes], order: np.ndarray, base: np.ndarr
     grid[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(contexts), np.uint8) + 1  # no byte 255 in UTF-8
     rank = word_ranks(text)
     sa = two_stage_suffix_array(text, width, length, rank)
-    left = np.repeat(size, width) - np.tile(np.arange(width), len(contexts)) + 1
+    left = (size[:, None] - np.arange(width)[None, :] + 1).astype(np.int16 if width < 1 << 15 else np.int32).reshape(-1)
     same = common_prefix_reaches(sa, left, rank, length)
-    run = np.cumsum(~same)
+    del text, grid, rank, left
+    run = np.cumsum(~same, dtype=np.int32)
     many = same.copy()
     many[:-1] |= same[1:]
     sa, run = sa[many], run[many]
@@ -457,7 +463,7 @@ def repeated_starts(contexts: Sequence[bytes], order: np.ndarray, base: np.ndarr
 def _sort(length: int):
     reach = length - SEED
     width = length + reach + 8
-    most = CHUNK // width
+    most = CHUNK // width // 2  # as many as a key may hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(rows: pa.Table) -> pa.RecordBatch:

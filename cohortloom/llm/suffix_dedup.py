@@ -410,9 +410,10 @@ def two_stage_suffix_array(text: np.ndarray, width: int, depth: int, rank: np.nd
     out = []
     for byte in range(1, 256):
         done = 0
-        while done < len(large[byte]):  # suffixes of this bucket may bring in others of it
-            done += 1
-            induce(large[byte][done - 1])
+        while done < len(large[byte]):  # suffixes of this bucket may bring in others of it, which come behind them
+            ready = large[byte][done:]
+            done += len(ready)
+            induce(np.concatenate(ready) if len(ready) > 1 else ready[0])
         out += large[byte]
         mine = direct[cuts[byte]:cuts[byte + 1]]
         induce(mine)

@@ -69,14 +69,18 @@ def soft_cascade(df: DataFrame, model, names: Sequence[str]) -> DataFrame:
     return scored.withColumns({n: F.get("__p", F.lit(i)) for i, n in enumerate(names)}).drop("__p", *_MODEL_COLS)
 
 
-def calibrate_isotonic(holdout: DataFrame, score: str, label: str, max_rows: int | None = None, seed: int = 42):
+def calibrate_isotonic(holdout: DataFrame, score: str, label: str, max_rows: int | None = None, seed: int = 42,
+                       key: str | None = None):
     """Isotonic map from score to observed rate, fitted on the scores of a holdout as they are.
 
     Equal scores are merged into one weighted point, which leaves the fit unchanged. MLlib gathers the points at its
-    last step; ``max_rows`` bounds them by fitting on about so many holdout rows, chosen by hash (off by default)."""
+    last step; ``max_rows`` bounds them by fitting on about so many holdout rows, chosen by hash of their ``key``, so the
+    same ones whatever the partitioning (off by default)."""
     if max_rows is not None:
+        if key is None:
+            raise ValueError("max_rows needs the key by whose hash rows are chosen")
         share = min(1.0, max_rows / max(1, holdout.count()))
-        holdout = holdout.sample(fraction=share, seed=seed) if share < 1 else holdout
+        holdout = holdout.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
     points = holdout.groupBy(F.col(score).cast("double").alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(points)

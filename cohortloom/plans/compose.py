@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import heads as D
 from ..operators import joins as J
+from ..session import durable
 from .encounters import history_block, longitudinal_block
-from .records import binary_head_gate, calibrated_classes, importance_groups, soft_cascade_head
+from .records import _calibrated, calibrated_classes, importance_groups, soft_cascade_head
 from .registry import ORACLE, VISITS, query, r6, table, visits
 from .texts import DOC_VOCAB, PART_NAMES, med_block, negated_flags
 
@@ -68,12 +71,27 @@ def soft_cascade_checks(spark, sf):
                    F.count_if(own < F.greatest(*p) - 1e-6).alias("bad_class"))
 
 
-@query("gate_checks", "SELECT CAST(0 AS BIGINT) AS below, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS outside, true AS some")
+@query("gate_checks", """
+SELECT CAST(0 AS BIGINT) AS below, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS falls,
+  true AS some, true AS fits""")
 def gate_checks(spark, sf):
-    """Gated rows reach the threshold, occur once, and calibrated scores are rates."""
-    g = binary_head_gate(spark, sf)
-    return g.agg(F.count_if(F.col("p_cal") < 0.4).alias("below"), (F.count("*") - F.count_distinct("o_orderkey")).alias("repeated"),
-                 F.count_if((F.col("p_cal") < 0) | (F.col("p_cal") > 1)).alias("outside"), (F.count("*") > 0).alias("some"))
+    """Gated rows reach the threshold, occur once and none is lost; calibrated scores are rates, never fall where the score
+    rises, and come closer to the labels than the share of all rows does."""
+    scored = durable(_calibrated(spark, sf).select("o_orderkey", "hot", "p1", "p_cal"))
+    g = D.gate(scored, "p_cal")
+    gated = g.agg(F.count_if(F.col("p_cal") < 0.4).alias("below"), (F.count("*") - F.count_distinct("o_orderkey")).alias("repeated"),
+                  (F.count("*") > 0).alias("some"))
+    share = scored.agg(F.avg("hot")).first()[0]
+    whole = scored.agg(F.count_if((F.col("p_cal") < 0) | (F.col("p_cal") > 1)).alias("outside"), (
+        F.avg((F.col("p_cal") - F.col("hot")) ** 2) < 0.9 * share * (1 - share)).alias("fits"))
+    lost = scored.where("p_cal >= 0.4").join(g, "o_orderkey", "left_anti").agg(F.count("*").alias("lost"))
+    values = scored.groupBy("p_cal").agg(F.min("p1").alias("least"), F.max("p1").alias("most"))  # one row per leaf sum
+    before = F.max("most").over(Window.orderBy("p_cal").rowsBetween(Window.unboundedPreceding, -1))
+    falls = values.withColumn("before", before).agg(F.count_if(F.col("before") > F.col("least")).alias("falls"))
+    found = gated
+    for one in (whole, lost, falls):  # one row each
+        found = found.unionByName(one, allowMissingColumns=True)
+    return found.agg(*[F.max(c).alias(c) for c in ("below", "repeated", "outside", "lost", "falls", "some", "fits")])
 
 
 @query("calibration_checks", """

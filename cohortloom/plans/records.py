@@ -341,17 +341,21 @@ def soft_cascade_head(spark, sf):
     return rounded(out.select("o_orderkey", "level_pred", *[f"p_level_{i}" for i in range(5)]), *[f"p_level_{i}" for i in range(5)])
 
 
-@query("binary_head_gate")
-def binary_head_gate(spark, sf):
-    """Boosted head, isotonic calibration on a holdout, gate at the live threshold; metrics of the test part."""
+def _calibrated(spark, sf):
+    """Test rows with the boosted head's score p1 and its calibrated one, p_cal, fitted on a holdout."""
     rows = _features(spark, sf)
     parts = durable(S.stratified_split(rows.filter("split = 'train'").drop("split"), "hot", "o_orderkey", 0.1, 7))
     weighted = parts.filter("split = 'train'").withColumn("w", F.when(F.col("hot") == 1, 1.2).otherwise(1.0))
     model = D.fit_binary(weighted, "features", "hot", "w", maxIter=5, maxDepth=3, seed=42)
     score = lambda df: D.soft_cascade(df, model, ["p0", "p1"])
     iso = D.calibrate_isotonic(score(parts.filter("split = 'test'")), "p1", "hot")
-    out = D.apply_isotonic(score(rows.filter("split = 'test'")), iso, "p1", "p_cal")
-    return rounded(D.gate(out, "p_cal").select("o_orderkey", "hot", "p_cal"), "p_cal")
+    return D.apply_isotonic(score(rows.filter("split = 'test'")), iso, "p1", "p_cal")
+
+
+@query("binary_head_gate")
+def binary_head_gate(spark, sf):
+    """Boosted head, isotonic calibration on a holdout, gate at the live threshold; metrics of the test part."""
+    return rounded(D.gate(_calibrated(spark, sf), "p_cal").select("o_orderkey", "hot", "p_cal"), "p_cal")
 
 
 @query("calibrated_classes")

@@ -183,3 +183,25 @@ def test_isotonic_fits_scores_as_they_are(spark):
     df = spark.createDataFrame(rows, "s double, y int")
     out = heads.apply_isotonic(df, heads.calibrate_isotonic(df, "s", "y"), "s", "p").orderBy("s").collect()
     assert [r.p for r in out] == [0.0, 0.0, 1.0, 1.0, 1.0]
+
+
+def test_content_digest(spark):
+    rows = [(i % 50, None if i % 7 == 0 else f"v{i % 11}") for i in range(400)]
+    a = spark.createDataFrame(rows, "i long, s string").repartition(3)
+    assert S.same_content(a, a.orderBy("s", "i")) and S.content_difference(a, a.repartition(5)).first() == (0, 0)
+    plan = S.content_digest(a, a.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(range") == 1
+    changed = spark.createDataFrame([*rows[1:], (99, None), (99, None)], "i long, s string")
+    assert S.content_difference(a, changed).first() == (1, 2) and not S.same_content(a, changed)
+    assert len(S.unequal_ranges(a, changed, a.columns)) <= 2
+    empty = a.where("i < 0")
+    assert S.content_difference(a, empty).first() == (400, 0) and S.same_content(empty, empty)
+    assert not S.same_content(a, a.withColumnRenamed("s", "t"))
+
+
+def test_isotonic_rows_by_hash(spark):
+    from cohortloom.operators import heads
+    df = spark.range(4000).selectExpr("id", "(id * 7919 % 4000) / 4000.0 AS s", "cast(id * 31 % 97 < id * 7919 % 4000 / 41 AS int) AS y")
+    fits = [heads.calibrate_isotonic(d, "s", "y", max_rows=500, key="id") for d in (df.repartition(3), df.repartition(7))]
+    assert fits[0].boundaries == fits[1].boundaries and fits[0].predictions == fits[1].predictions
+    assert list(fits[0].predictions) == sorted(fits[0].predictions)

@@ -20,7 +20,7 @@ HEADLINE = [
     "negated_flags", "tfidf_vocab", "tfidf_weights", "token_prior_apply", "med_block", "rank_blend3", "flat_top10",
     "weight_grid", "oracle_recall", "threshold_sweep", "visit_ranking", "calibration_bins", "ordinal_report",
     "subgroup_report", "stratified_split", "score_modes", "training_table", "nested_split", "median_impute", "pareto_three",
-    "soft_cascade_head", "binary_head_gate", "calibrated_classes", "importance_groups",
+    "note_records", "phrase_flags", "loader_parity", "soft_cascade_head", "binary_head_gate", "calibrated_classes", "importance_groups",
 ]
 
 

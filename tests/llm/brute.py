@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -219,3 +220,29 @@ def repaired(rows):
         best = inserted(front)
     cost, audit, lines = best[""]
     return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, "\n".join(lines))
+
+
+class _Article(HTMLParser):
+    """Text of the one article of a well-formed page, blocks parted by spaces."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.text = False, ""
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.text += " " * (tag in ("p", "h1", "br", "li"))
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.text += " " * (tag in ("p", "h1", "li"))
+
+    def handle_data(self, data):
+        self.text += data if self.inside else ""
+
+
+def article(page):
+    parser = _Article()
+    parser.feed(page or "")
+    parser.close()
+    return " ".join(parser.text.split())

@@ -231,6 +231,56 @@ def test_html_hidden_is_an_attribute():
         assert html_text.main_text(f"<div {gone}><p>Side</p></div><p>Text here</p>") == "Text here", gone
 
 
+def _paragraph(letter: str, n: int) -> str:
+    return f"<p>{letter * n}</p>"
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "article-header", "search-results", "content-form", "comments-open"])
+def test_html_names_on_wrappers(name):
+    body = "<h1>Title</h1>" + _paragraph("a", 300) + _paragraph("b", 400)
+    want = f"Title {'a' * 300} {'b' * 400}"
+    for tag in ("div", "section"):
+        page = f"<nav>menu</nav><{tag} class='{name}'>{body}<div class='ad'><p>Buy</p></div></{tag}><footer>end</footer>"
+        assert html_text.main_text(page) == want
+        assert html_text.main_text(f"<{tag} id={name.split()[-1]}><article>{body}</article></{tag}>") == want
+    assert html_text.main_text(f"<form action=x>{body}</form>") == want
+
+
+def test_html_sides_that_outweigh_the_text():
+    talk = _paragraph("c", 900)
+    for side in ("<section class='comments'>{}</section>", "<div class='comment-list'><article>{}</article></div>",
+                 "<aside>{}</aside>", "<div class=related-posts><ul><li>{}</ul></div>"):
+        page = _paragraph("a", 300) + _paragraph("b", 400) + side.format(talk)
+        assert html_text.main_text(page) == "a" * 300 + " " + "b" * 400, side
+        assert html_text.main_text(f"<article>{page}</article>") == "a" * 300 + " " + "b" * 400, side
+    body = "<p>one</p><section class=comments><article><p>Nice</p></article><p>Too</p></section><p>two</p>"
+    assert html_text.main_text(f"<article>{body}</article>") == "one two"  # the inner article ends nothing around it
+    for alone in ("<div class=ad>Buy</div>", "<form>Your name</form>", "<div id=search>Find</div>", "<div class=cookie-notice>We</div>"):
+        assert html_text.main_text(f"<nav>x</nav>{alone}<footer>y</footer>") == "", alone
+    assert html_text.main_text("<div class=ad>" * 50000 + "x" + "<p class=ad>" * 50000) == ""
+
+
+def test_html_headers_and_links_of_an_article():
+    head = "<div class='post-header'><h1>Head <i>line</i></h1></div>"
+    assert html_text.main_text(f"<article>{head}<p>Text.</p></article>") == "Head line Text."
+    assert html_text.main_text(f"<div>{head}<p>Text.</p></div>") == "Head line Text."
+    links = "<h2><a href=x>Linked head</a></h2><p>Text.</p><p><a href=y>Linked paragraph</a></p><ul><li><a>no</a></ul>"
+    assert html_text.main_text(f"<article>{links}</article>") == "Linked head Text. Linked paragraph"
+    assert html_text.main_text(f"<div><p><a>Home</a></p>{links}</div>") == "Linked head Text."
+
+
+def test_html_sections_and_gaps():
+    parts = [f"<article><h2>{c}</h2>{_paragraph(c, n)}</article>" for c, n in zip("abc", (300, 200, 100))]
+    card = "<article><h3>Card</h3></article><article><p>Teaser text</p></article>"
+    want = " ".join(f"{c} {c * n}" for c, n in zip("abc", (300, 200, 100)))
+    assert html_text.main_text("".join(parts) + card) == want
+    text = ["<h1><a href=x>Head</a></h1>", *(_paragraph(c, 30) for c in "abc")], [_paragraph(c, 40) for c in "def"]
+    links = "<ul>" + "<li><a href=x>link</a></li>" * 3 + "</ul>"
+    page = "<div>" + "".join(text[0]) + links + "".join(text[1]) + "</div>"
+    assert html_text.main_text(page) == " ".join(["Head", *(c * 30 for c in "abc"), *(c * 40 for c in "def")])
+    assert html_text.main_text("<div>" + "".join(text[1]) + links + "<p>Contact</p></div>") == " ".join(c * 40 for c in "def")
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é text here</p>", 3), (1, "u", "<p>é text here</p>", 3), (None, None, None, 1)],
                                   "page_id long, url string, html string, text int")

@@ -95,6 +95,7 @@ def test_html(spark):
     t = pq.read_table(f"{SF}/pages.parquet", columns=["page_id", "html"]).to_pydict()
     want = sorted((i, html_text.main_text(h)) for i, h in zip(t["page_id"], t["html"]))
     assert rows(QUERIES["op6_html_text"](spark, SF), "page_id", "text") == want
+    assert want == sorted((i, brute.article(h)) for i, h in zip(t["page_id"], t["html"]))
     assert all(x for _, x in want)
 
 

@@ -8,11 +8,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
+from .isotonic import IsotonicMap, fit_blocks, fit_map
 from .metrics import LIVE_THRESHOLD
 from .retrieval import rank_within
 
@@ -70,32 +71,28 @@ def soft_cascade(df: DataFrame, model, names: Sequence[str]) -> DataFrame:
 
 
 def calibrate_isotonic(holdout: DataFrame, score: str, label: str, max_rows: int | None = None, seed: int = 42,
-                       key: str | None = None):
-    """Isotonic map from score to observed rate, fitted on the scores of a holdout as they are.
+                       key: str | None = None) -> IsotonicMap:
+    """Isotonic map from score to observed rate, fitted on the scores of a holdout as they are, range by range.
 
-    Equal scores are merged into one weighted point, which leaves the fit unchanged. MLlib gathers the points at its
-    last step; ``max_rows`` bounds them by fitting on about so many holdout rows, chosen by hash of their ``key``, so the
-    same ones whatever the partitioning (off by default)."""
+    ``max_rows`` fits it on about so many holdout rows, chosen by hash of their ``key``, so the same ones whatever the
+    partitioning (off by default)."""
     if max_rows is not None:
         if key is None:
             raise ValueError("max_rows needs the key by whose hash rows are chosen")
         share = min(1.0, max_rows / max(1, holdout.count()))
         holdout = holdout.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    points = holdout.groupBy(F.col(score).cast("double").alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(points)
+    return fit_map(holdout, score, label)
 
 
-def apply_isotonic(df: DataFrame, model, score: str, out: str) -> DataFrame:
-    ready = df.withColumn("x", F.col(score).cast("double"))
-    return model.transform(ready).withColumnRenamed("prediction", out).drop("x")
+def apply_isotonic(df: DataFrame, model: IsotonicMap, score: str, out: str) -> DataFrame:
+    return model.apply(df, score, out)
 
 
-def calibrate_ovr(holdout: DataFrame, scores: str, label: str, n_classes: int) -> list:
-    """One isotonic map per class, one-vs-rest."""
-    return [calibrate_isotonic(
-        holdout.select(F.get(scores, F.lit(k)).alias("s"), (F.col(label) == k).cast("int").alias("y")), "s", "y")
-        for k in range(n_classes)]
+def calibrate_ovr(holdout: DataFrame, scores: str, label: str, n_classes: int) -> list[IsotonicMap]:
+    """One isotonic map per class, one-vs-rest, fitted together."""
+    rows = holdout.select(F.col(label).alias("__label"), F.posexplode(F.slice(scores, 1, n_classes)).alias("class", "s"))
+    blocks = durable(fit_blocks(rows.withColumn("y", (F.col("__label") == F.col("class")).cast("int")), "s", "y", by=["class"]))
+    return [IsotonicMap(blocks.where(F.col("class") == k)) for k in range(n_classes)]
 
 
 def apply_ovr(df: DataFrame, models: Sequence, scores: str, out: str) -> DataFrame:

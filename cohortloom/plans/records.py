@@ -16,6 +16,7 @@ from ..operators import retrieval as T
 from ..operators import splits as S
 from ..operators import vectors as W
 from ..operators.aggregates import class_weights
+from ..operators.isotonic import fit_map
 from ..operators.joins import within_window
 from ..session import checkpoint_dir, durable
 from ..sources import cached_features, materialize, read_cases, read_optional, write_cases, write_report
@@ -352,6 +353,21 @@ def _calibrated(spark, sf):
     return D.apply_isotonic(score(rows.filter("split = 'test'")), iso, "p1", "p_cal")
 
 
+# Isotonic value of point i: the largest over starts j <= i of the least mean over ends k >= i.
+@query("isotonic_blocks", f"""
+WITH p AS (SELECT floor(l_extendedprice / 100) AS x, CAST(count(*) AS DOUBLE) AS w, CAST(count(*) FILTER (WHERE l_quantity > 30) AS DOUBLE) AS s FROM lineitem GROUP BY 1),
+c AS (SELECT x, w, s, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM p),
+m AS (SELECT b.x, a.x AS start, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.x ORDER BY b.x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least
+  FROM c a JOIN c b ON a.x <= b.x),
+v AS (SELECT x, max(least) AS value FROM m GROUP BY 1)
+SELECT CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi, {R('value')} AS value, sum(w) AS weight FROM v JOIN p USING (x) GROUP BY v.value""")
+def isotonic_blocks(spark, sf):
+    """Blocks of the map from line price to the share of large quantities."""
+    lines = table(spark, sf, "lineitem", "l_extendedprice", "l_quantity")
+    rows = lines.select(F.floor(F.col("l_extendedprice") / 100).alias("price"), (F.col("l_quantity") > 30).cast("int").alias("large"))
+    return rounded(fit_map(rows, "price", "large").blocks, "value")
+
+
 @query("binary_head_gate")
 def binary_head_gate(spark, sf):
     """Boosted head, isotonic calibration on a holdout, gate at the live threshold; metrics of the test part."""

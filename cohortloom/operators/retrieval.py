@@ -6,7 +6,7 @@ it by its stored size and otherwise shuffles with adaptive skew splitting."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,22 +47,29 @@ def attach_centroids(index: DataFrame, df: DataFrame, cat: str, code: str, cols:
 
 def build_index(rows: DataFrame, vectors: DataFrame, key: str, cat: str, code: str, title: str,
                 physio: Sequence[str] = (), history: Sequence[str] = (),
-                has_history: Column | None = None) -> dict[str, DataFrame]:
+                has_history: Column | None = None,
+                store: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> dict[str, DataFrame]:
     """``candidates`` (prevalence with its min-max position, usual title, numeric centroids) and
     ``centroids`` (text). Run once per granularity with the matching code column.
 
     Both tables are written once: every question batch reads them, and their stored size lets the
-    planner broadcast them when small instead of shuffling questions by their few categories."""
-    cand = prevalence(rows, cat, code).join(mode_by(rows, [cat, code], title, "title"), [cat, code], "left")
-    within = Window.partitionBy(cat)
-    cand = cand.withColumn("prev_pos", stable(minmax(
-        F.col("prevalence"), F.min("prevalence").over(within), F.max("prevalence").over(within))))
-    if physio:
-        cand = cand.join(numeric_centroids(rows, cat, code, physio), [cat, code])
-    if history:
-        cand = attach_centroids(cand, rows, cat, code, history,
-                                has_history if has_history is not None else F.lit(True))
-    return {"candidates": durable(cand), "centroids": durable(text_centroids(vectors, rows, key, cat, code))}
+    planner broadcast them when small instead of shuffling questions by their few categories. ``store``
+    (name, builder) may keep them for later runs and call a builder only when it has no valid copy."""
+    def candidates() -> DataFrame:
+        cand = prevalence(rows, cat, code).join(mode_by(rows, [cat, code], title, "title"), [cat, code], "left")
+        within = Window.partitionBy(cat)
+        cand = cand.withColumn("prev_pos", stable(minmax(
+            F.col("prevalence"), F.min("prevalence").over(within), F.max("prevalence").over(within))))
+        if physio:
+            cand = cand.join(numeric_centroids(rows, cat, code, physio), [cat, code])
+        if history:
+            cand = attach_centroids(cand, rows, cat, code, history,
+                                    has_history if has_history is not None else F.lit(True))
+        return cand
+
+    keep = store if store is not None else lambda name, build: durable(build())
+    return {"candidates": keep("candidates", candidates),
+            "centroids": keep("centroids", lambda: text_centroids(vectors, rows, key, cat, code))}
 
 
 def stable(col: Column, places: int = 9) -> Column:

@@ -15,7 +15,8 @@ from ..operators import heads as M
 from ..operators import retrieval as T
 from ..operators import splits as S
 from ..operators import vectors as W
-from ..session import durable
+from ..session import checkpoint_dir
+from ..sources import materialize
 from .registry import R, query, r6, rounded, table
 from .texts import _TITLES
 
@@ -24,24 +25,37 @@ _W2, _W3 = 0.6, {"text": 0.4, "vit": 0.3, "prev": 0.3}
 _W4 = {"text": 0.3, "vit": 0.2, "hist": 0.2, "prev": 0.3}
 
 
-def _rows(spark, sf):
-    """Parts with split, standardised measurements (fitted on the train rows) and a history value. The
-    split is written once: vocabulary, vectors, index and questions all read the same rows."""
-    p = table(spark, sf, "part").withColumns({"hist": (F.col("p_partkey") % 7) / 7.0, "has_hist": (F.col("p_partkey") % 3 == 0)})
-    p = S.stratified_split(p, "p_type", "p_partkey", 0.2, 42)
-    fitted = A.fit_standardizer(p.filter("split = 'train'"), ["p_size", "p_retailprice"])
-    z = A.standardize(p, fitted, ["p_size", "p_retailprice"])
-    return durable(z.withColumnsRenamed({"p_size_z": "size_z", "p_retailprice_z": "price_z"}))
+def _stored(spark, sf, name, build):
+    """A table of this layer, shared by all its queries: built again only when the parts or the version change."""
+    return materialize(spark, f"{checkpoint_dir(spark)}/retrieval/{name}", [f"{sf}/part.parquet"], "1", build)
 
 
-def _parts(spark, sf, code="p_brand", rows=None):
+def _rows(spark, sf):
+    """Parts with split, standardised measurements (fitted on the train rows) and a history value. The
+    split is stored: vocabulary, vectors, index and questions of all queries read the same rows."""
+    def build():
+        p = table(spark, sf, "part", "p_partkey", "p_type", "p_brand", "p_name", "p_size", "p_retailprice").withColumns(
+            {"hist": (F.col("p_partkey") % 7) / 7.0, "has_hist": (F.col("p_partkey") % 3 == 0)})
+        p = S.stratified_split(p, "p_type", "p_partkey", 0.2, 42)
+        fitted = A.fit_standardizer(p.filter("split = 'train'"), ["p_size", "p_retailprice"])
+        z = A.standardize(p, fitted, ["p_size", "p_retailprice"])
+        return z.withColumnsRenamed({"p_size_z": "size_z", "p_retailprice_z": "price_z"})
+    return _stored(spark, sf, "rows", build)
+
+
+def _parts(spark, sf, rows=None, level="brand"):
     rows = _rows(spark, sf) if rows is None else rows
     train = rows.filter("split = 'train'")
-    grams = W.gram_arrays(train, "p_partkey", "p_name")
-    n = train.agg(F.count("*")).scalar()
-    model = W.fit_tfidf(W.fit_vocabulary(grams, n, 1, 1.0, None), n)
-    vec = durable(W.apply_tfidf(W.gram_arrays(rows, "p_partkey", "p_name"), model, "p_partkey"))
-    index = T.build_index(train, vec, "p_partkey", "p_type", code, "p_name", _Z, ["hist"], F.col("has_hist"))
+
+    def vectors():
+        grams = W.gram_arrays(train, "p_partkey", "p_name")
+        n = train.agg(F.count("*")).scalar()
+        model = W.fit_tfidf(W.fit_vocabulary(grams, n, 1, 1.0, None), n)
+        return W.apply_tfidf(W.gram_arrays(rows, "p_partkey", "p_name"), model, "p_partkey")
+
+    vec = _stored(spark, sf, "vectors", vectors)  # of names, the same for every level of code
+    index = T.build_index(train, vec, "p_partkey", "p_type", "p_brand", "p_name", _Z, ["hist"], F.col("has_hist"),
+                          lambda name, build: _stored(spark, sf, f"{level}_{name}", build))
     test = rows.filter("split = 'test'")
     return test, vec, index
 
@@ -129,7 +143,7 @@ _ROLL = _SPLIT.replace("p_brand, p_name", "substr(p_brand, 1, 7) AS p_brand, p_n
 
 
 def _rollup(spark, sf):
-    return _parts(spark, sf, rows=_rows(spark, sf).withColumn("p_brand", F.substring("p_brand", 1, 7)))
+    return _parts(spark, sf, rows=_rows(spark, sf).withColumn("p_brand", F.substring("p_brand", 1, 7)), level="group")
 
 
 @query("code_index_rollup", f"""WITH {_ROLL}, {_VEC}, {_INDEX},

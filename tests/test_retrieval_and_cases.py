@@ -205,3 +205,21 @@ def test_isotonic_rows_by_hash(spark):
     fits = [heads.calibrate_isotonic(d, "s", "y", max_rows=500, key="id") for d in (df.repartition(3), df.repartition(7))]
     assert fits[0].boundaries == fits[1].boundaries and fits[0].predictions == fits[1].predictions
     assert list(fits[0].predictions) == sorted(fits[0].predictions)
+
+
+def test_index_is_kept_by_its_store(spark, tmp_path):
+    from cohortloom.sources import materialize
+    rows = spark.createDataFrame([(i, "c", f"k{i % 3}", "t", float(i), i % 2 == 0) for i in range(9)], "id long, cat string, code string, title string, x double, h boolean")
+    rows.write.parquet(f"{tmp_path}/src")
+    vectors, built = rows.select("id", F.lit("w").alias("term"), F.lit(1.0).alias("w")), []
+
+    def store(name, build):
+        def counted():
+            built.append(name)
+            return build()
+        return materialize(spark, f"{tmp_path}/{name}", [f"{tmp_path}/src"], "1", counted)
+    made = [T.build_index(rows, vectors, "id", "cat", "code", "title", ["x"], ["x"], F.col("h"), keep) for keep in (None, store, store)]
+    assert built == ["candidates", "centroids"]
+    for name in made[0]:
+        want, *others = [sorted(map(str, m[name].collect())) for m in made]
+        assert all(o == want for o in others) and len(want) == 3

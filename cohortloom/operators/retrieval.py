@@ -154,6 +154,38 @@ def top_k_within(df: DataFrame, part: Sequence[str], score: str, tie: Sequence[s
     return rank_within(df, part, score, tie, name).filter(F.col(name) <= k)
 
 
+def top_k_pruned(queries: DataFrame, query_vectors: DataFrame, index: Mapping[str, DataFrame], key: str, cat: str,
+                 code: str, alpha: float, k: int) -> DataFrame:
+    """The ``k`` best codes of each question by ``blend2`` without a row for every code of its category.
+
+    Codes without a shared term all have the same text position, so at most the first ``k`` of them in order of
+    prevalence can be in the list. A question thus meets the codes that share a term with it and as many places of its
+    category's prevalence order as these may hide, plus ``k``. The extremes of the text term follow from the shared codes
+    and the category's size. Rows and ranks equal those over all codes, as long as both weights are zero or 0.01 at least,
+    so that unequal prevalence positions do not round to one score. ``n_met`` is the number of codes that were scored."""
+    order = [F.asc(code)] if alpha >= 1.0 else [F.desc("prev_pos"), F.asc(code)]
+    places = durable(index["candidates"].select(
+        cat, code, "prev_pos", F.row_number().over(Window.partitionBy(cat).orderBy(*order)).alias("place"),
+        F.count("*").over(Window.partitionBy(cat)).alias("n_codes")))
+    shared = sparse_cosine(query_vectors, queries, index["centroids"], key, cat, code).join(
+        places.select(cat, code, "prev_pos"), [cat, code])
+    sizes = places.where("place = 1").select(cat, "n_codes")
+    met = F.least(F.coalesce("n_shared", F.lit(0)) + k, F.col("n_codes"))
+    asked = queries.select(key, cat).join(sizes, cat).join(
+        shared.groupBy(key, cat).agg(F.count("*").alias("n_shared")), [key, cat], "left")
+    ahead = asked.select(key, cat, F.explode(F.sequence(F.lit(1), met.cast("int"))).alias("place"), "n_codes").join(
+        places.drop("n_codes"), [cat, "place"])
+    both = shared.select(key, cat, code, "prev_pos", "cos", F.lit(None).cast("bigint").alias("n_codes")).unionByName(
+        ahead.select(key, cat, code, "prev_pos", F.lit(None).cast("double").alias("cos"), "n_codes"))
+    each = both.groupBy(key, cat, code).agg(*[F.max(c).alias(c) for c in ("prev_pos", "cos", "n_codes")])
+    within = Window.partitionBy(key, cat)
+    least = F.when(F.count("cos").over(within) < F.max("n_codes").over(within), 0.0).otherwise(F.min("cos").over(within))
+    cos = F.coalesce("cos", F.lit(0.0))
+    scored = each.withColumns({"text_pos": stable(minmax(cos, least, F.max(cos).over(within))), "n_met": F.count("*").over(within)}) \
+        .withColumns({"cos": cos, "score": blend2(alpha)})
+    return top_k_within(scored.drop("n_codes"), [key, cat], "score", [code], k)
+
+
 def flat_top_k(per_cat: DataFrame, key: str, p_cat: str, score: str, tie: Sequence[str], k: int) -> DataFrame:
     """Across categories by ``p_category * score``."""
     combined = per_cat.withColumn("combined", stable(F.col(p_cat) * F.col(score), 12))

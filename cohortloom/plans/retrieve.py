@@ -195,6 +195,14 @@ def rank_blend2(spark, sf):
     return top.select("p_partkey", "p_brand", "score", "rank")
 
 
+@query("rank_pruned", f"{_BASE}, {_ranked_sql(_S2)} SELECT p_partkey, p_brand, score + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3")
+def rank_pruned(spark, sf):
+    """The best three of rank_blend2 from the codes that can be among them."""
+    test, vec, index = _parts(spark, sf)
+    top = T.top_k_pruned(_queries(test), vec, index, "p_partkey", "p_type", "p_brand", _W2, 3)
+    return top.select("p_partkey", "p_brand", "score", "rank")
+
+
 @query("rank_blend3", f"{_BASE}, {_ranked_sql(_S3)} SELECT p_partkey, p_brand, score + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
 def rank_blend3(spark, sf):
     _, terms, _ = _terms(spark, sf)

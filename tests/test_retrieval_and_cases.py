@@ -223,3 +223,27 @@ def test_index_is_kept_by_its_store(spark, tmp_path):
     for name in made[0]:
         want, *others = [sorted(map(str, m[name].collect())) for m in made]
         assert all(o == want for o in others) and len(want) == 3
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.6, 1.0])
+def test_pruned_top_k_equals_all_codes(spark, alpha):
+    pick = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+    cands = spark.range(900).select(F.concat(F.lit("c"), pick(1, 3)).alias("cat"), F.format_string("k%04d", "id").alias("code"),
+                                    F.round(pick(2, 40) / 39, 9).alias("prev_pos"))
+    cands = cands.unionByName(spark.createDataFrame([("tiny", "a", 0.0), ("tiny", "b", 1.0)], cands.schema))
+    terms = [f"t{i}" for i in range(60)]
+    cents = cands.crossJoin(spark.createDataFrame([(t,) for t in terms], "term string")) \
+        .where((F.col("cat") == "tiny") | (F.pmod(F.xxhash64("code", "term"), F.lit(40)) == 0)) \
+        .select("cat", "code", "term", F.lit(0.5).alias("w"))
+    asked = spark.range(40).select("id", F.when(F.col("id") < 3, "tiny").otherwise(F.concat(F.lit("c"), pick(3, 3))).alias("cat"))
+    asked = asked.unionByName(spark.createDataFrame([(99, "none")], asked.schema))  # a category without codes
+    vec = asked.where("id <> 7").select("id", F.explode(F.array(*[F.concat(F.lit("t"), pick(s, 60)) for s in (4, 5)])).alias("term")).distinct() \
+        .withColumn("w", F.round(pick(6, 9) / 9 + 0.1, 3))  # question 7 has no term
+    index = {"candidates": cands, "centroids": cents}
+    whole = T.score_terms(asked, vec, index, "id", "cat", "code")
+    want = T.top_k_within(whole.withColumn("score", T.blend2(alpha)), ["id", "cat"], "score", ["code"], 5)
+    got = T.top_k_pruned(asked, vec, index, "id", "cat", "code", alpha, 5)
+    cols = ["id", "cat", "code", "score", "rank"]
+    rows = sorted(tuple(r[c] for c in cols) for r in got.collect())
+    assert rows == sorted(tuple(r[c] for c in cols) for r in want.collect()) and len(rows) == 37 * 5 + 3 * 2
+    assert got.where("cat <> 'tiny'").agg(F.max("n_met")).first()[0] < 75  # of 300 codes

@@ -320,14 +320,17 @@ def case_files(spark, sf):
 
 
 def _features(spark, sf):
-    """Visits with amounts, line totals and history as numeric features, split once and stored."""
-    v = visits(spark, sf)
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_quantity", "l_discount").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
-    hist = H.prior_encounters(v.select("o_orderkey", "o_custkey", "o_orderdate"), v.select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate")
-    rows = v.join(lines, "o_orderkey", "left").join(hist.select("o_orderkey", "n_prior"), "o_orderkey", "left").fillna(0)
-    rows = rows.withColumn("hot", ((F.col("o_totalprice") > 300000) | (F.col("acuity") == 1)).cast("int"))
-    return durable(D.assemble_vector(S.stratified_split(rows, "hot", "o_orderkey"), ["score", "qty", "disc", "n_prior"]))
+    """Visits with amounts, line totals and history as numeric features, split once and stored for all heads until the
+    orders or lines change."""
+    def build():
+        v = visits(spark, sf)
+        lines = table(spark, sf, "lineitem", "l_orderkey", "l_quantity", "l_discount").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+            F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+        hist = H.prior_encounters(v.select("o_orderkey", "o_custkey", "o_orderdate"), v.select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate")
+        rows = v.join(lines, "o_orderkey", "left").join(hist.select("o_orderkey", "n_prior"), "o_orderkey", "left").fillna(0)
+        rows = rows.withColumn("hot", ((F.col("o_totalprice") > 300000) | (F.col("acuity") == 1)).cast("int"))
+        return D.assemble_vector(S.stratified_split(rows, "hot", "o_orderkey"), ["score", "qty", "disc", "n_prior"])
+    return materialize(spark, f"{checkpoint_dir(spark)}/heads/features", [f"{sf}/orders.parquet", f"{sf}/lineitem.parquet"], "1", build)
 
 
 @query("soft_cascade_head")

@@ -386,9 +386,25 @@ def med_defaults(spark, sf):
         *[F.sum(c).cast("bigint").alias(c) for c in ("n_medications", "meds_unknown", "has_promo")])
 
 
-@query("block_precedence", """
+# Word characters and blanks beyond ASCII, as Java's Unicode classes have them.
+_SQL_WORD = r"[^\P{L}a-zA-Z]|\p{M}|[^\P{Nd}0-9]|\p{Nl}|[^\P{Pc}_]|[\x{24B6}-\x{24E9}\x{200C}\x{200D}]"
+_SQL_BLANK = r"[\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def sql_words(col: str) -> str:
+    """Lower-case text in ASCII where it matters: word characters beyond it become an underscore, so that they bound words
+    and never make up an ASCII word; only the Kelvin sign has an ASCII letter as lower case."""
+    text = f"regexp_replace(replace(coalesce({col}, ''), chr(8490), 'k'), '{_SQL_WORD}', '_', 'g')"
+    return f"lower(regexp_replace({text}, '{_SQL_BLANK}', chr(12), 'g'))"
+
+
+def sql_unnegated(col: str) -> str:
+    return f"regexp_replace({sql_words(col)}, '{vocab.HISTORY_NEGATION}', ' _NEG_ ', 'g')"
+
+
+@query("block_precedence", f"""
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS used_record, o_orderkey % 2 AS fl, o_orderkey % 7 AS n FROM orders),
-d AS (SELECT doc_id, text, CASE WHEN regexp_matches(regexp_replace(lower(text), '[^\\x00-\\x7F]', 'x', 'g'), '\\b(?:the)s?\\b') THEN 1 ELSE 0 END AS f FROM documents)
+d AS (SELECT doc_id, CASE WHEN regexp_matches({sql_unnegated('text')}, '\\b(?:the)s?\\b') THEN 1 ELSE 0 END AS f FROM documents)
 SELECT used_record, CAST(CASE WHEN used_record = 1 THEN fl WHEN f = 1 THEN 1 ELSE 0 END AS INTEGER) AS flag,
   CAST(CASE WHEN used_record = 1 THEN n ELSE 0 END AS INTEGER) AS n_prior, count(*) AS n FROM d JOIN r ON doc_id = o_orderkey GROUP BY 1, 2, 3""")
 def block_precedence(spark, sf):

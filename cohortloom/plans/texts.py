@@ -15,7 +15,7 @@ from ..operators import splits as S
 from ..operators import vectors as W
 from ..session import checkpoint_dir, durable
 from ..sources import read_notes
-from .cohort import sql_normalize
+from .cohort import sql_normalize, sql_unnegated, sql_words
 from .registry import R, query, r6, rounded, table
 
 # The synthetic prose has no clinical words, so these vocabularies use words that do occur.
@@ -378,9 +378,9 @@ _PARTS = r"regexp_extract_all({}, '[^a-z0-9_]*[a-z0-9_]+')"
 
 
 @query("phrase_flags", f"""
-WITH k AS (SELECT DISTINCT regexp_extract(lower(text), '^[a-z]+ [a-z]+' || x) AS k, doc_id % 3 AS c FROM documents, (VALUES (''), (' [a-z]+')) v(x)),
+WITH k AS (SELECT DISTINCT regexp_extract({sql_words('text')}, '^[a-z]+ [a-z]+' || x) AS k, doc_id % 3 AS c FROM documents, (VALUES (''), (' [a-z]+')) v(x)),
 p AS (SELECT k, c FROM k WHERE k <> '' UNION SELECT k || 's', c FROM k WHERE k <> ''),
-t AS (SELECT doc_id, {_PARTS.format(sql_neutral(sql_ascii("replace(text, 'der ', 'no ')"), V.HISTORY_NEGATION))} AS w FROM documents),
+t AS (SELECT doc_id, {_PARTS.format(sql_unnegated("replace(text, 'der ', 'no ')"))} AS w FROM documents),
 r AS (SELECT doc_id, unnest(list_distinct(list_concat(
   list_transform(range(1, len(w)), lambda i: regexp_extract(w[i], '[a-z0-9_]+$') || w[i + 1]),
   list_transform(range(1, len(w) - 1), lambda i: regexp_extract(w[i], '[a-z0-9_]+$') || w[i + 1] || w[i + 2])))) AS k FROM t),

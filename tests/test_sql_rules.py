@@ -2,7 +2,6 @@
 
 import pytest
 from compare import TABLES, connect, difference
-from pyspark.sql import functions as F
 
 from cohortloom.plans import ORACLE, QUERIES
 
@@ -31,3 +30,9 @@ def test_block_precedence_leaves_out_negated_words(spark, check):
     texts = ["the end", "no the end", "denies one two three four five the end", "denies one two three four five six the end",
              "it—the", "éthe", "no the", "İthe the", None, "", "without history the ²the", "nothing; thes"]
     assert check("block_precedence", documents=_documents(spark, texts * 8)) is None
+
+
+def test_phrase_flags_keep_words_with_accents_apart(spark, check):
+    texts = ["aux des autres", "le auö des", "le aux des", "bx der wein", "vu bé no wein", "İn der nacht", "so in der nacht", "so i̇n wein",
+             "kelvin grad heute", "zu \u212Aelvin grad", "zu aux\u00A0des", "zu aux des", "x—aux des.", "x²aux dess", "", None]
+    assert check("phrase_flags", documents=_documents(spark, texts)) is None

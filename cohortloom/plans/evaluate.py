@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import comparison as K
@@ -425,9 +426,37 @@ def _trials(spark, sf):
         F.round(F.avg("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 5).alias("discount"), F.round(F.avg("l_quantity"), 3).alias("quantity"))
 
 
-@query("pareto", f"""WITH {_TR} SELECT trial, price, discount, quantity FROM tr a WHERE NOT EXISTS (SELECT 1 FROM tr b WHERE b.price >= a.price AND b.discount <= a.discount AND (b.price > a.price OR b.discount < a.discount))""")
+def _sql_mean(col: str, digits: int) -> str:
+    units, n, unit = f"sum(CAST(floor({col} * 1000000 + 0.5::DOUBLE) AS BIGINT))", f"count({col})", 10 ** 6
+    half_up = f"(2 * abs({units}) * {10 ** digits} + {n} * {unit}) // (2 * nullif({n}, 0) * {unit})"
+    return f"CAST(sign({units}) * ({half_up}) AS DOUBLE) / {float(10 ** digits)}::DOUBLE"
+
+
+def _mean(col: str, digits: int) -> Column:
+    """Mean of amounts of up to six places, rounded half up by whole numbers, so that neither the order of the rows nor the
+    binary form of a mean that lies half way decides its last digit."""
+    each = F.floor(F.col(col) * 1000000 + 0.5)
+    n, whole = F.count(col), lambda c: c.cast("decimal(38,0)")
+    ones = F.sum(F.call_function("div", each, F.lit(1000000).cast("bigint")))  # in two sums, as one may outgrow a bigint
+    units = ones.cast("decimal(28,0)") * 1000000 + F.sum(each % 1000000)
+    half_up = F.call_function("div", whole(F.abs(whole(units)) * (2 * 10 ** digits)) + whole(n * 10 ** 6),
+                              whole(F.nullif(n, F.lit(0)) * (2 * 10 ** 6)))
+    return F.signum(units) * half_up / float(10 ** digits)
+
+
+# The same trials with exact means: a front of many equal trials hangs on their last digits.
+_EXACT_TR = f"""tr AS (SELECT l_suppkey AS trial, {_sql_mean('l_extendedprice', 2)} AS price, {_sql_mean('l_discount', 5)} AS discount, {_sql_mean('l_quantity', 3)} AS quantity
+  FROM lineitem GROUP BY 1)"""
+
+
+def _exact_trials(spark, sf):
+    return table(spark, sf, "lineitem", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity").groupBy(F.col("l_suppkey").alias("trial")).agg(
+        _mean("l_extendedprice", 2).alias("price"), _mean("l_discount", 5).alias("discount"), _mean("l_quantity", 3).alias("quantity"))
+
+
+@query("pareto", f"""WITH {_EXACT_TR} SELECT trial, price, discount, quantity FROM tr a WHERE price IS NOT NULL AND discount IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tr b WHERE b.price >= a.price AND b.discount <= a.discount AND (b.price > a.price OR b.discount < a.discount))""")
 def pareto(spark, sf):
-    return K.pareto(_trials(spark, sf), {"price": "max", "discount": "min"})
+    return K.pareto(_exact_trials(spark, sf), {"price": "max", "discount": "min"})
 
 
 @query("pareto_three", f"""WITH {_TR} SELECT trial, price, discount, quantity FROM tr a WHERE NOT EXISTS (SELECT 1 FROM tr b WHERE b.price >= a.price AND b.discount <= a.discount AND b.quantity >= a.quantity

@@ -459,10 +459,10 @@ def pareto(spark, sf):
     return K.pareto(_exact_trials(spark, sf), {"price": "max", "discount": "min"})
 
 
-@query("pareto_three", f"""WITH {_TR} SELECT trial, price, discount, quantity FROM tr a WHERE NOT EXISTS (SELECT 1 FROM tr b WHERE b.price >= a.price AND b.discount <= a.discount AND b.quantity >= a.quantity
+@query("pareto_three", f"""WITH {_EXACT_TR} SELECT trial, price, discount, quantity FROM tr a WHERE price IS NOT NULL AND discount IS NOT NULL AND quantity IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tr b WHERE b.price >= a.price AND b.discount <= a.discount AND b.quantity >= a.quantity
   AND (b.price > a.price OR b.discount < a.discount OR b.quantity > a.quantity))""")
 def pareto_three(spark, sf):
-    return K.pareto(_trials(spark, sf), {"price": "max", "discount": "min", "quantity": "max"})
+    return K.pareto(_exact_trials(spark, sf), {"price": "max", "discount": "min", "quantity": "max"})
 
 
 @query("best_feasible", f"WITH {_TR} SELECT trial, price, discount FROM tr WHERE discount <= 0.05 ORDER BY price DESC, trial LIMIT 1")

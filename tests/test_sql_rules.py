@@ -39,7 +39,7 @@ def test_phrase_flags_keep_words_with_accents_apart(spark, check):
     assert check("phrase_flags", documents=_documents(spark, texts)) is None
 
 
-@pytest.mark.parametrize("name", ["pareto"])
+@pytest.mark.parametrize("name", ["pareto", "pareto_three"])
 def test_front_of_means_that_lie_half_way(spark, check, name):
     """Suppliers 1 and 2 have the mean 1.005, which no binary number is; 3 has 1.01 as it stands. Supplier 5 has tiny amounts whose
     binary sum hangs on their order."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import l2_normalize
 from ..functions.text import ngrams, word_tokens
+from ..session import durable
 
 
 def gram_arrays(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 3, min_len: int = 2,
@@ -30,6 +31,32 @@ def term_counts(grams: DataFrame, key: str) -> DataFrame:
     return _unroll(grams, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def gram_totals(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 3, min_len: int = 2, fold: bool = True) -> DataFrame:
+    """``(key, n_terms, n_grams, top_tf)``: distinct n-grams, all of them and the count of the most frequent one per key
+    with any.
+
+    The grams of a key with one row are sorted and counted in that row and never shuffled; only those of keys with
+    several rows go through ``term_counts``."""
+    often = durable(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(key).alias("__often")))
+    same = df[key].eqNullSafe(often["__often"])
+    alone = gram_arrays(df.join(often, same, "left_anti"), key, text, lo, hi, min_len, fold)
+    start = F.expr("named_struct('last', CAST(NULL AS STRING), 'run', 0L, 'top_tf', 0L, 'n_terms', 0L, 'n_grams', 0L)")
+
+    def step(seen: Column, gram: Column) -> Column:
+        again = gram.eqNullSafe(seen["last"])
+        run = F.when(again, seen["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(gram.alias("last"), run.alias("run"), F.greatest(seen["top_tf"], run).alias("top_tf"),
+                        F.when(again, seen["n_terms"]).otherwise(seen["n_terms"] + 1).alias("n_terms"),
+                        (seen["n_grams"] + 1).alias("n_grams"))
+
+    # an outer generator keeps the filter above it: pushed down, it would tokenise the text once per gram
+    counted = F.explode_outer(F.array(F.aggregate(F.sort_array("grams"), start, step)))
+    inside = alone.select(key, counted.alias("t")).where("t.n_terms > 0").select(key, "t.n_terms", "t.n_grams", "t.top_tf")
+    across = term_counts(gram_arrays(df.join(often, same, "left_semi"), key, text, lo, hi, min_len, fold), key)
+    return inside.unionByName(across.groupBy(key).agg(
+        F.count("*").alias("n_terms"), F.sum("tf").alias("n_grams"), F.max("tf").alias("top_tf")))
+
+
 def fit_vocabulary(grams: DataFrame, n_docs: Column | int, min_df: int = 20, max_df: float = 0.95,
                    max_terms: int | None = 2000) -> DataFrame:
     """Terms in at least ``min_df`` rows and at most the share ``max_df`` of rows, the ``max_terms``

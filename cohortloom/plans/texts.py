@@ -167,18 +167,13 @@ voc AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c, n GROUP BY te
   HAVING count(*) >= 20 AND count(*) <= 0.95::DOUBLE * n.n ORDER BY cf DESC, term LIMIT 2000)"""
 
 
-def _grams(spark, sf):
-    return W.gram_arrays(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
-
-
 def _n_docs(spark, sf):
     return table(spark, sf, "documents", "doc_id").agg(F.count("*")).scalar()
 
 
 @query("ngram_counts", f"WITH {_GRAMS} SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_grams, max(tf) AS top_tf FROM c GROUP BY 1")
 def ngram_counts(spark, sf):
-    return W.term_counts(_grams(spark, sf), "doc_id").groupBy("doc_id").agg(
-        F.count("*").alias("n_terms"), F.sum("tf").alias("n_grams"), F.max("tf").alias("top_tf"))
+    return W.gram_totals(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query("tfidf_vocab", f"WITH {_GRAMS} SELECT term, df, cf FROM voc")

@@ -48,3 +48,17 @@ def test_weights_agree_with_whole_grams(spark):
 def test_no_rows(spark):
     voc, found = G.fit_grams(spark.createDataFrame([], "id long, t string"), "id", "t", 0)
     assert voc.count() == 0 and found.count() == 0
+
+
+def test_totals_per_key_shuffle_no_grams(spark):
+    rows = [(1, "a1 b1 a1 b1 a1"), (2, ""), (3, None), (4, "x1 y1"), (4, "y1 x1 y1"), (None, "q1 q1"), (None, "q1"), (5, "É1 e1 a" * 300)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    out = W.gram_totals(df, "id", "t")
+    tf = W.term_counts(W.gram_arrays(df, "id", "t"), "id").collect()
+    want = {k: (sum(r.id == k for r in tf), sum(r.tf for r in tf if r.id == k), max(r.tf for r in tf if r.id == k)) for k in (1, 4, 5, None)}
+    assert {r.id: (r.n_terms, r.n_grams, r.top_tf) for r in out.collect()} == want
+    single = W.gram_totals(df.where("id in (1, 5)"), "id", "t")
+    single.collect()
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "hashpartitioning(id" not in final

@@ -62,3 +62,14 @@ def test_totals_per_key_shuffle_no_grams(spark):
     plan = single._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert "hashpartitioning(id" not in final
+
+
+def test_a_floor_leaves_few_occurrences(spark, monkeypatch):
+    """Two terms wanted of one that is everywhere and forty others: only occurrences of the words at the floor are kept."""
+    sizes, keep = [], G.durable
+    monkeypatch.setattr(G, "durable", lambda df: sizes.append((set(df.columns), (out := keep(df)).count())) or out)
+    rows = [(i, "top next " * 5 + " ".join(f"w{j}" for j in range(40))) for i in range(10)]
+    voc, found = G.fit_grams(spark.createDataFrame(rows, "id long, t string"), "id", "t", 10, 1, 3, 2, 1.0, 2)
+    assert [tuple(r) for r in voc.collect()] == [("next", 10, 50), ("top", 10, 50)]
+    assert found.count() == 100
+    assert max(n for cols, n in sizes if {"row", "pos"} <= cols) == 100  # 500 words in all

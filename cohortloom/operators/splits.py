@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -34,6 +34,26 @@ def stratified_split(df: DataFrame, label: str, key: str, frac: float = 0.2, see
         .drop("__h", "__pos", "__n")
 
 
+def split_in_place(df: DataFrame, label: str, key: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
+    """``stratified_split`` of rows told apart by ``key``, without moving them: rows are counted per label and hash range,
+    only those of the range that holds the last test row of a label are ordered, and every row is compared with that one.
+    Reads ``df`` three times, so it should be stored or near its source."""
+    hashed = df.select(F.col(label).alias("__label"), hash_order(key, seed).alias("__h"), F.col(key).alias("__key")) \
+        .withColumn("__range", F.substring("__h", 1, 4))
+    counts = hashed.groupBy("__label", "__range").agg(F.count(F.lit(1)).alias("n"))
+    of_label = Window.partitionBy("__label")
+    upto = F.sum("n").over(of_label.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    quota = F.floor(F.lit(frac) * F.sum("n").over(of_label) + 0.5)
+    held = counts.select("__label", "__range", "n", upto.alias("upto"), quota.alias("quota"))
+    cuts = durable(held.where("upto >= quota AND upto - n < quota").select("__label", "__range", (F.col("quota") - F.col("upto") + F.col("n")).alias("need")))
+    order = Window.partitionBy("__label").orderBy("__h", "__key")
+    last = durable(hashed.join(cuts, ["__label", "__range"]).withColumn("__no", F.row_number().over(order)).where("__no = need")
+                   .select("__label", F.struct("__h", "__key").alias("__last")))
+    mine = F.struct(hash_order(key, seed).alias("__h"), F.col(key).alias("__key"))
+    out = df.join(last.withColumnRenamed("__label", label), label, "left")
+    return out.select(*df.columns, F.when(mine <= F.col("__last"), "test").otherwise("train").alias("split"))
+
+
 def nested_split(df: DataFrame, label: str, key: str, parts: Mapping[str, tuple[float, int]],
                  test_frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Test split first, then further holdouts (``name -> (fraction, seed)``) out of the training rows.

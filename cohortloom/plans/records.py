@@ -323,14 +323,17 @@ def _features(spark, sf):
     """Visits with amounts, line totals and history as numeric features, split once and stored for all heads until the
     orders or lines change."""
     def build():
-        v = visits(spark, sf)
+        v = visits(spark, sf).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "acuity", "score").fillna(0)
+        v = v.withColumn("hot", ((F.col("o_totalprice") > 300000) | (F.col("acuity") == 1)).cast("int")).drop("o_totalprice")
         lines = table(spark, sf, "lineitem", "l_orderkey", "l_quantity", "l_discount").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
             F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
-        hist = H.prior_encounters(v.select("o_orderkey", "o_custkey", "o_orderdate"), v.select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate")
-        rows = v.join(lines, "o_orderkey", "left").join(hist.select("o_orderkey", "n_prior"), "o_orderkey", "left").fillna(0)
-        rows = rows.withColumn("hot", ((F.col("o_totalprice") > 300000) | (F.col("acuity") == 1)).cast("int"))
-        return D.assemble_vector(S.stratified_split(rows, "hot", "o_orderkey"), ["score", "qty", "disc", "n_prior"])
-    return materialize(spark, f"{checkpoint_dir(spark)}/heads/features", [f"{sf}/orders.parquet", f"{sf}/lineitem.parquet"], "1", build)
+        # the split hangs on the orders alone, so it comes first; the visits then go through both joins with what the heads read
+        parted = S.split_in_place(v, "hot", "o_orderkey")
+        known = H.prior_measures(parted, v.select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate",
+                                 {"n_prior": ("sum", F.lit(1).cast("bigint"))}).drop("o_custkey", "o_orderdate")
+        rows = known.join(lines, "o_orderkey", "left").fillna(0)
+        return D.assemble_vector(rows, ["score", "qty", "disc", "n_prior"]).drop("score", "qty", "disc", "n_prior")
+    return materialize(spark, f"{checkpoint_dir(spark)}/heads/features", [f"{sf}/orders.parquet", f"{sf}/lineitem.parquet"], "2", build)
 
 
 @query("soft_cascade_head")

@@ -1,41 +1,66 @@
 """Leakage-safe history: everything about a subject strictly before a visit.
 
-Visits and earlier encounters are tagged, unioned and reduced to one row per (subject, moment)
-before any ordering happens, so repeated moments collapse on the map side. Running totals over the
-moments come from ``prefix.with_prior``, which spreads a hot subject over its time buckets."""
+Visits and earlier encounters meet by subject in one shuffle; a frame that ends before the visit's own time gives the totals,
+so nothing is joined back. Subjects with more than ``HOT`` rows are told apart first: their running totals come from
+``prefix.with_prior``, which spreads them over their time buckets."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import days_between
+from ..functions.parsing import days_between, micros
 from ..functions.text import jaccard, token_set
 from .aggregates import union_sets
 from .clean import NO_PRIOR_DAYS
 from .prefix import time_buckets, with_prior
 
 _BUCKET = 300
+#: Rows of one subject that one task orders as a whole; results do not depend on it.
+HOT = 1 << 17
 
 
-def prior_measures(anchors: DataFrame, events: DataFrame, subject: str, ts: str,
-                   measures: Mapping[str, tuple[str, Column]], bucket_seconds: int = _BUCKET) -> DataFrame:
+def prior_measures(anchors: DataFrame, events: DataFrame | None, subject: str, ts: str,
+                   measures: Mapping[str, tuple[str, Column]], bucket_seconds: int = _BUCKET,
+                   own: Mapping[str, Column] | None = None) -> DataFrame:
     """``anchors`` plus, per measure ``name: (sum|max, column of events)``, its total over the events
     of the same subject with a strictly earlier time; NULL when there is none. Both inputs carry
-    ``subject`` and ``ts``."""
+    ``subject`` and ``ts``.
+
+    ``own`` gives the measures of the anchors themselves, where these are events too; ``events`` then holds the others. With
+    the same frame on both sides this is done at once. Rows are counted per subject before the plan is made."""
+    if own is None and events is anchors:
+        own, events = {n: c for n, (_, c) in measures.items()}, None
     combine = {"sum": F.sum, "max": F.max}
-    tagged = events.select(subject, ts, *[c.alias(n) for n, (_, c) in measures.items()])
-    types = {f.name: f.dataType for f in tagged.schema}
-    marks = anchors.select(subject, ts, *[F.lit(None).cast(types[n]).alias(n) for n in measures])
-    moments = (tagged.unionByName(marks)
-               .filter(F.col(subject).isNotNull() & F.col(ts).isNotNull())
-               .groupBy(subject, ts)
-               .agg(*[combine[kind](n).alias(f"__{n}") for n, (kind, _) in measures.items()]))
+    known = F.col(subject).isNotNull() & F.col(ts).isNotNull()
+    held = {n: f"__m{i}" for i, n in enumerate(measures)}
+    others = [c for c in anchors.columns if c not in (subject, ts)]
+    # anchors without subject or time have no history; their hash keeps them out of one group
+    hashed = [f.name for f in anchors.schema if "map<" not in f.dataType.simpleString()]
+    marks = anchors.withColumns({"__own": F.lit(True), "__lone": F.when(~known, F.xxhash64(*hashed))})
+    tagged = None if events is None else events.filter(known).select(
+        subject, ts, *[c.alias(held[n]) for n, (_, c) in measures.items()], F.lit(False).alias("__own"))
+    types = {n: None if tagged is None else tagged.schema[held[n]].dataType for n in measures}
+    value = lambda n: F.when(known, own[n]) if own is not None else F.lit(None).cast(types[n])
+    rows = marks.withColumns({held[n]: value(n) for n in measures})
+    if tagged is not None:
+        rows = rows.unionByName(tagged, allowMissingColumns=True)
+
+    earlier = Window.partitionBy(subject, "__lone").orderBy(micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
+    placed = lambda df: df.select(subject, ts, "__own", *others, *[
+        combine[kind](held[n]).over(earlier).alias(f"__prior_{n}") for n, (kind, _) in measures.items()]).filter("__own")
+    final = [subject, ts, *others, *[F.col(f"__prior_{n}").alias(n) for n in measures]]
+    hot = rows.filter(known).groupBy(subject).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(subject)
+    if hot.isEmpty():
+        return placed(rows).select(*final)
+    cold, spread = rows.join(hot, subject, "left_anti"), rows.join(hot, subject, "left_semi")
+    moments = spread.filter(known).groupBy(subject, ts).agg(*[combine[kind](held[n]).alias(held[n]) for n, (kind, _) in measures.items()])
     before = with_prior(moments, [subject], [ts], time_buckets(ts, bucket_seconds),
-                        {n: (kind, f"__{n}") for n, (kind, _) in measures.items()})
-    return anchors.join(before.select(subject, ts, *measures), [subject, ts], "left")
+                        {f"__prior_{n}": (kind, held[n]) for n, (kind, _) in measures.items()})
+    far = spread.filter("__own").join(before.select(subject, ts, *[f"__prior_{n}" for n in measures]), [subject, ts], "left")
+    return placed(cold).select(*final).unionByName(far.select(*final))
 
 
 def recency(ts: Column, last: Column) -> Column:
@@ -52,24 +77,18 @@ def history_features(stays: DataFrame, ed: DataFrame, adm: DataFrame, flags: Seq
 
     ``ed``: every earlier-or-later visit (subject, stay, ts, text). ``adm``: every admission (subject,
     ts and 0/1 ``flags`` merged from codes and notes). Ties on time take the larger stay id."""
-    null_flags = [F.lit(None).cast("int").alias(f) for f in flags]
-    events = ed.select(
-        subject, ts, F.lit(0).alias("is_adm"), F.lit(1).alias("is_ed"),
-        F.struct(F.col(ts).alias("at"), F.col(stay).cast("bigint").alias("id"), F.col(text).alias("text")).alias("visit"),
-        *null_flags,
-    ).unionByName(adm.select(
-        subject, ts, F.lit(1).alias("is_adm"), F.lit(0).alias("is_ed"),
-        F.when(F.lit(False), F.struct(F.col(ts).alias("at"), F.lit(0).cast("bigint").alias("id"),
-                                      F.lit("").alias("text"))).alias("visit"),
-        *[F.col(f).cast("int").alias(f) for f in flags]))
-    measures: dict[str, tuple[str, Column]] = {
-        "n_prior_admissions": ("sum", F.col("is_adm").cast("bigint")),
-        "n_prior_ed_visits": ("sum", F.col("is_ed").cast("bigint")),
-        "__last_adm": ("max", F.when(F.col("is_adm") == 1, F.col(ts))),
-        "__last_visit": ("max", F.col("visit")),
-        **{f: ("max", F.col(f)) for f in flags},
-    }
-    out = prior_measures(stays.select(subject, stay, ts, text), events, subject, ts, measures, bucket_seconds)
+    visit = F.struct(F.col(ts).alias("at"), F.col(stay).cast("bigint").alias("id"), F.col(text).alias("text"))
+    measures = lambda is_adm, is_ed, last_adm, last_visit, flag: {
+        "n_prior_admissions": ("sum", F.lit(is_adm).cast("bigint")), "n_prior_ed_visits": ("sum", F.lit(is_ed).cast("bigint")),
+        "__last_adm": ("max", last_adm), "__last_visit": ("max", last_visit), **{f: ("max", flag(f)) for f in flags}}
+    of_visit = measures(0, 1, F.when(F.lit(False), F.col(ts)), visit, lambda f: F.lit(None).cast("int"))
+    of_adm = measures(1, 0, F.col(ts), F.lit(None).cast(ed.select(visit.alias("v")).schema["v"].dataType), lambda f: F.col(f).cast("int"))
+    named = lambda df, of: df.select(subject, ts, *[c.alias(n) for n, (_, c) in of.items()])
+    events, own = named(adm, of_adm), {n: c for n, (_, c) in of_visit.items()}
+    if ed is not stays:
+        events, own = named(ed, of_visit).unionByName(events), None
+    out = prior_measures(stays.select(subject, stay, ts, text), events, subject, ts,
+                         {n: (kind, F.col(n)) for n, (kind, _) in of_adm.items()}, bucket_seconds, own)
     return history_block(out, ts, text, flags).select(
         stay, *flags, "n_prior_admissions", "n_prior_ed_visits", "days_since_last_admission",
         "days_since_last_ed", "same_complaint_as_prior", "no_history")
@@ -78,7 +97,9 @@ def history_features(stays: DataFrame, ed: DataFrame, adm: DataFrame, flags: Seq
 def history_block(df: DataFrame, ts: str, text: str, flags: Sequence[str]) -> DataFrame:
     """Named history columns from the raw prior totals."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    now, then = token_set(F.col(text)), token_set(F.col("__last_visit.text"))
+    # columns of their own, so that each text is cut into words once
+    df = df.withColumns({"__now": token_set(F.col(text)), "__then": token_set(F.col("__last_visit.text"))})
+    now, then = F.col("__now"), F.col("__then")
     same = F.when((F.size(now) > 0) & (F.size(then) > 0), jaccard(now, then)).otherwise(F.lit(0.0))
     return df.withColumns({
         **{f: F.coalesce(F.col(f), F.lit(0)).cast("int") for f in flags},
@@ -88,7 +109,7 @@ def history_block(df: DataFrame, ts: str, text: str, flags: Sequence[str]) -> Da
         "days_since_last_ed": recency(F.col(ts), F.col("__last_visit.at")),
         "same_complaint_as_prior": F.bround(same, 4),
         "no_history": ((n("n_prior_admissions") == 0) & (n("n_prior_ed_visits") == 0)).cast("int"),
-    })
+    }).drop("__now", "__then")
 
 
 def prior_encounters(anchors: DataFrame, history: DataFrame, subject: str, ts: str) -> DataFrame:

@@ -67,16 +67,20 @@ def last_prior_payload(spark, sf):
 _TEXTS = """t AS (SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY l_linenumber, p_name) || ', ' || max(p_type) AS complaint FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
 
 
+def _orders(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").alias("intime"),
+        "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
 def _stays(spark, sf):
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_type").withColumnRenamed("p_partkey", "l_partkey")
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").join(p, "l_partkey")
-    text = lines.groupBy(F.col("l_orderkey").alias("stay_id")).agg(
+    # lists are not worth collecting before the lines of an order are together: few meet in one task, and each would be sorted twice
+    text = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("names"), F.max("p_type").alias("kind")).select(
         "stay_id", F.concat_ws(", ", F.col("names.p_name"), F.col("kind")).alias("complaint"))
-    o = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").alias("intime"),
-        "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return o.join(text, "stay_id", "left").withColumn("complaint_text_norm", normalize_text(F.col("complaint")))
+    return _orders(spark, sf).join(text, "stay_id", "left").withColumn("complaint_text_norm", normalize_text(F.col("complaint")))
 
 
 @query("history_block", f"""
@@ -94,7 +98,7 @@ SELECT id AS stay_id, CAST(pmh_big AS INTEGER) AS pmh_big, n_adm AS n_prior_admi
   CAST(CASE WHEN n_adm = 0 AND n_ed = 0 THEN 1 ELSE 0 END AS INTEGER) AS no_history FROM k""")
 def history_block(spark, sf):
     s = _stays(spark, sf)
-    adm = s.filter("o_orderstatus = 'F'").withColumn("pmh_big", (F.col("o_totalprice") > 450000).cast("int"))
+    adm = _orders(spark, sf).filter("o_orderstatus = 'F'").withColumn("pmh_big", (F.col("o_totalprice") > 450000).cast("int"))
     out = H.history_features(s, s, adm, ["pmh_big"])
     return rounded(out, "days_since_last_admission", "days_since_last_ed")
 

@@ -74,3 +74,38 @@ def test_index_round_trip(spark, tmp_path):
     H.save_history_index(index, str(tmp_path / "index"), order)
     back = H.load_history_index(spark, str(tmp_path / "index"), list(order))
     assert {k: v.count() for k, v in back.items()} == {k: 1 for k in order}
+
+
+def _visits(spark):
+    rows = [(i, (i % 4) or None, T0 + timedelta(hours=(i * 7) % 11) if i % 9 else None, i % 5) for i in range(60)]
+    return rows, spark.createDataFrame(rows, "stay_id bigint, subject_id bigint, intime timestamp, v int")
+
+
+def test_prior_measures_of_common_subjects_and_rows_without_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows, df = _visits(spark)
+    want = {i: (lambda vs: (sum(vs), max(vs)) if vs else (None, None))(
+        [v for _, s2, t2, v in rows if s is not None and t is not None and s2 == s and t2 is not None and t2 < t]) for i, s, t, _ in rows}
+    measures = {"total": ("sum", F.col("v").cast("bigint")), "top": ("max", F.col("v"))}
+    copy = df.select("subject_id", "intime", "v")
+    for hot in (1 << 17, 14, 1):
+        monkeypatch.setattr(H, "HOT", hot)
+        for events in (df, copy):
+            out = H.prior_measures(df, events, "subject_id", "intime", measures)
+            assert out.columns == ["subject_id", "intime", "stay_id", "v", "total", "top"]
+            assert {r.stay_id: (r.total, r.top) for r in out.collect()} == want
+
+
+def test_visits_that_are_encounters_are_shuffled_once(spark):
+    from pyspark.sql import functions as F
+    _, df = _visits(spark)
+    out = H.prior_measures(df, df, "subject_id", "intime", {"n": ("sum", F.lit(1).cast("bigint"))})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_history_of_stays_that_are_the_visits_themselves(spark):
+    visits = spark.createDataFrame([(i, i % 3, T0 + timedelta(hours=(i * 5) % 7), f"pain {'ab' * (i % 4)} x") for i in range(30)], STAY)
+    adm = spark.createDataFrame([(i % 3, T0 + timedelta(hours=i), i % 2, 1) for i in range(6)], ADM)
+    rows = lambda ed: sorted(H.history_features(visits, ed, adm, ["pmh_a", "pmh_b"]).collect())
+    assert rows(visits) == rows(visits.select("*"))

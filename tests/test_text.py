@@ -92,3 +92,23 @@ def test_jaccard_and_prf(spark):
     p = text.token_prf(arr(), arr())
     row = spark.range(1).select(text.jaccard(arr("a", "b"), arr("b", "c")).alias("j"), p["f1"].alias("f"), text.token_prf(arr("a"), arr())["f1"].alias("g")).first()
     assert (row.j, row.f, row.g) == (1 / 3, 1.0, 0.0)
+
+
+def test_words_and_overlap_keep_their_rules(spark):
+    from cohortloom.functions import text
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("Ab abc, ab1cde  ABC x", "abc zz"), ("", None), ("cp w/ SOB - a", "chest pain")], "a string, b string")
+    a, b = text.token_set(F.col("a")), text.token_set(F.col("b"))
+    got = df.select(a.alias("t"), text.token_set(F.col("a"), 1).alias("one"), text.jaccard(a, b).alias("j"), text.normalize_text(F.col("a")).alias("n")).collect()
+    assert [r.t for r in got] == [["abc", "cde"], [], ["sob"]]
+    assert got[0].one == ["ab", "abc", "cde", "x"]
+    assert [r.j for r in got] == [0.5, 0.0, 0.0]
+    assert [r.n for r in got] == ["ab abc ab1cde abc", "", "chest pain shortness of breath"]
+
+
+def test_normalize_looks_up_only_known_words(spark):
+    """The map is searched entry by entry, so words must pass the hashed key list first."""
+    from cohortloom.functions import text
+    from pyspark.sql import functions as F
+    plan = spark.range(1).select(text.normalize_text(F.col("id").cast("string")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper()

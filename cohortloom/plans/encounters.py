@@ -12,7 +12,7 @@ from ..operators import clean as C
 from ..operators import history as H
 from ..operators import joins as J
 from ..operators import readings as G
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, durable
 from .cohort import sql_normalize
 from .registry import ORACLE, R, query, r6, rounded, table
 
@@ -73,14 +73,18 @@ def _orders(spark, sf):
         "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
-def _stays(spark, sf):
+def _stays(spark, sf, orders=None):
+    """Visits with their texts; of ``orders`` alone where given, so that only their lines are made into texts."""
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_type").withColumnRenamed("p_partkey", "l_partkey")
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber").join(p, "l_partkey")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    if orders is not None:
+        lines = lines.join(orders.select(F.col("stay_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = lines.join(p, "l_partkey")
     # lists are not worth collecting before the lines of an order are together: few meet in one task, and each would be sorted twice
     text = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("names"), F.max("p_type").alias("kind")).select(
         "stay_id", F.concat_ws(", ", F.col("names.p_name"), F.col("kind")).alias("complaint"))
-    return _orders(spark, sf).join(text, "stay_id", "left").withColumn("complaint_text_norm", normalize_text(F.col("complaint")))
+    return (_orders(spark, sf) if orders is None else orders).join(text, "stay_id", "left").withColumn("complaint_text_norm", normalize_text(F.col("complaint")))
 
 
 @query("history_block", f"""
@@ -164,12 +168,15 @@ def history_index(spark, sf):
 @query("history_lookup", f"SELECT * FROM ({ORACLE['history_block']}) WHERE stay_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')")
 def history_lookup(spark, sf):
     """The history index of a list of subjects is stored and loaded; their visits are looked up in it alone."""
-    s = _stays(spark, sf).withColumn("hadm_id", F.col("stay_id"))
-    adm = s.filter("o_orderstatus = 'F'").select("subject_id", "hadm_id", "intime")
-    flags = s.filter("o_orderstatus = 'F'").select("hadm_id", (F.col("o_totalprice") > 450000).cast("int").alias("pmh_big"))
-    meds = table(spark, sf, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(F.count("*").alias("n_medications"))
     subjects = table(spark, sf, "customer", "c_custkey", "c_mktsegment").filter("c_mktsegment = 'BUILDING'") \
         .select(F.col("c_custkey").alias("subject_id"))
+    o = _orders(spark, sf)
+    # range bounds are sampled from what is stored, so the texts are made once and not for the sample again
+    s = durable(_stays(spark, sf, o.join(subjects, "subject_id", "left_semi")).withColumn("hadm_id", F.col("stay_id")))
+    admitted = o.filter("o_orderstatus = 'F'").withColumn("hadm_id", F.col("stay_id"))
+    adm = admitted.select("subject_id", "hadm_id", "intime")
+    flags = admitted.select("hadm_id", (F.col("o_totalprice") > 450000).cast("int").alias("pmh_big"))
+    meds = table(spark, sf, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(F.count("*").alias("n_medications"))
     path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
     H.save_history_index(H.build_history_index(s, adm, flags.limit(0), flags, meds, subjects), path, {
         "ed_visits": ["subject_id", "intime"], "admissions": ["subject_id", "intime"], "icd_flags": ["hadm_id"],

@@ -109,3 +109,13 @@ def test_history_of_stays_that_are_the_visits_themselves(spark):
     adm = spark.createDataFrame([(i % 3, T0 + timedelta(hours=i), i % 2, 1) for i in range(6)], ADM)
     rows = lambda ed: sorted(H.history_features(visits, ed, adm, ["pmh_a", "pmh_b"]).collect())
     assert rows(visits) == rows(visits.select("*"))
+
+
+def test_texts_are_made_for_the_wanted_orders_alone(spark):
+    from cohortloom.plans import encounters as E
+    sf = "/root/testdata/sf0.001"
+    some = E._orders(spark, sf).where("stay_id % 5 = 0")
+    rows = lambda df: sorted(map(str, df.collect()))
+    got = E._stays(spark, sf, some)
+    assert rows(got) == rows(E._stays(spark, sf).where("stay_id % 5 = 0"))
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()

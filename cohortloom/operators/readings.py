@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import ABNORMAL, CLIP_RANGES, VITALS
 from ..functions.text import RHYTHM_BUCKETS, bucket_rhythm
+from ..session import durable
 from .clean import clip_range, coerce_numeric
 from .joins import within_window
 from .prefix import number_rows, time_buckets
@@ -68,9 +69,12 @@ def longitudinal_features(readings: DataFrame, stays: DataFrame, key: str = "sta
                           vitals: Sequence[str] = VITALS, abnormal: Mapping[str, tuple[str, str, float]] = ABNORMAL,
                           tie: str | None = None) -> DataFrame:
     """Complete window block per stay that has readings: vital statistics, abnormal counts, rhythm
-    one-hot, irregular flag. ``readings`` holds the raw rows, ``stays`` one row per stay."""
+    one-hot, irregular flag. ``readings`` holds the raw rows, ``stays`` one row per stay.
+
+    The rows inside the windows are stored: all readings are read and shuffled once, not once per block, and the filter of
+    the modal bucket is not moved to the scan, where it would put every reading of the table into a bucket."""
     order = [ts] if tie is None else [ts, tie]
-    inside = within_window(readings, stays.select(key, anchor_ts), key, ts, anchor_ts, hours)
+    inside = durable(within_window(readings, stays.select(key, anchor_ts), key, ts, anchor_ts, hours))
     clean = clip_range(coerce_numeric(inside, vitals), {v: CLIP_RANGES[v] for v in vitals if v in CLIP_RANGES}) \
         .withColumn("__bucket", bucket_rhythm(F.col(rhythm)))
     stats = series_stats(clean, [key], order, vitals)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
-from ..functions.text import bucket_rhythm, normalize_text
+from ..functions.text import bucket_rhythm, join_normalized, normalize_text
 from ..operators import clean as C
 from ..operators import history as H
 from ..operators import joins as J
@@ -74,17 +74,23 @@ def _orders(spark, sf):
 
 
 def _stays(spark, sf, orders=None):
-    """Visits with their texts; of ``orders`` alone where given, so that only their lines are made into texts."""
+    """Orders, all or the given ones, with the normalised text of their parts' names and kind."""
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_type").withColumnRenamed("p_partkey", "l_partkey")
+    # names are normalised once per part, not in every order that holds them; where that changes nothing no second text is shuffled
+    p = p.withColumns({f"{c}_norm": normalize_text(F.col(c)) for c in ("p_name", "p_type")}).withColumns(
+        {f"{c}_norm": F.when(F.col(f"{c}_norm") != F.col(c), F.col(f"{c}_norm")) for c in ("p_name", "p_type")})
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     if orders is not None:
         lines = lines.join(orders.select(F.col("stay_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     lines = lines.join(p, "l_partkey")
     # lists are not worth collecting before the lines of an order are together: few meet in one task, and each would be sorted twice
     text = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("stay_id")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("names"), F.max("p_type").alias("kind")).select(
-        "stay_id", F.concat_ws(", ", F.col("names.p_name"), F.col("kind")).alias("complaint"))
-    return (_orders(spark, sf) if orders is None else orders).join(text, "stay_id", "left").withColumn("complaint_text_norm", normalize_text(F.col("complaint")))
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name", "p_name_norm"))).alias("names"),
+        F.max(F.struct("p_type", "p_type_norm")).alias("kind")).select("stay_id", join_normalized(F.concat(
+            F.transform("names", lambda x: F.coalesce(x["p_name_norm"], x["p_name"])),
+            F.array(F.coalesce("kind.p_type_norm", "kind.p_type")))).alias("complaint_text_norm"))
+    return (_orders(spark, sf) if orders is None else orders).join(text, "stay_id", "left") \
+        .withColumn("complaint_text_norm", F.coalesce("complaint_text_norm", F.lit("")))
 
 
 @query("history_block", f"""

@@ -116,3 +116,14 @@ def test_label_index_gathers_no_labels(spark):
     assert out.count() == 5001 and dict(out.dtypes)["label_idx"] == "int"
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_window_block_reads_the_readings_once(spark, tmp_path):
+    t = datetime(2150, 1, 1)
+    rows = [(1, t + timedelta(minutes=5 * i), 60.0 + i, "AF" if i % 2 else "NSR") for i in range(9)]
+    spark.createDataFrame(rows, "stay_id bigint, charttime timestamp, heartrate double, rhythm string").write.parquet(f"{tmp_path}/readings")
+    stays = spark.createDataFrame([(1, t + timedelta(minutes=10))], "stay_id bigint, intime timestamp")
+    out = G.longitudinal_features(spark.read.parquet(f"{tmp_path}/readings"), stays, vitals=["heartrate"], abnormal={}, hours=0.25)
+    assert f"{tmp_path}/readings" not in out._jdf.queryExecution().toString()
+    (r,) = out.collect()
+    assert (r.heartrate_min, r.heartrate_max, r.heartrate_last, r.rhythm_irregular, r.rhythm_sinus) == (62.0, 65.0, 65.0, 1, 1)

@@ -19,6 +19,14 @@ def test_normalize(spark):
     assert got == ["shortness of breath", "abdominal pain motor vehicle collision", "", "", "chest pain"]
 
 
+def test_parts_normalised_apart_join_to_the_normalised_whole(spark):
+    rows = [["SOB", "n/v s/p MVC"], ["Abd pain -", "", " a ", "HTN"], ["ΟΔΟΣ", "Ärm (L)"], ["x"], [], [None, "cp; DM", None]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, p array<string>")
+    apart = text.join_normalized(F.transform("p", lambda p: text.normalize_text(p)))
+    for r in df.select(apart.alias("apart"), text.normalize_text(F.array_join("p", ", ")).alias("whole")).collect():
+        assert r.apart == r.whole
+
+
 def test_rewrite_longest_first(spark):
     table = {"headache": "X", "bad headache": "headache", "can't breathe": "dyspnea", "in": "IN", "sis": "SIS"}
     rows = ["Bad Headache and I can’t breathe", "headaches", "in In inn", "", None, "été in", "éin in"]

@@ -6,8 +6,11 @@ it by its stored size and otherwise shuffles with adaptive skew splitting."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,13 +247,45 @@ def simplex(terms: Sequence[str], step: int = 10) -> list[dict[str, float]]:
 _POSITION = {"text": "text_pos", "vit": "vit_pos", "hist": "hist_pos", "prev": "prev_pos"}
 
 
+#: Candidates whose scores are held at once for all points of a grid.
+_SCORED = 1 << 12
+
+
+def _hits(weights: np.ndarray, names: Sequence[str], k: int):
+    """Per batch of questions and point, how many questions have fewer than ``k`` better candidates. ``gaps`` lists for each
+    candidate by how much its terms exceed the true code's, and whether it goes first on a tie. An unknown term is never
+    better."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps = batch.column(0)
+            sizes = pc.fill_null(pc.list_value_length(gaps), 0).to_numpy()
+            question = np.repeat(np.arange(len(sizes)), sizes)
+            flat = gaps.flatten()
+            column = dict(zip((f.name for f in flat.type), flat.flatten()))
+            known = np.ones(len(flat), bool)
+            for t in [*names, "first"]:
+                known &= column[t].is_valid().to_numpy(zero_copy_only=False)
+            gap = np.stack([pc.fill_null(column[t], 0).to_numpy() for t in names], axis=1)
+            first = pc.fill_null(column["first"], 0).to_numpy()
+            better = np.zeros((len(sizes), len(weights)), np.int32)
+            for lo in range(0, len(flat), _SCORED):
+                part = slice(lo, lo + _SCORED)
+                lead = (gap[part] @ weights.T * 2 + first[part, None] > 0) & known[part, None]
+                asked = question[part]
+                starts = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]]))
+                better[asked[starts]] += np.add.reduceat(lead, starts, axis=0, dtype=np.int32)
+            yield pa.record_batch([pa.array(np.arange(len(weights), dtype=np.int32)),
+                                   pa.array((better < k).sum(axis=0, dtype=np.int64))], names=["point", "hits"])
+    return run
+
+
 def tune(terms: DataFrame, truth: DataFrame, grid: Sequence[Mapping[str, float]], key: str, code: str,
          k: int = 5, rows: DataFrame | None = None) -> DataFrame:
     """Top-``k`` hit rate per weight vector: ``(point, <weights>, hits, n, rate)``.
 
     A code's rank is one plus the number of better candidates. The candidates of a question (the codes of its category,
     as in ``minmax_within``) meet once, and all points are counted on them; only hits per point are shuffled then. A
-    question whose true code is no candidate counts as a miss."""
+    question whose true code is no candidate counts as a miss. A task sends one row per point and batch."""
     names = list(grid[0])
     want = truth.select(key, F.col(code).alias("__true"))
     n_rows = (rows if rows is not None else truth).select(key).distinct().agg(F.count("*")).scalar()
@@ -261,19 +296,8 @@ def tune(terms: DataFrame, truth: DataFrame, grid: Sequence[Mapping[str, float]]
         F.collect_list(entry).alias("cands"), F.max(F.when(F.col(code) == F.col("__true"), entry)).alias("own")) \
         .filter(F.col("own").isNotNull()).withColumn("gaps", F.transform("cands", lambda c: F.struct(
             *[(c[t] - F.col(f"own.{t}")).alias(t) for t in names], (c["code"] < F.col("own.code")).cast("bigint").alias("first"))))
-    points = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(round(float(w[t]) * 10 ** 6)).cast("bigint").alias(t) for t in names])
-                       for i, w in enumerate(grid)])
-
-    def hit(w: Column) -> Column:
-        def better(gap: Column) -> Column:
-            lead = gap["first"]
-            for t in names:
-                lead = lead + w[t] * gap[t] * 2
-            return lead > 0
-        return F.size(F.filter("gaps", better)) < k
-
-    hits = asked.select(F.explode(F.transform(F.filter(points, hit), lambda w: w["point"])).alias("point")) \
-        .groupBy("point").agg(F.count("*").alias("hits"))
+    weights = np.asarray([[round(float(w[t]) * 10 ** 6) for t in names] for w in grid], np.int64).reshape(-1, len(names))
+    hits = asked.select("gaps").mapInArrow(_hits(weights, names, k), "point int, hits long").groupBy("point").agg(F.sum("hits").alias("hits"))
     listing = terms.sparkSession.createDataFrame(
         [(i, *[float(w[t]) for t in names]) for i, w in enumerate(grid)],
         "point int, " + ", ".join(f"{t} double" for t in names))

@@ -1,5 +1,9 @@
 """Retrieval invariants, splits, audits, sources and heads on small frames."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -60,6 +64,19 @@ def test_tune_counts_absent_code_as_miss(spark):
     assert T.best_point(out, "rate").first().point == 1
 
 
+def test_grid_hits_of_a_batch_equal_a_plain_count(monkeypatch):
+    monkeypatch.setattr(T, "_SCORED", 7)  # questions reach over several portions
+    rng = random.Random(5)
+    value = lambda: rng.choice([None, *range(-3, 4), 10 ** 9, -10 ** 9])
+    lists = [[{"text": value(), "prev": value(), "first": rng.choice([0, 1, None])} for _ in range(rng.choice([0, 1, 5, 20]))] for _ in range(40)]
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("text", "prev", "first")]))
+    weights = np.asarray([[0, 10 ** 6], [300000, 700000], [10 ** 6, 0]])
+    out = list(T._hits(weights, ["text", "prev"], 3)([pa.record_batch([pa.array(lists, kind)], names=["gaps"])]))
+    better = lambda g, w: None not in g.values() and 2 * (w[0] * g["text"] + w[1] * g["prev"]) + g["first"] > 0
+    assert [b.to_pydict() for b in out] == [{"point": [0, 1, 2], "hits": [
+        sum(sum(better(g, w) for g in gaps) < 3 for gaps in lists) for w in weights.tolist()]}]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from("aabc"), min_size=1, max_size=60), st.sampled_from([0.1, 0.2, 0.5]))
 def test_split_quota_is_exact(spark, labels, frac):

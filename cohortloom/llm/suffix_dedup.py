@@ -1,7 +1,9 @@
 """Removal of byte strings that occur earlier, by two-stage suffix sorting of neighbourhoods.
 
-Every ``length``-byte string contains the smallest-hashed seed (``SEED`` bytes) among its seeds; equal strings share it
-at the same place. So neighbourhoods of such anchors, wide enough for all strings around them, hold every repeat:
+Every ``length``-byte string contains the first seed (``SEED`` bytes) among its seeds, by an order of their bytes alone (by
+hash, those that a sample shows to be common last); equal strings share it at the same place. So neighbourhoods of such
+anchors, just as wide as the strings they are the first seed of, hold every repeat. As rare seeds come first, those of a
+common passage end where the passage does, and are equal in most places:
 
 1. Anchors with the hash of their whole neighbourhood meet by seed. Of equal neighbourhoods all but the earliest are
    repeats from end to end. Seeds with one neighbourhood are done.
@@ -38,10 +40,13 @@ HELD = 1 << 18
 #: One row in so many is looked at for common seeds, and those found so often there, the most common first, are dealt by
 #: neighbourhood. This only places rows; results do not depend on it.
 SAMPLE, OFTEN, COMMON = 32, 32, 4096
+#: The same of the seeds at all places, which only order the seeds: in one row in so many, so often, and so many of them.
+FEW, SEEN, DEMOTED = 64, 4, 1 << 17
 M = np.uint64(0x9E3779B97F4A7C15)
 M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 VALUES = np.random.default_rng(11).integers(1, 1 << 62, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOUND = "kind int, h long, c long, doc long, tie long, pos int, stop int"
+JUDGED = FOUND + ", start int"
 CONTEXTS = "key long, doc long, tie long, start int, seed int, context binary"
 WINDOWED = CONTEXTS + ", part int"
 STRINGS = "one long, two long, doc long, tie long, pos int"
@@ -76,15 +81,33 @@ def substring_hash(text: np.ndarray, start: np.ndarray, stop: np.ndarray, family
     return _mix((total[stop] - total[start]) * _Powers.down[start] + (stop - start).astype(np.uint64))
 
 
-def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and seed hashes of the anchors of all ``length``-byte strings; ties are all taken."""
-    window = length - SEED + 1
-    if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def seed_hashes(text: np.ndarray) -> np.ndarray:
+    """Hash of the ``SEED`` bytes from each position on."""
     h, m = text.astype(np.uint64) + np.uint64(1), int(M)
     for step in (1, 2, 4, 8, 16):
         h = _mix(h[:-step] * np.uint64(m) + h[step:])
         m = (m * m + 2) % (1 << 64)
+    return h
+
+
+def demotion(often: np.ndarray) -> np.ndarray | None:
+    """Whether seeds with these first 20 bits of their hash come last, for the hashes that occur ``often``."""
+    if not len(often):
+        return None
+    last = np.zeros(1 << 20, np.uint64)
+    last[often.view(np.uint64) >> np.uint64(44)] = np.uint64(1 << 63)
+    return last
+
+
+def anchors(text: np.ndarray, length: int, last: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Positions and seed hashes of the anchors of all ``length``-byte strings, ties are all taken, and the first and last
+    start of the strings of each. The order of the seeds is their bytes' alone, so that equal strings have equal anchors;
+    those that ``last`` marks follow all others."""
+    window = length - SEED + 1
+    if len(text) < length:
+        return (np.zeros(0, np.int64),) * 4
+    h = seed_hashes(text)
+    rank = h if last is None else (h >> np.uint64(1)) | last[h >> np.uint64(44)]
 
     def slide(x: np.ndarray, best) -> np.ndarray:
         width = 1
@@ -92,22 +115,33 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
             x, width = best(x[:-width], x[width:]), 2 * width
         return best(x[:len(x) - (window - width)], x[window - width:]) if width < window else x
 
-    least = slide(h, np.minimum)
+    least = slide(rank, np.minimum)
     edge = np.zeros(window - 1, np.uint64)
-    at = np.flatnonzero(slide(np.concatenate([edge, least, edge]), np.maximum) == h)
-    return at, h[at].view(np.int64)
+    at = np.flatnonzero(slide(np.concatenate([edge, least, edge]), np.maximum) == rank)
+    # of the strings that hold an anchor whole, those it is the least seed of start in one run of equal least seeds
+    runs = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(runs[1:], len(least)) - 1
+    begin, own = np.maximum(at - window + 1, 0), rank[at]
+    run = np.searchsorted(runs, begin, side="right") - 1
+    while len(off := np.flatnonzero(least[runs[run]] != own)):
+        run[off] += 1
+    return at, h[at].view(np.int64), np.maximum(begin, runs[run]), np.minimum(at, ends[run])
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-def _seeds(length: int):
+def _seeds(length: int, often: np.ndarray | None):
+    """Hashes of the anchors, or with no ``often`` of all seeds, and how often a batch holds each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None if often is None else demotion(often)
         for batch in batches:
-            found = [anchors(_bytes(text.as_py()), length)[1] for text in batch.column(0)]
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(found))], names=["h"])
+            texts = [raw for raw in map(_bytes, batch.column(0).to_pylist()) if len(raw) >= length]
+            if texts:
+                h, n = np.unique(np.concatenate([
+                    seed_hashes(raw).view(np.int64) if often is None else anchors(raw, length, last)[1] for raw in texts]), return_counts=True)
+                yield pa.record_batch([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
     return run
 
 
@@ -117,28 +151,33 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def common_seeds(rows: DataFrame, length: int) -> np.ndarray:
-    """Seed hashes that a sample of ``rows`` (doc, tie, text) holds most often, in order."""
-    sample = rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(_seeds(length), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.sort(np.asarray([r.h for r in found], np.int64))
+def common_seeds(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the seeds that samples of ``rows`` (doc, tie, text) hold most often, in order: of seeds at all places, and
+    of anchors once the former come last."""
+    def most(share: int, times: int, number: int, often: np.ndarray | None) -> np.ndarray:
+        sample = rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(share)) == 0).select("text")
+        counts = sample.mapInArrow(_seeds(length, often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        found = counts.where(F.col("n") >= times).orderBy(F.desc("n"), "h").limit(number).collect()
+        return np.sort(np.asarray([r.h for r in found], np.int64))
 
+    often = most(FEW, SEEN, DEMOTED, None)
+    return often, most(SAMPLE, OFTEN, COMMON, often)
 
-def _find(length: int, common: np.ndarray):
-    """Kinds: 0 an anchor, 1 a span, 3 an anchor of a common seed."""
-    reach = length - SEED
+
+def _find(length: int, often: np.ndarray, common: np.ndarray):
+    """Kinds: 0 an anchor, 1 a span, 3 an anchor of a common seed, plus four times the bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FOUND.split(", ")]
+        last = demotion(often)
         for batch in batches:
             parts: list[np.ndarray] = []
             for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = _bytes(text.as_py())
-                at, h = anchors(raw, length)
+                at, h, a, b = anchors(raw, length, last)
                 if not len(at):
                     continue
-                a, b = np.maximum(at - reach, 0), np.minimum(at + SEED + reach, len(raw))
+                b = b + length
                 c = substring_hash(raw, a, b) ^ _mix((at - a).astype(np.uint64) + np.uint64(1 << 40))
                 n = len(at)
                 parts.append(np.stack([h, c.view(np.int64), np.full(n, doc), np.full(n, tie), at, a, b]))
@@ -154,15 +193,15 @@ def _find(length: int, common: np.ndarray):
             drop = np.zeros(len(order), bool)
             drop[one] = True  # a repeated row
             sent = ~again
-            spans = again & ~drop & (b - a >= length)
+            spans = again & ~drop
             rows = np.flatnonzero(sent | spans)
             kind = np.where(sent[rows], np.where(_among(h[rows], common), 3, 0), 1).astype(np.int32)
             # spans need no seed: any key deals them out
             key = np.where(kind != 1, h[rows], (doc[rows] * 31 + at[rows]))
+            pos = np.where(kind != 1, at[rows], a[rows])
             yield pa.record_batch([
-                pa.array(kind), pa.array(key), pa.array(c[rows]), pa.array(doc[rows]), pa.array(tie[rows]),
-                pa.array(np.where(kind != 1, at[rows], a[rows]).astype(np.int32)), pa.array(b[rows].astype(np.int32))],
-                names=names)
+                pa.array((kind + 4 * (pos - a[rows])).astype(np.int32)), pa.array(key), pa.array(c[rows]), pa.array(doc[rows]),
+                pa.array(tie[rows]), pa.array(pos.astype(np.int32)), pa.array(b[rows].astype(np.int32))], names=names)
     return run
 
 
@@ -171,16 +210,15 @@ def _judge(length: int, chunk_contexts: int, most: int):
 
     ``most`` rows are looked at together. Of a seed that reaches beyond them only the earliest of each neighbourhood are
     held, and as soon as these are more than a chunk they go on and none is held."""
-    reach = length - SEED
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in FOUND.split(", ")]
+        names = [f.split()[0] for f in JUDGED.split(", ")]
         held: list[pa.RecordBatch] = []
         told = False  # the first row held and its seed's earlier ones have gone on
 
         def flush(t: pa.Table, open_end: bool) -> tuple[pa.RecordBatch, pa.Table, bool]:
             """What goes on, what of the last seed is held if it may have more rows, and whether that has gone on."""
             kind, h, c, doc, tie, pos, stop = (col.to_numpy() for col in t.columns)
+            kind, start = kind & 3, pos - (kind >> 2)
             n = len(h)
             anchor = kind != 1
             same_h, same_c = np.zeros(n, bool), np.zeros(n, bool)
@@ -189,7 +227,6 @@ def _judge(length: int, chunk_contexts: int, most: int):
             first = anchor & ~same_c
             at = np.maximum.accumulate(np.where(first, np.arange(n), 0))
             own = (doc == doc[at]) & (tie == tie[at]) & (pos == pos[at])
-            start = np.where(anchor, np.maximum(pos - reach, 0), pos)
             span = ~anchor | same_c & ~own & (stop - start >= length)
             group = np.cumsum(~same_h) - 1
             different = np.bincount(group[first], minlength=int(group[-1]) + 1)
@@ -210,8 +247,8 @@ def _judge(length: int, chunk_contexts: int, most: int):
             return pa.record_batch([
                 pa.array(out), pa.array(h[rows]), pa.array(np.where(out == 2, different[group[rows]], 0)),
                 pa.array(doc[rows]), pa.array(tie[rows]),
-                pa.array(np.where(out == 2, pos[rows], start[rows]).astype(np.int32)), pa.array(stop[rows])],
-                names=names), keep, gone
+                pa.array(np.where(out == 2, pos[rows], start[rows]).astype(np.int32)), pa.array(stop[rows]),
+                pa.array(start[rows].astype(np.int32))], names=names), keep, gone
 
         size = 0
         for batch in batches:
@@ -250,20 +287,17 @@ def window_keys(contexts: Sequence[bytes], seed: np.ndarray, reach: int) -> np.n
     return out
 
 
-def _fetch(length: int, chunk_contexts: int):
+def _fetch(chunk_contexts: int):
     """Neighbourhoods keyed by their seed; those of seeds beyond a chunk have no key."""
-    reach = length - SEED
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in CONTEXTS.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
-            for doc, tie, packed, hs, ns, ps in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, tie, packed, found in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = zlib.decompress(packed)
-                for h, n, at in zip(hs, ns, ps):
-                    a, b = max(0, at - reach), min(len(raw), at + SEED + reach)
-                    if b - a >= length:
-                        rows.append((h if n <= chunk_contexts else None, doc, tie, a, at - a, raw[a:b]))
+                for one in found:
+                    a, at = one["start"], one["pos"]
+                    rows.append((one["h"] if one["c"] <= chunk_contexts else None, doc, tie, a, at - a, raw[a:one["stop"]]))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -562,16 +596,17 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     unique = rows.groupBy("doc").count().where("count > 1").isEmpty()
     rows = rows.select("doc", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("tie"), "text")
     chunk_contexts = CHUNK // (2 * length - SEED + 8) // 2
-    found = (rows.mapInArrow(_find(length, common_seeds(rows, length)), FOUND)
-             .repartition(n, "h", F.when(F.col("kind") == 3, F.col("c")))
-             .sortWithinPartitions("kind", "h", "c", "doc", "tie", "pos")
-             .mapInArrow(_judge(length, chunk_contexts, HELD), FOUND))
+    kind = F.col("kind").bitwiseAND(3)
+    found = (rows.mapInArrow(_find(length, *common_seeds(rows, length)), FOUND)
+             .repartition(n, "h", F.when(kind == 3, F.col("c")))
+             .sortWithinPartitions(kind, "h", "c", "doc", "tie", "pos")
+             .mapInArrow(_judge(length, chunk_contexts, HELD), JUDGED))
     found = durable(found)
     wanted = (found.where("kind = 2").groupBy("doc", "tie")
-              .agg(F.collect_list("h").alias("hs"), F.collect_list("c").alias("ns"), F.collect_list("pos").alias("ps")))
+              .agg(F.collect_list(F.struct("h", "c", "pos", "start", "stop")).alias("found")))
     packed = rows.mapInArrow(_pack, "doc long, tie long, packed binary")
     once = packed if unique else packed.dropDuplicates(["doc", "tie"])
-    contexts = once.join(wanted, ["doc", "tie"]).mapInArrow(_fetch(length, chunk_contexts), CONTEXTS)
+    contexts = once.join(wanted, ["doc", "tie"]).mapInArrow(_fetch(chunk_contexts), CONTEXTS)
     later = None
     if not found.where((F.col("kind") == 2) & (F.col("c") > chunk_contexts)).isEmpty():
         contexts = durable(contexts)

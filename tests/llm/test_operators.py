@@ -396,6 +396,39 @@ def test_no_hot_group_is_held(spark, monkeypatch):
         assert got == want and sum(w[1] for w in want.values()) > 0
 
 
+def test_neighbourhoods_hold_the_strings_of_their_anchor_alone():
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 99, 700).astype(np.uint8)
+    text[300:500] = text[:200]
+    h = suffix_dedup.seed_hashes(text)
+    for last in (None, suffix_dedup.demotion(h[:150].view(np.int64))):
+        rank = h if last is None else (h >> np.uint64(1)) | last[h >> np.uint64(44)]
+        want = {}
+        for start in range(len(text) - 70 + 1):
+            inside = rank[start:start + 39]
+            for p in start + np.flatnonzero(inside == inside.min()):
+                want.setdefault(int(p), []).append(start)
+        got = list(zip(*(x.tolist() for x in suffix_dedup.anchors(text, 70, last))))
+        assert [(p, a, b) for p, _, a, b in got] == [(p, s[0], s[-1]) for p, s in sorted(want.items())]
+        assert all(s == list(range(s[0], s[-1] + 1)) for s in want.values())
+
+
+def test_neighbourhoods_of_a_common_line_are_equal_where_it_ends(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    line = letters(150)
+    rows = [(i, letters(90) + line + letters(90)) for i in range(80)]
+    sorted_rows, real = [], suffix_dedup.durable
+    monkeypatch.setattr(suffix_dedup, "FEW", 1)
+    monkeypatch.setattr(suffix_dedup, "SEEN", 40)
+    monkeypatch.setattr(suffix_dedup, "durable", lambda df: (out := real(df), "kind" in df.columns and sorted_rows.append(
+        out.where("kind = 2").count()))[0])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeats(rows) and sum(w[1] for w in got.values()) >= 79 * 150
+    assert sorted_rows[0] < 2 * 80, "differing neighbourhoods of the line's seeds"
+
+
 def test_seeds_are_judged_in_a_stream():
     import pyarrow as pa
 

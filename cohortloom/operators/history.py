@@ -20,6 +20,8 @@ from .prefix import time_buckets, with_prior
 _BUCKET = 300
 #: Rows of one subject that one task orders as a whole; results do not depend on it.
 HOT = 1 << 17
+#: Buckets that rows are counted by before subjects are.
+_CROWDS = 1 << 16
 
 
 def prior_measures(anchors: DataFrame, events: DataFrame | None, subject: str, ts: str,
@@ -30,7 +32,8 @@ def prior_measures(anchors: DataFrame, events: DataFrame | None, subject: str, t
     ``subject`` and ``ts``.
 
     ``own`` gives the measures of the anchors themselves, where these are events too; ``events`` then holds the others. With
-    the same frame on both sides this is done at once. Rows are counted per subject before the plan is made."""
+    the same frame on both sides this is done at once. Rows are counted per bucket of subjects, and per subject if need be,
+    before the plan is made."""
     if own is None and events is anchors:
         own, events = {n: c for n, (_, c) in measures.items()}, None
     combine = {"sum": F.sum, "max": F.max}
@@ -52,8 +55,10 @@ def prior_measures(anchors: DataFrame, events: DataFrame | None, subject: str, t
     placed = lambda df: df.select(subject, ts, "__own", *others, *[
         combine[kind](held[n]).over(earlier).alias(f"__prior_{n}") for n, (kind, _) in measures.items()]).filter("__own")
     final = [subject, ts, *others, *[F.col(f"__prior_{n}").alias(n) for n in measures]]
-    hot = rows.filter(known).groupBy(subject).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select(subject)
-    if hot.isEmpty():
+    crowded = lambda *by: rows.filter(known).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    # a bucket has at least the rows of each of its subjects, so subjects are counted only where a bucket has that many
+    hot = crowded(subject).select(subject)
+    if crowded(F.pmod(F.xxhash64(subject), F.lit(_CROWDS)).alias("crowd")).isEmpty() or hot.isEmpty():
         return placed(rows).select(*final)
     cold, spread = rows.join(hot, subject, "left_anti"), rows.join(hot, subject, "left_semi")
     moments = spread.filter(known).groupBy(subject, ts).agg(*[combine[kind](held[n]).alias(held[n]) for n, (kind, _) in measures.items()])

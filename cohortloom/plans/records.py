@@ -319,6 +319,13 @@ def case_files(spark, sf):
 # --- model heads -------------------------------------------------------------------------------------
 
 
+def _with_history(parted):
+    """Number of earlier visits instead of subject and time; the visits are the history too, so each is moved once."""
+    one = F.lit(1).cast("bigint")
+    return H.prior_measures(parted, None, "o_custkey", "o_orderdate", {"n_prior": ("sum", one)}, own={"n_prior": one}) \
+        .drop("o_custkey", "o_orderdate")
+
+
 def _features(spark, sf):
     """Visits with amounts, line totals and history as numeric features, split once and stored for all heads until the
     orders or lines change."""
@@ -329,9 +336,7 @@ def _features(spark, sf):
             F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
         # the split hangs on the orders alone, so it comes first; the visits then go through both joins with what the heads read
         parted = S.split_in_place(v, "hot", "o_orderkey")
-        known = H.prior_measures(parted, v.select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate",
-                                 {"n_prior": ("sum", F.lit(1).cast("bigint"))}).drop("o_custkey", "o_orderdate")
-        rows = known.join(lines, "o_orderkey", "left").fillna(0)
+        rows = _with_history(parted).join(lines, "o_orderkey", "left").fillna(0)
         return D.assemble_vector(rows, ["score", "qty", "disc", "n_prior"]).drop("score", "qty", "disc", "n_prior")
     return materialize(spark, f"{checkpoint_dir(spark)}/heads/features", [f"{sf}/orders.parquet", f"{sf}/lineitem.parquet"], "2", build)
 
@@ -348,10 +353,15 @@ def soft_cascade_head(spark, sf):
     return rounded(out.select("o_orderkey", "level_pred", *[f"p_level_{i}" for i in range(5)]), *[f"p_level_{i}" for i in range(5)])
 
 
+def _holdout(rows):
+    """Training rows, a tenth of each label held out: cut off where the stored features lie, neither moved nor written again."""
+    return S.split_in_place(rows.filter("split = 'train'").drop("split"), "hot", "o_orderkey", 0.1, 7)
+
+
 def _calibrated(spark, sf):
     """Test rows with the boosted head's score p1 and its calibrated one, p_cal, fitted on a holdout."""
     rows = _features(spark, sf)
-    parts = durable(S.stratified_split(rows.filter("split = 'train'").drop("split"), "hot", "o_orderkey", 0.1, 7))
+    parts = _holdout(rows)
     weighted = parts.filter("split = 'train'").withColumn("w", F.when(F.col("hot") == 1, 1.2).otherwise(1.0))
     model = D.fit_binary(weighted, "features", "hot", "w", maxIter=5, maxDepth=3, seed=42)
     score = lambda df: D.soft_cascade(df, model, ["p0", "p1"])

@@ -120,41 +120,50 @@ def without_negated(col: Column, negation: str) -> Column:
 
 
 def text_flags(df: DataFrame, col: str, vocab: Vocab | DataFrame, names: Mapping[str, str] | None = None,
-               negation: str = HISTORY_NEGATION) -> DataFrame:
+               negation: str = HISTORY_NEGATION, keep: Sequence[str] | None = None) -> DataFrame:
     """Add one 0/1 column per category (named by ``names`` or the category itself). The vocabulary is a mapping, matched in
-    the row, or a ``(keyword, category)`` table of any length, matched by joins; keywords may have several words."""
-    if isinstance(vocab, DataFrame):
-        return _table_flags(df, col, vocab, names or {}, negation)
+    the row, or a ``(keyword, category)`` table of any length, matched by joins; keywords may have several words.
+
+    ``keep`` names the columns of ``df`` to return, all by default; a table stores these, so leave out long texts."""
     prepared = df.withColumn("__text", without_negated(F.col(col), negation))
+    if keep is not None:
+        prepared = prepared.drop(*[c for c in df.columns if c not in keep])
+    if isinstance(vocab, DataFrame):
+        return _table_flags(prepared, vocab, names or {})
     return prepared.withColumns({
         (names or {}).get(cat, cat): F.col("__text").rlike("(?U)" + keyword_pattern(terms)).cast("int")
         for cat, terms in vocab.items()}).drop("__text")
 
 
-def _table_flags(df: DataFrame, col: str, table: DataFrame, names: Mapping[str, str], negation: str) -> DataFrame:
-    """Flags from a keyword table; the categories, which become columns, are all that the driver sees of it."""
-    from ..operators.phrases import phrase_hits
+def _table_flags(df: DataFrame, table: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Flags of ``__text`` from a keyword table; the driver sees its categories, which become columns, a bounded filter of its phrases
+    and a bounded number of these. Rows are numbered and stored with the runs of tokens that may be phrases, so each text is read once."""
+    from ..operators.phrases import phrase_runs, phrase_table, settle_common
     categories = sorted(r[0] for r in table.where("trim(keyword) <> '' AND category IS NOT NULL").select("category").distinct().collect())
-    numbered = durable(df.withColumn("__number", F.monotonically_increasing_id()))
-    hits = phrase_hits(numbered, "__number", without_negated(F.col(col), negation), table)
+    phrases = phrase_table(table)
+    runs = phrase_runs(df, F.col("__text"), phrases, "__runs").drop("__text")
+    numbered = durable(settle_common(runs, "__runs", phrases, categories, "__found", "__rest")
+                       .withColumn("__number", F.monotonically_increasing_id()))
     places = {c: f"__flag{i}" for i, c in enumerate(categories)}
+    hits = numbered.select("__number", F.explode("__rest").alias("phrase")).join(phrases, "phrase")
     wide = hits.groupBy("__number").agg(F.lit(True).alias("__any"), *[
-        F.max(F.col("category") == c).alias(p) for c, p in places.items()])
-    joined = numbered.join(wide, "__number", "left")
-    flags = {names.get(c, c): F.coalesce(F.col(p), F.lit(False)).cast("int") for c, p in places.items()}
-    return joined.withColumns(flags).drop("__number", "__any", *places.values())
+        F.max(F.array_contains("categories", c)).alias(p) for c, p in places.items()])
+    joined = numbered.drop("__rest").join(wide, "__number", "left")
+    flags = {names.get(c, c): (F.array_contains("__found", i) | F.coalesce(F.col(places[c]), F.lit(False))).cast("int")
+             for i, c in enumerate(categories)}
+    return joined.withColumns(flags).drop("__number", "__any", "__found", *places.values())
 
 
 def history_flags(df: DataFrame, col: str, vocab: Vocab | DataFrame = HISTORY_TERMS,
-                  names: Mapping[str, str] | None = None) -> DataFrame:
+                  names: Mapping[str, str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Condition flags; up to six words after a negation cue do not count."""
-    return text_flags(df, col, vocab, names, HISTORY_NEGATION)
+    return text_flags(df, col, vocab, names, HISTORY_NEGATION, keep)
 
 
 def class_flags(df: DataFrame, col: str, vocab: Vocab | DataFrame = MED_CLASS_TERMS,
-                names: Mapping[str, str] | None = None) -> DataFrame:
+                names: Mapping[str, str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Drug-class flags; ``non-opioid`` and the like do not count."""
-    return text_flags(df, col, vocab, names, CLASS_NEGATION)
+    return text_flags(df, col, vocab, names, CLASS_NEGATION, keep)
 
 
 def flag_set(flags: Mapping[str, str]) -> Column:

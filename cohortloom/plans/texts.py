@@ -365,7 +365,7 @@ def table_vocabulary(spark, sf):
     gap = F.when(F.col("o_orderkey") % 2 == 0, "; ").otherwise("; denies ")
     text = F.expr("aggregate(n, '', (a, x) -> concat(a, if(a = '', '', gap), x.p_name))")
     notes = table(spark, sf, "orders", "o_orderkey").join(names, "o_orderkey").withColumn("gap", gap).withColumn("x", text)
-    return V.history_flags(notes, "x", words).select("o_orderkey", "widget", "other")
+    return V.history_flags(notes, "x", words, keep=["o_orderkey"]).select("o_orderkey", "widget", "other")
 
 
 # The first two and three words of every document as a dictionary, looked up in all documents.
@@ -389,7 +389,7 @@ def phrase_flags(spark, sf):
         mine = d.select(F.regexp_extract(F.lower("text"), words, 0).alias("keyword"), F.concat(F.lit("c"), F.col("doc_id") % 3).alias("category"))
         keys = mine if keys is None else keys.unionByName(mine)
     d = d.withColumn("text", F.replace("text", F.lit("der "), F.lit("no ")))
-    return V.history_flags(d, "text", durable(keys.where("keyword <> ''").distinct())).drop("text")
+    return V.history_flags(d, "text", durable(keys.where("keyword <> ''").distinct()), keep=["doc_id"])
 
 
 # --- note files ----------------------------------------------------------------------------------------------------------
